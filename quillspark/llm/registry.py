@@ -1,8 +1,8 @@
 """The queries of this package by name, with their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import bpe, packing, topk, urls
+from . import bpe, neardup, packing, topk, urls
 
-MODULES = (bpe, packing, urls, topk)
+MODULES = (bpe, packing, urls, topk, neardup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
