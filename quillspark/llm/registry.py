@@ -1,8 +1,8 @@
 """The queries of this package by name, with their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import bpe, neardup, packing, quality, topk, toxicity, urls
+from . import bpe, neardup, packing, pii, quality, secrets, topk, toxicity, urls
 
-MODULES = (bpe, packing, toxicity, quality, urls, topk, neardup)
+MODULES = (bpe, packing, pii, toxicity, quality, urls, topk, neardup, secrets)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
