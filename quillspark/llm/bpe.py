@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +31,9 @@ from .shared import slices, two
 
 NONE = 1 << 60
 LONG = 200
+BIG = sys.byteorder == "big"
 CACHED = 400_000
+STOPS = ",.;:!?%&$#*|"  # ASCII symbols that begin no contraction
 # The definition in the tokenizer's file (split pattern, added tokens, white space).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,32 +53,33 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """White-space token -> its ids as little-endian unsigned 32-bit bytes, computed when missing."""
+    """White-space token -> its ids as little-endian unsigned 32-bit bytes, computed when missing.
+
+    Two generations bound it: when the younger one is full it becomes the elder, in which a miss looks first.
+    """
 
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+        self.codec, self.elder = codec, {}
 
     def __missing__(self, token: str) -> bytes:
-        codec = self.codec
-        pieces = codec.split(token)
-        found = codec.word(token) if len(pieces) == 1 else b"".join(map(codec.pieces.__getitem__, pieces))
+        found = self.elder.get(token)
+        if found is None:
+            codec = self.codec
+            if token.isalpha():
+                found = codec.word(token)
+            elif (stem := token.rstrip(STOPS)) != token and stem.isalpha():
+                return self[stem] + self[token[len(stem) :]]  # a word and one run of symbols: not worth a place
+            else:
+                pieces = codec.split(token)
+                found = codec.word(token) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
         if len(token) < 64:
             if len(self) >= CACHED:
+                self.elder = dict(self)
                 self.clear()
             self[token] = found
         return found
 
 
-class Pieces(Words):
-    def __missing__(self, piece: str) -> bytes:
-        found = self.codec.word(piece)
-        if len(piece) < 64:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Codec:
     """Encoder and decoder of one vocabulary file; one lives in each Python worker."""
 
@@ -98,7 +103,7 @@ class Codec:
         self.odd = regex.compile("[\x1c-\x1f]").search
         self.spaces = regex.compile(f"[{SPACE}]+").split
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.tokens, self.pieces = Words(self), Pieces(self)
+        self.tokens = Words(self)
 
     def word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
@@ -107,19 +112,26 @@ class Codec:
         parts.append(self.last[raw[-1]])
         if len(parts) > 1:
             parts = self.merged(parts) if len(parts) <= LONG else self.merged_long(parts)
-        return np.array(parts, "<u4").tobytes()
+        made = array("I", parts)
+        if BIG:
+            made.byteswap()
+        return made.tobytes()
 
     def merged(self, parts: list[int]) -> list[int]:
         look, made = self.ranks.get, self.made
         ranks = [look(a << 20 | b, NONE) for a, b in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) != NONE:
+        least = min(ranks)
+        while least != NONE:
             i = ranks.index(least)
             parts[i] = new = made[least]
             del parts[i + 1], ranks[i]
+            if not ranks:
+                break
             if i:
                 ranks[i - 1] = look(parts[i - 1] << 20 | new, NONE)
             if i < len(ranks):
                 ranks[i] = look(new << 20 | parts[i + 1], NONE)
+            least = min(ranks)
         return parts
 
     def merged_long(self, parts: list[int]) -> list[int]:
