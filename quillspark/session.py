@@ -13,6 +13,7 @@ def build_session(app: str = "quillspark", cores: str | int = "*", **conf: str)
     """A local session for tests and benchmarks; on a cluster use the session it hands out."""
     base = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
