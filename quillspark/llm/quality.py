@@ -26,6 +26,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import attach, table
 from .shared import slices, stage, two
@@ -89,15 +90,22 @@ def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_ratio) of each row's whole text."""
+ADDED = ("quill_n_grams", "quill_log_ratio")
+
+
+def weighed(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
+    """docs with the number of each row's n-grams and the sum of their log ratios in the columns ADDED."""
+    kept = docs.select(*(c for c in docs.columns if c not in ADDED))
+    schema = T.StructType([*kept.schema.fields, T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], T.DoubleType())])
+    at, names = kept.columns.index(text), schema.names
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [grams(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in found], pa.int64()), pa.array([float(ratio[g].sum()) for g in found], pa.float64())], ["doc_id", "n_grams", "log_ratio"])
+            found = [grams(t or "") for t in b.column(at).to_pylist()]
+            made = [pa.array([len(g) for g in found], pa.int64()), pa.array([float(ratio[g].sum()) for g in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names)
 
-    return two(docs, "doc_id", "text").mapInArrow(kernel, "doc_id long, n_grams long, log_ratio double")
+    return kept.mapInArrow(kernel, schema)
 
 
 def best_cut(mean: np.ndarray, good: np.ndarray) -> float:
@@ -136,20 +144,30 @@ def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, int]
     return row[key], -row["t"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key, kept for every document."""
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1, keep_text: bool = True) -> DataFrame:
+    """docs (doc_id, text and what else they have) with log_weight, gumbel_key and kept of every row."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    rows = stage(weighed(docs, models(docs, labels)), "weighed")
+    rows = weighed(docs, models(docs, labels))
+    rows = stage(rows if keep_text else rows.drop("text"), "weighed")
+    n, ratio, doc = F.col(ADDED[0]), F.col(ADDED[1]), F.col("doc_id").cast("long")
     few = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
-    seen = rows.where("n_grams > 0").join(few, "doc_id").select((F.col("log_ratio") / F.col("n_grams")).alias("m"), "quality").collect()
+    seen = rows.where(n > 0).select(doc.alias("doc_id"), (ratio / n).alias("m")).join(few, "doc_id").select("m", "quality").collect()
     at = best_cut(np.array([r["m"] for r in seen]), np.array([r["quality"] == 1 for r in seen], bool))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    weight = F.col("log_ratio") - F.lit(at) * F.col("n_grams")
-    keyed = rows.withColumn("log_weight", weight).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keyed = rows.withColumn("log_weight", ratio - F.lit(at) * n)
+    keyed = keyed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
     number = keyed.where("log_weight >= 0").count() if k is None else k
-    last = kth_largest(keyed.where("doc_id IS NOT NULL"), "gumbel_key", "doc_id", number) if number else (float("inf"), -1)
-    kept = F.lit(True) if last is None else (F.col("gumbel_key") > last[0]) | ((F.col("gumbel_key") == last[0]) & (F.coalesce("doc_id", F.lit(1 << 62)) <= last[1]))
-    return keyed.select("doc_id", "n_grams", "log_weight", "gumbel_key", F.coalesce(kept, F.lit(False)).alias("kept"))
+    ranked = keyed.select(F.coalesce(doc, F.lit(-1 << 62)).alias("tie"), "gumbel_key")
+    last = kth_largest(ranked, "gumbel_key", "tie", number) if number else (float("inf"), -1)
+    tie = F.coalesce(doc, F.lit(-1 << 62))
+    kept = F.lit(True) if last is None else (F.col("gumbel_key") > last[0]) | ((F.col("gumbel_key") == last[0]) & (tie <= last[1]))
+    return keyed.withColumn("kept", kept)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key, kept for every document."""
+    found = drawn(two(docs, "doc_id", "text"), labels, k, seed, keep_text=False)
+    return found.select("doc_id", F.col(ADDED[0]).alias("n_grams"), "log_weight", "gumbel_key", "kept")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,6 +334,18 @@ def masked(text: str | None, field: Field) -> str | None:
     return "".join([*made, text[at:]])
 
 
+def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """docs with masked texts; everything else passes through."""
+    at, names = docs.columns.index(text), docs.columns
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            made = pa.array([masked(t, field) for t in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names)
+
+    return docs.mapInArrow(kernel, docs.schema)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans of every document, the base ones also digested alone."""
     attach(spark)

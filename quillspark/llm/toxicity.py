@@ -29,6 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import attach, table
 from .shared import slices, two
@@ -168,9 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-6}, float(b))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row's whole text."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score of each row's whole text in a new last column (which replaces one of that name)."""
     weights, intercept = model.weights, model.intercept
+    kept = docs.select(*(c for c in docs.columns if c != name))
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
+    at, names = kept.columns.index(text), schema.names
     known: dict[str, tuple[str, ...]] = {}
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +191,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return intercept + sum(weights[f] for f in sorted(found))
 
         for b in slices(batches):
-            logits = np.clip(np.array([of(t) for t in b.column(1).to_pylist()], float), -30, 30)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-logits)))], ["doc_id", "score"])
+            logits = np.clip(np.array([of(t or "") for t in b.column(at).to_pylist()], float), -30, 30)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-logits)))], names)
 
-    return two(docs, "doc_id", "text").mapInArrow(kernel, "doc_id long, score double")
+    return kept.mapInArrow(kernel, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents scored; labels of the held-out fold are never seen."""
     attach(spark)
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(two(docs, "doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
