@@ -1,5 +1,8 @@
 """Every query of the library by name, with the SQL that must give the same rows."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import trend_queries
+
+MODULES = (trend_queries,)
+QUERIES: dict = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
