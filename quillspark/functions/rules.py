@@ -10,7 +10,7 @@ from . import fixed_values as V
 from .text import py_title
 
 
-def first_match(c: Column, rules: list[tuple], field: int = 1, flags: str = "(?i)") -> Column:
+def first_match(c: Column, rules: list[tuple], field: int = 1, flags: str = "(?iU)") -> Column:
     """The field of the first rule whose pattern is found in c, or null."""
     made = F.when(F.lit(False), F.lit(None).cast("string"))
     for rule in rules:
@@ -46,7 +46,7 @@ def section_rules() -> list[tuple[str, str]]:
 
 def category_of(c: Column) -> Column:
     """The section category of a heading."""
-    return F.coalesce(first_match(F.lower(F.trim(c)), section_rules(), flags=""), F.lit("other"))
+    return F.coalesce(first_match(F.lower(F.trim(c)), section_rules(), flags="(?U)"), F.lit("other"))
 
 
 def relevance(text: Column, section: Column, target: str, cues: dict[str, list[str]] | None = None) -> Column:
@@ -55,7 +55,7 @@ def relevance(text: Column, section: Column, target: str, cues: dict[str, list[s
     bonus = F.when(kind == target, 3.0)
     if target in ("methods", "limitations"):
         bonus = bonus.when(kind == "abstract_intro", 1.5)
-    found = [F.regexp_count(low, F.lit(p)) for p in (V.CUES if cues is None else cues).get(target, [])]
+    found = [F.regexp_count(low, F.lit("(?U)" + p)) for p in (V.CUES if cues is None else cues).get(target, [])]
     words = F.size(F.filter(F.split(low, r"(?U)\s+"), lambda w: w != ""))
     return bonus.otherwise(0.0) + 2.0 * reduce(lambda a, b: a + b, found, F.lit(0)) - F.when((words < 6) | (words > 60), 1.0).otherwise(0.0)
 

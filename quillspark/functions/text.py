@@ -19,7 +19,8 @@ GUARD = "\x01"
 def py_title(c: Column) -> Column:
     """Each run of letters with a capital first letter, the rest small."""
     runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+    first = lambda x: F.when(F.substring(x, 1, 1) == "ß", "Ss").otherwise(F.upper(F.substring(x, 1, 1)))
+    return F.array_join(F.transform(runs, lambda x: F.concat(first(x), F.lower(F.substr(x, F.lit(2))))), "")
 
 
 def clean_title(c: Column) -> Column:

@@ -10,7 +10,7 @@ from ..session import table
 from ..sources.tables import raw_papers
 
 #: Cues and rules that the invented prose of the test tables can match.
-CUES = {"methods": [r"\bthe\b", r"\bfrom\b"], "datasets": [r"\b(?:der|des|den)\b"], "findings": [r"\b(?:de|la|les)\b"], "limitations": [r"\bnot?\b", r"\bwith\b"]}
+CUES = {"methods": [r"the", r"from\s"], "datasets": [r"(?:lich|ung|keit)"], "findings": [r"(?:eaux|tion)"], "limitations": [r"ci[aeo]", r"with"]}
 NAME_RULES = [(r"\b(?:rings?|washers?)\b", "Ring"), (r"\bred\b", "Red Ware"), (r"\b(?:bolts?|gears?)\b", "Drive"), (r"\bhot\s+\w+\b", "Hot Ware")]
 
 
@@ -101,7 +101,7 @@ def categories(spark, d):
 
 
 _title = "regexp_replace(substr(text, 1, 60), '', '')"
-_py = "array_to_string(list_transform(regexp_extract_all({0}, '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda x: upper(x[1]) || lower(x[2:])), '')"
+_py = "array_to_string(list_transform(regexp_extract_all({0}, '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), '')"
 _lists = ", ".join(f"'{w}'" for w in GENERIC_NOUNS + GENERIC_PAIRS)
 _generic = "(lower(trim(regexp_replace({0}, '[^a-zA-Z0-9\\s]', '', 'g'))) IN (" + _lists + ") OR length(trim(regexp_replace({0}, '[^a-zA-Z0-9\\s]', '', 'g'))) < 3 OR regexp_matches(trim(regexp_replace({0}, '[^a-zA-Z0-9\\s]', '', 'g')), '^[0-9]+$'))"
 _cases = " ".join(f"WHEN regexp_matches(p_name, '(?i){p}') THEN '{n}'" for p, n in NAME_RULES)

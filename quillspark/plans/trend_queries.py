@@ -94,7 +94,7 @@ QUERIES = {
     "yearly_distribution": lambda s, d: T.yearly_distribution(S.mentions(s, d), S.papers(s, d)).select("name", "year", "papers", *R("share")),
     "primary_role": lambda s, d: T.primary_role(S.mentions(s, d)),
     "growth_rate": lambda s, d: T.growth(S.mentions(s, d), S.papers(s, d)).select("name", *R("early", "late", "growth")),
-    "emerging_topk": lambda s, d: T.emerging(S.mentions(s, d), S.papers(s, d)).select("name", "papers", "trajectory"),
+    "emerging_topk": lambda s, d: T.emerging(S.mentions(s, d, "p_partkey"), S.papers(s, d)).select("name", "papers", "trajectory"),
     "usage_hhi": hhi_of("p_brand"),
     "usage_hhi_moderate": hhi_of("p_type"),
     "usage_hhi_high": line_status_hhi,
@@ -113,7 +113,7 @@ ORACLE_SQL = {
     "yearly_distribution": WITH + "SELECT name, year, papers, round(share, 6) AS share FROM yearly",
     "primary_role": WITH + "SELECT name, role, papers FROM roles",
     "growth_rate": WITH + "SELECT name, round(early, 6) AS early, round(late, 6) AS late, round(growth, 6) AS growth FROM rates",
-    "emerging_topk": WITH + "SELECT name, papers, trajectory FROM trajectories WHERE trajectory IN ('EMERGING', 'INCREASING') ORDER BY papers DESC, name LIMIT 20",
+    "emerging_topk": WITH.replace("p_brand AS name", "CAST(p_partkey AS VARCHAR) AS name") + "SELECT name, papers, trajectory FROM trajectories WHERE trajectory IN ('EMERGING', 'INCREASING') ORDER BY papers DESC, name LIMIT 20",
     "usage_hhi": hhi_sql(brand("p_brand")),
     "usage_hhi_moderate": hhi_sql(brand("p_type")),
     "usage_hhi_high": hhi_sql("SELECT l_linestatus AS name, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1"),

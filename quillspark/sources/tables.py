@@ -17,10 +17,10 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions(spark: SparkSession, sf_dir: str, name: str = "p_brand") -> DataFrame:
     """Parts of an order's lines as entities that a paper mentions."""
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", name)
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", F.col(name).cast("string").alias("name"))
     role = F.coalesce(*(F.when(F.col("l_returnflag") == k, v) for k, v in ROLES.items()))
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(papers(spark, sf_dir), F.col("l_orderkey") == F.col("paper_id"))
-    return rows.select("paper_id", "year", F.struct(*SEQ).alias("seq"), F.col(name).alias("name"), role.alias("role"), F.col("l_suppkey").alias("supplier"))
+    return rows.select("paper_id", "year", F.struct(*SEQ).alias("seq"), "name", role.alias("role"), F.col("l_suppkey").alias("supplier"))
 
 
 def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
