@@ -149,7 +149,7 @@ def adjusted_rand(labels: DataFrame) -> DataFrame:
 
 
 # Parameter tiers by number of papers: (largest n, cluster sizes, samples).
-TIERS = [(29, (2, 3, 4, 5), (1, 2, 3)), (80, (2, 3, 4, 5, 6, 8), (1, 2, 3, 4)), (250, (3, 4, 5, 6, 8, 10, 12, 15), (1, 2, 3, 4, 5)), (None, (5, 8, 10, 12, 15, 20, 25, 30), (1, 2, 3, 5, 8))]
+TIERS = [(29, (2, 3, 4, 5), (1, 2, 3)), (80, (3, 4, 5, 6, 8), (1, 2, 3, 4)), (250, (4, 5, 6, 8, 10, 12, 15), (2, 3, 4, 5, 6)), (None, (5, 8, 10, 12, 15, 20, 25, 30), (3, 5, 8, 10, 12))]
 
 
 def param_grid(spark, n: int) -> DataFrame:

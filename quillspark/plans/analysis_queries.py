@@ -185,7 +185,7 @@ ORACLE_SQL = {
     "silhouette": V_SQL + SIL + "SELECT id, cluster_id, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / greatest(a, b), 6) AS silhouette FROM t",
     "size_entropy": "WITH n AS (SELECT count(*) AS n FROM embeddings WHERE label <> 9 GROUP BY label) SELECT count(*) AS clusters, round(sum(-(n / (SELECT sum(n) FROM n)) * ln(n / (SELECT sum(n) FROM n))) / ln(count(*)), 6) AS entropy FROM n",
     "representatives": V_SQL + ", r AS (SELECT v.cluster_id, id, n, row_number() OVER (PARTITION BY v.cluster_id ORDER BY list_inner_product(v, c) DESC, id) AS rank FROM v JOIN c USING (cluster_id)) SELECT cluster_id, id, CASE WHEN n <= 8 OR rank <= 6 THEN 'central' ELSE 'diverse' END AS kind FROM r WHERE n <= 8 OR rank <= 6 OR rank > n - 2",
-    "param_grid": "SELECT m AS method, a AS min_cluster_size, b AS min_samples FROM (VALUES ('eom'), ('leaf')) x(m), (VALUES (3), (4), (5), (6), (8), (10), (12), (15)) y(a), (VALUES (1), (2), (3), (4), (5)) z(b) WHERE b <= a",
+    "param_grid": "SELECT m AS method, a AS min_cluster_size, b AS min_samples FROM (VALUES ('eom'), ('leaf')) x(m), (VALUES (4), (5), (6), (8), (10), (12), (15)) y(a), (VALUES (2), (3), (4), (5), (6)) z(b) WHERE b <= a",
     "ari": "WITH t AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS ai, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS bj, (SELECT sum(n) * (sum(n) - 1) / 2 FROM t) AS e) SELECT round((ij - ai * bj / e) / ((ai + bj) / 2 - ai * bj / e), 6) AS ari FROM s",
     "recency_rank": "SELECT doc_id AS id, round(0.7 * (length(text) % 100 / 100.0) + 0.3 * (doc_id % 8) / 7, 6) AS boosted FROM documents",
     "theme_match": L_SQL + "SELECT paper_id, seq, theme_id FROM t",
