@@ -36,9 +36,9 @@ def key_pairs(records: DataFrame, key: Column) -> DataFrame:
 
 
 def blocks(records: DataFrame) -> DataFrame:
-    """(seq, block): coarse keys of which fuzzy partners share one: the start or the end of the clean title.
+    """(seq, block): keys of which fuzzy partners share one: eight letters at the start, the end or the middle of the clean title.
 
-    A ratio of RATIO leaves a common run; titles that agree in neither eight-letter end are compared by their middles."""
+    Titles that agree in none of the three are not compared, so edits in all three places can hide a pair."""
     t = F.col("clean_title")
     ends = F.array(F.concat(F.lit("a"), F.substring(t, 1, 8)), F.concat(F.lit("z"), F.substring(t, -8, 8)), F.concat(F.lit("m"), F.expr("substring(clean_title, greatest(1, cast(length(clean_title) / 2 as int) - 3), 8)")))
     return records.select("seq", "clean_title", "publication_year", F.explode(F.array_distinct(ends)).alias("block")).where("publication_year IS NOT NULL")

@@ -38,7 +38,7 @@ def repaired_json(c, schema: str):
     bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
     commas = F.regexp_replace(bare, r",\s*([}\]])", "$1")
     braces = F.regexp_extract(commas, r"(?s)(\{.*\})", 1)
-    return F.coalesce(*(F.from_json(F.when(x != "", x), schema, {"mode": "PERMISSIVE"}) for x in (bare, commas, braces)))
+    return F.coalesce(*(F.from_json(F.when((x != "") & F.try_parse_json(x).isNotNull(), x), schema) for x in (bare, commas, braces)))
 
 
 def resolution_tier(arxiv, openalex, unpaywall, core):
