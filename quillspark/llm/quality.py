@@ -2,8 +2,8 @@
 
 1. A text is its tokens (words; runs of one symbol, up to three) and pairs of
    neighbours, a repeated neighbour being marked as such, hashed into BUCKETS.
-2. One pass counts the buckets over every document (raw) and over those labelled
-   as good (target); the counts are vectors of fixed length, summed before they
+2. One pass counts the buckets over every document (raw) and over the TARGET_ROWS
+   of the smallest hash among those labelled as good (target); the counts are vectors of fixed length, summed before they
    are shuffled. The log ratio of the smoothed models is a table of fixed size.
 3. A document's log weight is the sum of the ratios of its n-grams, measured from
    a cut per n-gram that parts good from bad labelled rows best.
@@ -32,7 +32,7 @@ from ..session import attach, table
 from .shared import slices, stage, two
 
 BUCKETS, SMOOTH = 1 << 16, 1.0
-FIT_ROWS = 12_000
+FIT_ROWS, TARGET_ROWS = 12_000, 20_000
 BINS = 1024
 TOKENS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]+").findall
 _hashes: dict[str, int] = {}
@@ -67,7 +67,8 @@ def grams(text: str) -> np.ndarray:
 def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of target to raw for each bucket, from all documents."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = two(docs, "doc_id", "text").join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("text", "good")
+    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("good", F.lit(1))
+    rows = two(docs, "doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", "good")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
