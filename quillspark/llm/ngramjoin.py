@@ -19,9 +19,9 @@ t = n - ceil(PERCENT n / 100) of x's n shingles are missing in y.
 3. Equal sets become one class, which the smallest id stands for. Every class is
    verified against the candidate that shares most signatures with it; links form
    components. Then, where a signature's classes lie in different components, the
-   components' leaders are compared, and of the pairs across two components all
-   that the triangle inequality of the Jaccard distance doesn't rule out. Pairs
-   within a component need no check, so a large group of copies costs its size, not
+   components' leaders are compared. Where the triangle inequality of the Jaccard
+   distance doesn't rule out a link of two components, all their members are
+   compared, in cells of bounded size. Pairs within a component need no check, so a large group of copies costs its size, not
    its square, and no link between components is lost.
 
 component_id needs no more; the links of a document are not counted.
@@ -332,6 +332,15 @@ def linked(live: DataFrame) -> DataFrame:
     best = shared.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("lead")).alias("m")))["m"].alias("m"))
     first = cut(verified(best.select(F.col("doc").alias("a"), (-F.col("m")).alias("b")), live))
     links = first.where("link").select("a", "b")
+    group = components(links)
+    # again, for documents whose best candidate didn't link: the one of another component with most signatures in common
+    placed = useful.join(group.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
+    alone = placed.where("doc = comp").join(group.select(F.col("component").alias("doc")).distinct(), "doc", "left_anti")
+    crowds = placed.join(group.select(F.col("component").alias("comp")).distinct(), "comp", "left_semi").groupBy("sig").agg(F.min("doc").alias("lead"))
+    votes = alone.join(crowds, "sig").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
+    second = votes.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("lead")).alias("m")))["m"].alias("m")).select(F.col("doc").alias("a"), (-F.col("m")).alias("b"))
+    more = cut(verified(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), live).where("link").select("a", "b"))
+    links = cut(links.union(more))
     group = cut(components(links))
 
     joined = useful.join(group.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("comp"))
@@ -351,17 +360,56 @@ def linked(live: DataFrame) -> DataFrame:
     limit = 1 - PERCENT / 100 + EPS
     reach = met.join(wide.select(F.col("comp").alias("a"), F.col("r").alias("ra")), "a", "left").join(wide.select(F.col("comp").alias("b"), F.col("r").alias("rb")), "b", "left")
     open_ = reach.where(~F.col("link") & (F.col("ra").isNotNull() | F.col("rb").isNotNull()))
-    open_ = open_.where(F.col("distance") - F.coalesce("ra", F.lit(0.0)) - F.coalesce("rb", F.lit(0.0)) <= limit)
-    open_ = open_.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "distance")
-    own = active.join(radii.select("doc", F.col("distance").alias("r")), "doc", "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    pick = lambda x: own.select("sig", F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"), F.col("r").alias(f"r{x}"))
-    near = open_.join(pick("a"), "ca").join(pick("b"), ["cb", "sig"])
-    near = near.where((100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na")))
-    near = near.where(F.col("distance") - F.col("ra") - F.col("rb") <= limit).select("a", "b").distinct()
-    last = verified(near, live).where("link").select("a", "b")
+    open_ = open_.where(F.col("distance") - F.coalesce("ra", F.lit(0.0)) - F.coalesce("rb", F.lit(0.0)) <= limit).select("a", "b", "distance")
+    last = crossed(open_, group, live)
     return links.union(met.where("link").select("a", "b")).union(last)
 
 
+CHUNK = 256
+
+
+def crossed(pairs: DataFrame, group: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, b): a link between two components (a, b, distance of their leaders), where there is one.
+
+    The members of the larger one and those of the smaller meet in cells of CHUNK by CHUNK documents, so a set is sent
+    once for each cell rather than for each pair, and a cell returns one link for each document of the smaller side."""
+    named = pairs.select(F.col("a").alias("comp")).union(pairs.select(F.col("b").alias("comp"))).distinct()
+    inside = named.join(group.select("id", F.col("component").alias("comp")), "comp", "left").select("comp", F.coalesce("id", "comp").alias("doc")).distinct()
+    sizes = inside.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    both = pairs.join(sizes.select(F.col("comp").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("comp").alias("b"), F.col("size").alias("sb")), "b")
+    first = F.col("sa") >= F.col("sb")
+    turned = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("big"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("small"), "distance", F.greatest("sa", "sb").alias("n"), F.least("sa", "sb").alias("m"))
+    grid = turned.groupBy("big").agg(F.ceil(F.max("n") / CHUNK).cast("long").alias("parts"), F.ceil(F.sum("m") / CHUNK).cast("long").alias("others"))
+    here = lambda by: F.pmod(F.xxhash64("doc"), F.col(by))
+    every = lambda by: F.explode(F.sequence(F.lit(0).cast("long"), F.col(by) - 1))
+    asked = turned.select("big", "small").join(inside.withColumnRenamed("comp", "small"), "small").join(grid, "big")
+    asked = asked.withColumn("other", here("others")).withColumn("part", every("parts")).select("big", "part", "other", "doc", "small").distinct()
+    there = grid.join(inside.withColumnRenamed("comp", "big"), "big").withColumn("part", here("parts")).withColumn("other", every("others"))
+    there = there.select("big", "part", "other", "doc", F.lit(None).cast("long").alias("small"))
+    rows = asked.unionByName(there).join(live.select("doc", "n", "hashes"), "doc")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        side = table["small"].is_null().to_numpy()
+        docs, n = table["doc"].to_numpy(), table["n"].to_numpy()
+        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        base = np.flatnonzero(side)
+        made = []
+        if len(base):
+            every_ = np.concatenate([sets[i] for i in base])
+            order = np.argsort(every_, kind="stable")
+            ranked, owner = every_[order], np.repeat(np.arange(len(base)), [len(sets[i]) for i in base])[order]
+            for i in np.flatnonzero(~side):
+                lo, hi = np.searchsorted(ranked, sets[i], "left"), np.searchsorted(ranked, sets[i], "right")
+                hit = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
+                same = np.bincount(owner[hit], minlength=len(base))
+                linked = np.flatnonzero(100 * same >= PERCENT * (n[base] + n[i] - same))
+                if len(linked):
+                    made.append((int(docs[i]), int(docs[base[linked[0]]])))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*made) if made else ([], []))], names=["a", "b"])
+
+    return rows.groupBy("big", "part", "other").applyInArrow(kernel_of(kernel), "a long, b long")
+
+
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of df."""
     texts = two(df, key, text)
