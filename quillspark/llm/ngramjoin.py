@@ -54,7 +54,8 @@ from .shared import cut, stage, two
 
 WIDTH, PERCENT = 5, 75
 RARE = 32
-BLOCK_CHARS, FEW = 6_000_000, 8
+BLOCK_CHARS, FEW = 3_000_000, 8
+TOP = 65_535  # frequencies above it count as equal: any order that all documents share will do
 BUCKET_CHARS = 12_000_000
 EPS = 1e-12
 _words: dict[bytes, int] = {}
@@ -139,7 +140,7 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as w:
                 w.write_table(kept)
-            rows = [(-1, block, sink.getvalue().to_pybytes(), owner[heavy].tobytes(), every[heavy].tobytes(), None)]
+            rows = [(-1, block, sink.getvalue().to_pybytes(), owner[heavy].astype("<u2").tobytes(), every[heavy].tobytes(), None)]
             # a heavy shingle goes once, for the whole block, under an owner past the last
             lone, top = first[times > FEW], times[times > FEW].astype("<u4")
             light = ~heavy
@@ -152,7 +153,7 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
             for a, z in zip(starts, [*starts[1:], len(bucket)]):
                 w = weight[a:z]
-                rows.append((int(bucket[a]), block, None, whose[a:z].astype("<u2" if len(held) < 65535 else "<u4").tobytes(), packed(sent[a:z]), w.tobytes() if (w > 1).any() else None))
+                rows.append((int(bucket[a]), block, None, whose[a:z].astype("<u2").tobytes(), packed(sent[a:z]), w.tobytes() if (w > 1).any() else None))
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), kinds)], names)
 
@@ -174,15 +175,15 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
 
 def counted(blocks: DataFrame, split: int) -> DataFrame:
     """For each block and bucket what occurs in two documents or more, with its frequency."""
-    out = "block long, docs binary, owner binary, hashes binary, often binary"
+    out = "bucket int, block long, docs binary, owner binary, hashes binary, often binary"
     names = out.replace(",", "").split()[::2]
-    kinds = (pa.int64(), *[pa.binary()] * 4)
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
 
     def kernel(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         block = table["block"].to_pylist()
         if bucket < 0:
-            return pa.table([table["block"], table["docs"], table["owner"], table["hashes"], pa.nulls(len(block), pa.binary())], names=names)
+            return table.select(names[:-1]).append_column("often", pa.nulls(len(block), pa.binary()))
         hashes = [unpacked(h, bucket >> split) for h in table["hashes"].to_pylist()]
         weights = [np.ones(len(h), np.int64) if w is None else np.frombuffer(w, "<u4").astype(np.int64) for w, h in zip(table["weights"].to_pylist(), hashes)]
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -193,9 +194,8 @@ def counted(blocks: DataFrame, split: int) -> DataFrame:
             at += len(mine)
             shared = times > 1
             if shared.any():
-                whose = np.frombuffer(own, "<u2" if len(own) == 2 * len(mine) else "<u4").astype("<u4")
-                rows.append((name, None, whose[shared].tobytes(), mine[shared].tobytes(), np.minimum(times[shared], 2**32 - 1).astype("<u4").tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+                rows.append((bucket, name, None, np.frombuffer(own, "<u2")[shared].tobytes(), packed(mine[shared]), np.minimum(times[shared], TOP).astype("<u2").tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
 
     salted = blocks.withColumn("part", F.when(F.col("bucket") < 0, F.pmod("block", F.lit(1024))).otherwise(F.lit(0)))
     return salted.groupBy("bucket", "part").applyInArrow(kernel_of(kernel), out)
@@ -220,13 +220,9 @@ def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return made ^ (made >> np.uint64(32))
 
 
-def signatures(n: int, hashes: np.ndarray, often: np.ndarray) -> np.ndarray | None:
-    """The signatures of a set of n shingles of which the given ones occur elsewhere too; None if it links with nothing."""
+def signatures(n: int, hashes: np.ndarray, rare: int) -> np.ndarray:
+    """The signatures of a set of n shingles: hashes are those that occur elsewhere too, in the order of all, the rare ones first."""
     room = missing(n) - (n - len(hashes))
-    if room < 0 or n < 2:
-        return None
-    order = np.lexsort((hashes, often))
-    hashes, rare = hashes[order], int((often <= RARE).sum())
     made = []
     for band in bands(n):
         tag = np.uint64(band)
@@ -248,14 +244,14 @@ def signatures(n: int, hashes: np.ndarray, often: np.ndarray) -> np.ndarray | No
         for d in range(1, int(np.bincount(own).max()) if len(own) else 0):
             same = own[:-d] == own[d:]
             made.append(mixed(np.minimum(rest[:-d], rest[d:])[same], np.maximum(rest[:-d], rest[d:])[same] + tag))
-    return np.unique(np.concatenate(made)) if made else None
+    return np.unique(np.concatenate(made))
 
 
-DOCS = "doc_id long, n long, digest binary, hashes binary, signatures binary"
+DOCS = "doc_id long, n long, digest binary, rare int, hashes binary"
 
 
-def indexed(parts: DataFrame) -> DataFrame:
-    """A row for each document; hashes (sorted, of what others hold too) and signatures where it may link."""
+def indexed(parts: DataFrame, split: int) -> DataFrame:
+    """A row for each document; where it may link, what others hold too (in the order of all) and how much of it is rare."""
     names = DOCS.replace(",", "").split()[::2]
 
     def kernel(table: pa.Table) -> pa.Table:
@@ -263,46 +259,52 @@ def indexed(parts: DataFrame) -> DataFrame:
         more = table.filter(pa.compute.is_null(table["docs"]))
         kept = pa.ipc.open_stream(own["docs"][0].as_py()).read_all()
         n, size = kept["n"].to_numpy(), kept.num_rows
-
-        def whole(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(more[name].to_pylist()), kind)
-
-        owner, hashes, often = whole("owner", "<u4"), whole("hashes", np.uint64), whole("often", "<u4")
+        owner, often = (np.frombuffer(b"".join(more[c].to_pylist()), "<u2") for c in ("owner", "often"))
+        hashes = np.concatenate([np.zeros(0, np.uint64)] + [unpacked(h.as_py(), b.as_py() >> split) for b, h in zip(more["bucket"], more["hashes"])])
+        del table, more
         alone = owner == size
         heavy, times = hashes[alone], often[alone]
         order = np.argsort(heavy)
         heavy, times = heavy[order], times[order]
-        mine = np.frombuffer(own["owner"][0].as_py(), np.uint32), np.frombuffer(own["hashes"][0].as_py(), np.uint64)
+        mine = np.frombuffer(own["owner"][0].as_py(), "<u2"), np.frombuffer(own["hashes"][0].as_py(), np.uint64)
         owner = np.concatenate([owner[~alone], mine[0]])
         hashes = np.concatenate([hashes[~alone], mine[1]])
         often = np.concatenate([often[~alone], times[np.searchsorted(heavy, mine[1])] if len(mine[1]) else times[:0]])
-        order = np.lexsort((hashes, owner))
+        order = np.lexsort((hashes, often, owner))
         owner, hashes, often = owner[order], hashes[order], often[order]
         edges = np.searchsorted(owner, np.arange(size + 1))
-        sets, signs = [], []
-        for i in range(size):
-            h = hashes[edges[i] : edges[i + 1]]
-            made = signatures(int(n[i]), h, often[edges[i] : edges[i + 1]]) if n[i] else None
-            sets.append(None if made is None else h.tobytes())
-            signs.append(None if made is None else made.tobytes())
-        return pa.table([kept["doc_id"], kept["n"], kept["digest"], pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=names)
+        held = np.diff(edges)
+        able = (n >= 2) & (n - held <= n + -PERCENT * n // 100)
+        rare = np.diff(np.concatenate([[0], np.cumsum(often <= RARE)])[edges])
+        sets = [shut(hashes[edges[i] : edges[i + 1]]) if able[i] else None for i in range(size)]
+        return pa.table([kept["doc_id"], kept["n"], kept["digest"], pa.array(rare, pa.int32()), pa.array(sets, pa.binary())], names=names)
 
     return parts.groupBy("block").applyInArrow(kernel_of(kernel), DOCS)
 
 
+def shut(hashes: np.ndarray) -> bytes:
+    """The six bytes of each 48-bit hash."""
+    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def opened(six: bytes) -> np.ndarray:
+    raw = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, :6] = raw
+    return whole.view(np.uint64).ravel()
+
+
 def posted(live: DataFrame) -> DataFrame:
-    """(sig, doc, n): a row for each signature of a class."""
+    """(sig, doc): a row for each signature of a class."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                signs = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-                each = [len(x) for x in signs]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(signs)), pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.repeat(part.column(1).to_numpy(), each))], ["sig", "doc", "n"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                signs = [signatures(n, opened(h), rare) for n, rare, h in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in signs]))], ["sig", "doc"])
 
-    return live.select("doc", "n", "signatures").mapInArrow(kernel, "sig long, doc long, n long")
+    return live.select("doc", "n", "rare", "hashes").mapInArrow(kernel, "sig long, doc long")
 
 
 def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -314,7 +316,7 @@ def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
         for b in batches:
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
             same = np.array([
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                len(np.intersect1d(opened(x), opened(y), assume_unique=True))
                 for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())
             ], np.int64)
             union = na + nb - same
@@ -325,7 +327,7 @@ def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
 
 def linked(live: DataFrame) -> DataFrame:
     """(a, b): links that connect what all links together connect."""
-    post = posted(live)
+    post = posted(live).repartition("sig")  # one exchange serves both sides of the join
     lists = post.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("sig", "lead")
     useful = stage(post.join(lists, "sig"), "postings")
     shared = useful.where("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
@@ -343,13 +345,16 @@ def linked(live: DataFrame) -> DataFrame:
     links = cut(links.union(more))
     group = cut(components(links))
 
-    joined = useful.join(group.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+    facts = live.select("doc", "n", (F.octet_length("hashes") / 6).cast("long").alias("m")).join(group.withColumnRenamed("id", "doc"), "doc", "left")
+    joined = useful.join(facts, "doc").select("sig", "n", "m", F.coalesce("component", "doc").alias("comp"))
     ends = joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
     active = stage(joined.join(ends, "sig"), "active")
-    heads = active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left = heads.select("sig", F.col("comp").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    right = heads.select("sig", F.col("comp").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"))
+    # what two classes share is at most what the one of them shares with anything, so components that can't reach the bound don't meet
+    heads = active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("m").alias("held"))
+    left = heads.select("sig", F.col("comp").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("held").alias("ha"))
+    right = heads.select("sig", F.col("comp").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("held").alias("hb"))
     fits = (F.col("a") < F.col("b")) & (100 * F.col("ma") >= PERCENT * F.col("lb")) & (100 * F.col("mb") >= PERCENT * F.col("la"))
+    fits &= (100 + PERCENT) * F.least("ha", "hb") >= PERCENT * (F.col("la") + F.col("lb"))
     across = stage(left.join(right, "sig").where(fits).select("a", "b").distinct(), "across")
     # the radius of each component that takes part, around its leader
     named = across.select(F.col("a").alias("component")).union(across.select(F.col("b").alias("component"))).distinct()
@@ -391,7 +396,7 @@ def crossed(pairs: DataFrame, group: DataFrame, live: DataFrame) -> DataFrame:
     def kernel(table: pa.Table) -> pa.Table:
         side = table["small"].is_null().to_numpy()
         docs, n = table["doc"].to_numpy(), table["n"].to_numpy()
-        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        sets = [opened(h) for h in table["hashes"].to_pylist()]
         base = np.flatnonzero(side)
         made = []
         if len(base):
@@ -414,10 +419,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """doc_id, n_shingles, component_id for every row of df."""
     texts = two(df, key, text)
     split = splits(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
-    every = stage(indexed(counted(dealt(texts, split), split)), "sets")
+    every = stage(indexed(counted(dealt(texts, split), split), split), "sets")
     classes = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"))
-    holders = every.where("signatures IS NOT NULL").select("digest", F.col("doc_id").alias("doc"), "n", "hashes", "signatures")
-    live = stage(holders.join(classes, ["digest", "doc"]).dropDuplicates(["doc", "digest"]).select("doc", "n", "hashes", "signatures"), "live")
+    holders = every.where("hashes IS NOT NULL").select("digest", F.col("doc_id").alias("doc"), "n", "rare", "hashes")
+    live = stage(holders.join(classes, ["digest", "doc"]).dropDuplicates(["doc", "digest"]).select("doc", "n", "rare", "hashes"), "live")
     found = components(linked(live))
     facts = every.select("doc_id", "n", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("id", "doc"), "doc", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc", "doc_id")).otherwise(F.col("doc_id"))
