@@ -16,10 +16,12 @@ t = n - ceil(PERCENT n / 100) of x's n shingles are missing in y.
    carry a band of set sizes; a set is indexed in each band where a partner could
    be the larger one. (The bound can be reached but for sets of one shingle, which
    link with equal sets only.)
+   Each signature knows its reach: what two sets can share at most if it is the first
+   in that order which they have in common.
 3. Equal sets become one class, which the smallest id stands for. Every class is
    verified against the candidate that shares most signatures with it; links form
    components. Then, where a signature's classes lie in different components, the
-   components' leaders are compared. Where the triangle inequality of the Jaccard
+   components' leaders are compared, unless their sizes and reaches rule out a link. Where the triangle inequality of the Jaccard
    distance doesn't rule out a link of two components, all their members are
    compared, in cells of bounded size. Pairs within a component need no check, so a large group of copies costs its size, not
    its square, and no link between components is lost.
@@ -45,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import attach, table
@@ -220,16 +222,21 @@ def mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     return made ^ (made >> np.uint64(32))
 
 
-def signatures(n: int, hashes: np.ndarray, rare: int) -> np.ndarray:
-    """The signatures of a set of n shingles: hashes are those that occur elsewhere too, in the order of all, the rare ones first."""
-    room = missing(n) - (n - len(hashes))
-    made = []
+def signatures(n: int, hashes: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set of n shingles: hashes are those that occur elsewhere too, in the order of all, the rare ones first.
+
+    With each goes the reach: the most that the set can share with a partner whose first common signature this is. Of a
+    single, nothing before it is common; of a pair, at most one shingle of each other sub-class before its first member."""
+    m = len(hashes)
+    room = missing(n) - (n - m)
+    made, reach = [], []
     for band in bands(n):
         tag = np.uint64(band)
+        singles = room + 1 if rare > room else rare
+        made.append(mixed(hashes[:singles], tag))
+        reach.append(m - np.arange(singles))
         if rare > room:
-            made.append(mixed(hashes[: room + 1], tag))
             continue
-        made.append(mixed(hashes[:rare], tag))
         short = room + 1 - rare
         rest = hashes[rare:]
         classes = max(1, (1 << band) // 32)
@@ -241,10 +248,13 @@ def signatures(n: int, hashes: np.ndarray, rare: int) -> np.ndarray:
         rest, own = rest[:upto], own[:upto]
         by = np.argsort(own, kind="stable")
         rest, own = rest[by], own[by]
+        left = m - rare - by + np.minimum(classes - 1, by)
         for d in range(1, int(np.bincount(own).max()) if len(own) else 0):
             same = own[:-d] == own[d:]
             made.append(mixed(np.minimum(rest[:-d], rest[d:])[same], np.maximum(rest[:-d], rest[d:])[same] + tag))
-    return np.unique(np.concatenate(made))
+            reach.append(left[:-d][same])
+    made, at = np.unique(np.concatenate(made), return_index=True)
+    return made, np.concatenate(reach)[at]
 
 
 DOCS = "doc_id long, n long, digest binary, rare int, hashes binary"
@@ -295,16 +305,17 @@ def opened(six: bytes) -> np.ndarray:
 
 
 def posted(live: DataFrame) -> DataFrame:
-    """(sig, doc): a row for each signature of a class."""
+    """(sig, doc, reach): a row for each signature of a class."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 signs = [signatures(n, opened(h), rare) for n, rare, h in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), [len(x) for x in signs]))], ["sig", "doc"])
+                docs = np.repeat(part.column(0).to_numpy(), [len(x) for x, _ in signs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in signs]).view(np.int64)), pa.array(docs), pa.array(np.concatenate([r for _, r in signs]), pa.int32())], ["sig", "doc", "reach"])
 
-    return live.select("doc", "n", "rare", "hashes").mapInArrow(kernel, "sig long, doc long")
+    return live.select("doc", "n", "rare", "hashes").mapInArrow(kernel, "sig long, doc long, reach int")
 
 
 def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -327,9 +338,8 @@ def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
 
 def linked(live: DataFrame) -> DataFrame:
     """(a, b): links that connect what all links together connect."""
-    post = posted(live).repartition("sig")  # one exchange serves both sides of the join
-    lists = post.groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("sig", "lead")
-    useful = stage(post.join(lists, "sig"), "postings")
+    every = Window.partitionBy("sig")  # one exchange; a hot signature's rows spill
+    useful = stage(posted(live).withColumn("lead", F.min("doc").over(every)).withColumn("last", F.max("doc").over(every)).where("lead < last").drop("last"), "postings")
     shared = useful.where("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("lead")).alias("m")))["m"].alias("m"))
     first = cut(verified(best.select(F.col("doc").alias("a"), (-F.col("m")).alias("b")), live))
@@ -345,12 +355,12 @@ def linked(live: DataFrame) -> DataFrame:
     links = cut(links.union(more))
     group = cut(components(links))
 
-    facts = live.select("doc", "n", (F.octet_length("hashes") / 6).cast("long").alias("m")).join(group.withColumnRenamed("id", "doc"), "doc", "left")
-    joined = useful.join(facts, "doc").select("sig", "n", "m", F.coalesce("component", "doc").alias("comp"))
+    facts = live.select("doc", "n").join(group.withColumnRenamed("id", "doc"), "doc", "left")
+    joined = useful.join(facts, "doc").select("sig", "n", "reach", F.coalesce("component", "doc").alias("comp"))
     ends = joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
     active = stage(joined.join(ends, "sig"), "active")
-    # what two classes share is at most what the one of them shares with anything, so components that can't reach the bound don't meet
-    heads = active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("m").alias("held"))
+    # a link passes this test at its first common signature, so components that pass it at none have no link
+    heads = active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("held"))
     left = heads.select("sig", F.col("comp").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("held").alias("ha"))
     right = heads.select("sig", F.col("comp").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("held").alias("hb"))
     fits = (F.col("a") < F.col("b")) & (100 * F.col("ma") >= PERCENT * F.col("lb")) & (100 * F.col("mb") >= PERCENT * F.col("la"))
