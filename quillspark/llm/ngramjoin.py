@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from ..session import attach, table
 from .components import components
-from .shared import cut, stage, two
+from .shared import cut, slices, stage, two
 
 WIDTH, PERCENT = 5, 75
 RARE = 32
@@ -66,7 +66,7 @@ _words: dict[bytes, int] = {}
 def word_hash(word: bytes) -> int:
     made = xxhash.xxh3_64_intdigest(word)
     if len(word) < 48:
-        if len(_words) > 400_000:
+        if len(_words) > 200_000:
             _words.clear()
         _words[word] = made
     return made
@@ -160,7 +160,7 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), kinds)], names)
 
         chars = 0
-        for b in batches:
+        for b in slices(batches, 128):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 made = shingles(text)
                 docs.append((doc, len(made), xxhash.xxh3_128_digest(made.tobytes())))
