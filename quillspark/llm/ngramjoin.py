@@ -47,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +132,8 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
             sizes = np.array([len(s) for s in held])
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
             every = np.concatenate(held) >> FULL
-            block = xxhash.xxh3_64_intdigest(b"".join(d[2] for d in docs) + repr([d[0] for d in docs]).encode()) >> 1
+            # partition and number tell blocks of equal content apart
+            block = xxhash.xxh3_64_intdigest(b"".join(d[2] for d in docs) + repr((partition, number, [d[0] for d in docs])).encode()) >> 1
             order = np.argsort(every, kind="stable")
             every, owner = every[order], owner[order]
             new = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
@@ -159,7 +161,8 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), kinds)], names)
 
-        chars = 0
+        chars = number = 0
+        partition = TaskContext.get().partitionId()
         for b in slices(batches, 128):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 made = shingles(text)
@@ -168,7 +171,7 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(held) >= 60_000:
                     yield from flush()
-                    docs, held, chars = [], [], 0
+                    docs, held, chars, number = [], [], 0, number + 1
         if held:
             yield from flush()
 
@@ -265,7 +268,9 @@ def indexed(parts: DataFrame, split: int) -> DataFrame:
     names = DOCS.replace(",", "").split()[::2]
 
     def kernel(table: pa.Table) -> pa.Table:
-        own = table.filter(pa.compute.is_valid(table["docs"])).slice(0, 1)
+        own = table.filter(pa.compute.is_valid(table["docs"]))
+        if own.num_rows != 1:
+            raise ValueError(f"{own.num_rows} blocks of one name")
         more = table.filter(pa.compute.is_null(table["docs"]))
         kept = pa.ipc.open_stream(own["docs"][0].as_py()).read_all()
         n, size = kept["n"].to_numpy(), kept.num_rows

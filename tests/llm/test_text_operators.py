@@ -80,6 +80,22 @@ def test_join_of_repeated_rows_and_nothing(spark):
     assert [tuple(r) for r in ngramjoin.jaccard_components(null).collect()] == [(None, 2, None)]
 
 
+def test_join_keeps_each_row_of_blocks_with_equal_content(spark):
+    """The same rows in three partitions: none is lost, and no link comes from a passage that two documents share."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[:48] + words[60:72]), " ".join(words[:48] + words[80:92]), " ".join(words[:47] + words[60:72]), ""]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows * 3, 3), "doc_id long, text string")
+    once = sorted((i, n, c) for i, (n, c) in brute(rows).items())
+    assert once[0][2] == once[2][2] == 0 and once[1][2] == 1
+    assert sorted(tuple(r) for r in ngramjoin.jaccard_components(df).collect()) == sorted(once * 3)
+
+
+def test_join_of_many_copies_of_one_empty_row(spark):
+    none = spark.range(130_000, numPartitions=1).selectExpr("CAST(NULL AS long) AS doc_id", "'' AS text")
+    assert ngramjoin.jaccard_components(none).count() == 130_000
+
+
 # ---- pseudonyms
 
 @given(st.integers(1, 10**6).flatmap(lambda n: st.tuples(st.just(n), st.integers(0, n - 1))))
