@@ -165,9 +165,14 @@ def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int, metho
     n = len(x)
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
-    distance = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
-    core = np.sort(distance, axis=1)[:, min(min_samples, n - 1)]
-    reach = np.maximum(distance, np.maximum(core[:, None], core[None, :]))
+    reach, core, at = np.empty((n, n)), np.empty(n), min(min_samples, n - 1)
+    step = max(1, 4_000_000 // x.size)  # rows at a time, so that memory holds one matrix of n by n
+    for i in range(0, n, step):
+        rows = slice(i, i + step)
+        reach[rows] = np.sqrt(((x[rows, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        core[rows] = np.partition(reach[rows], at, axis=1)[:, at]
+    np.maximum(reach, core[:, None], out=reach)
+    np.maximum(reach, core[None, :], out=reach)
     # Prim's tree
     best, source, inside, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
     now = 0

@@ -86,9 +86,15 @@ def mmr(spark, d):
 
 
 def density(spark, d):
-    v = table(spark, d, "embeddings").where("label < 2").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
-    few = v.where("id < 150")
-    return C.search(few, few.count()).groupBy("method", "min_cluster_size", "min_samples").agg(F.countDistinct("cluster_id").alias("clusters"))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    n = v.count()
+    if n > C.LARGEST:  # beyond the density search, k-means: one setting, a cluster for each label
+        k = table(spark, d, "embeddings").select(F.countDistinct("label")).first()[0]
+        none = F.lit(None).cast("int")
+        found = C.kmeans(v, k).withColumns({"method": F.lit("kmeans"), "min_cluster_size": none, "min_samples": none})
+    else:
+        found = C.search(v, n)
+    return found.groupBy("method", "min_cluster_size", "min_samples").agg(F.countDistinct("cluster_id").alias("clusters"))
 
 
 def evidence_relations(spark, d):

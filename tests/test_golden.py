@@ -145,6 +145,22 @@ def test_mmr_prefers_new_directions(spark):
     assert [r["id"] for r in ranking.diversified(pool, 2).orderBy("place").collect()] == [0, 2]
 
 
+def test_density_search_reads_all_embeddings(spark, monkeypatch):
+    from quillspark.plans import analysis_queries
+    from tests.conftest import DATA
+
+    read, search = [], vectors.search
+    monkeypatch.setattr(vectors, "search", lambda v, n: read.append((v, n)) or search(v, n))
+    analysis_queries.density(spark, DATA)
+    every = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    (v, n), = read
+    assert n == v.count() == every.count()
+    assert v.selectExpr("min(size(v))", "max(size(v))").first() == every.selectExpr("min(size(embedding))", "max(size(embedding))").first()
+    monkeypatch.setattr(vectors, "LARGEST", 10)
+    far = analysis_queries.density(spark, DATA).collect()
+    assert [r["method"] for r in far] == ["kmeans"] and far[0]["clusters"] > 1
+
+
 def test_fuzzy_titles_against_brute_force(spark):
     titles = ["deep learning for images", "deep learning for image", "deep learning of images", "something else entirely", "deep lerning for images", "deep learning for images"]
     rows = [(i, f"p{i}", t, "", "A B", 2020 + i % 2, None, None, "s") for i, t in enumerate(titles)]
