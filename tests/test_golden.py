@@ -145,6 +145,12 @@ def test_mmr_prefers_new_directions(spark):
     assert [r["id"] for r in ranking.diversified(pool, 2).orderBy("place").collect()] == [0, 2]
 
 
+def test_mmr_reads_the_whole_pool(spark):
+    rows = [(i, 1.0 - i * 1e-5, [1.0, 0.0]) for i in range(2100)] + [(2100, 0.9, [0.0, 1.0]), (2101, -10.0, [1.0, 0.0])]
+    pool = spark.createDataFrame(rows, "id long, score double, v array<double>")
+    assert [r["id"] for r in ranking.diversified(pool, 3).orderBy("place").collect()] == [0, 2100, 1]
+
+
 def test_density_search_reads_all_embeddings(spark, monkeypatch):
     from quillspark.plans import analysis_queries
     from tests.conftest import DATA
