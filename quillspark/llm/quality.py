@@ -2,9 +2,10 @@
 
 1. A text is its tokens (words; runs of one symbol, up to three) and pairs of
    neighbours, a repeated neighbour being marked as such, hashed into BUCKETS.
-2. One pass counts the buckets over every document (raw) and over the TARGET_ROWS
-   of the smallest hash among those labelled as good (target); the counts are vectors of fixed length, summed before they
-   are shuffled. The log ratio of the smoothed models is a table of fixed size.
+2. Passes count the buckets over every document (raw) and over every one labelled as
+   good (target), whose ids are broadcast in parts of about PART_IDS: the first pass counts all rows and the first
+   part, each further one the rows of its part alone. The counts are vectors of fixed length, summed before they
+   are shuffled; no text is. The log ratio of the smoothed models is a table of fixed size.
 3. A document's log weight is the sum of the ratios of its n-grams, measured from
    a cut per n-gram that parts good from bad labelled rows best.
 4. k documents are drawn without replacement with probability by weight: each
@@ -19,6 +20,7 @@ both models agree, all weights are 0 and all documents stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from ..session import attach, table
 from .shared import slices, stage, two
 
 BUCKETS, SMOOTH = 1 << 16, 1.0
-FIT_ROWS, TARGET_ROWS = 12_000, 20_000
+FIT_ROWS, PART_IDS = 12_000, 500_000
 BINS = 1024
 TOKENS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]+").findall
 _hashes: dict[str, int] = {}
@@ -67,22 +69,28 @@ def grams(text: str) -> np.ndarray:
 def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of target to raw for each bucket, from all documents."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    few = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("good", F.lit(1))
-    rows = two(docs, "doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", "good")
+    parts = max(1, -(-good.count() // PART_IDS))
+    texts = two(docs, "doc_id", "text")
+
+    def part(i: int) -> DataFrame:
+        ids = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i).withColumn("good", F.lit(1))
+        rows = texts.join(F.broadcast(ids), "doc_id", "inner" if i else "left")
+        return rows.select("text", "good", F.lit(i == 0).alias("raw")).mapInArrow(kernel, "slot long, n long")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, target, raw in zip(*(c.to_pylist() for c in b.columns)):
                 found = np.bincount(grams(text), minlength=BUCKETS) if text else 0
-                sums[0] += found
+                if raw:
+                    sums[0] += found
                 if target:
                     sums[1] += found
         for kind in (0, 1):
             used = np.flatnonzero(sums[kind])
             yield pa.RecordBatch.from_arrays([pa.array(used * 2 + kind), pa.array(sums[kind][used])], ["slot", "n"])
 
-    got = rows.mapInArrow(kernel, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    got = reduce(DataFrame.union, map(part, range(parts))).groupBy("slot").agg(F.sum("n").alias("n")).collect()
     sums = np.full((2, BUCKETS), SMOOTH)
     for r in got:
         sums[r["slot"] % 2, r["slot"] // 2] += r["n"]

@@ -248,6 +248,19 @@ def test_quality_keeps_the_good(spark):
     assert share(1) > 0.97 and share(0) < 0.1
 
 
+def test_quality_counts_every_good_document(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "TARGET_ROWS", 3, raising=False)  # the bound of old
+    monkeypatch.setattr(quality, "PART_IDS", 3, raising=False)
+    texts = [f"w{i} common words x{i % 5}" for i in range(24)] + [None]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 20)] + [(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    every = lambda chosen: np.bincount(np.concatenate([quality.grams(t) for t in chosen]), minlength=quality.BUCKETS) + 1.0
+    raw, target = every(texts[:24]), every(texts[1:20:2])
+    found = quality.models(frame(spark, texts), labels)
+    assert np.allclose(found, np.log(target / target.sum()) - np.log(raw / raw.sum()))
+
+
 def test_quality_edge_cases(spark):
     docs, none = frame(spark, [None, "", "some words", "some words"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["kept"] for r in quality.resample(docs, none).collect()] == [True] * 4
