@@ -9,7 +9,10 @@ The map is a permutation under the key, so equal values stay linked across
 documents, different ones stay apart, and the owner of the key can go back.
 
 Defined results: null texts stay null, empty ones empty; what fails validation
-stays as it is; a value is never mapped twice, kinds being tried in a fixed order
+stays as it is, and the search goes on one character after its start (so a card
+behind another group of four digits is found; on the way back such a group and the
+new digits may form a valid number by chance, and then that text isn't restored);
+account numbers in groups of four end at their country's length; a value is never mapped twice, kinds being tried in a fixed order
 at each place. Extra columns and repeated rows pass through.
 """
 from __future__ import annotations
@@ -34,12 +37,17 @@ FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 KINDS = ("email", "iban", "card", "date", "phone", "ip")
 FOUND = regex.compile(
     r"(?<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9]))"
+    r"|(?<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
     r"|(?<date>(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d))"
     r"|(?<phone>(?<![\d(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))"
     r"|(?<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?<card>(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d))"
+    r"|(?<card>(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<!\d)\d{13,19}(?!\d))"
 )
+# the length of an account number by country: where one in groups of four ends
+LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
 
 MAY = regex.compile(r"[0-9@]|\p{Nd}").search  # every kind has a digit or an at sign
 
@@ -111,10 +119,10 @@ def pseudonym(kind: str, value: str, secret: bytes, back: bool = False) -> str |
         local, _, domain = value.partition("@")
         return f"{letters(local, secret, 'email', back)}@{domain}" if any(c.isalnum() for c in local) else None
     if kind == "iban":
-        if iban_rest(value) != 1:
+        if iban_rest(value.replace(" ", "")) != 1:
             return None
         body = letters(value[4:], secret, "iban", back)
-        return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + body):02}{body}"
+        return f"{value[:2]}{98 - iban_rest(value[:2] + '00' + body.replace(' ', '')):02}{body}"
     if kind == "card":
         if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]):
             return None
@@ -141,15 +149,30 @@ def pseudonym(kind: str, value: str, secret: bytes, back: bool = False) -> str |
     return ".".join(map(str, permuted(number, 1 << 32, secret, "ip", back).to_bytes(4, "big")))
 
 
+def grouped(value: str) -> str:
+    """The account number at the start of groups of four, or nothing where no group ends at its country's length."""
+    n, seen = LENGTHS.get(value[:2], 0), 0
+    for i, c in enumerate(value):
+        seen += c != " "
+        if seen == n:
+            return value[: i + 1] if value[i + 1 : i + 2] in ("", " ") else ""
+    return ""
+
+
 def replaced(text: str, secret: bytes, counts: dict[str, int], back: bool = False) -> str:
-    def swap(m: regex.Match) -> str:
-        new = pseudonym(m.lastgroup, m[0], secret, back)
+    made, done, at = [], 0, 0
+    while m := FOUND.search(text, at):
+        kind, value = m.lastgroup, m[0]
+        if kind == "iban" and " " in value:
+            value = grouped(value)
+        new = pseudonym(kind, value, secret, back) if value else None
         if new is None:
-            return m[0]
-        counts[m.lastgroup] += 1
-        return new
-
-    return FOUND.sub(swap, text)
+            at = m.start() + 1  # what starts inside a failed match is tried too
+            continue
+        counts[kind] += 1
+        made += [text[done : m.start()], new]
+        done = at = m.start() + len(value)
+    return "".join(made) + text[done:]
 
 
 def pseudonymise(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = DEFAULT_KEY, back: bool = False) -> DataFrame:

@@ -128,6 +128,20 @@ def test_pseudonyms_keep_format_and_go_back(kind):
         assert [c for c in re.sub(r"\d+", "", new)] == [c for c in re.sub(r"\d+", "", value)]
 
 
+@pytest.mark.parametrize("text, value, kind", [
+    ("in 2024 4111 1111 1111 1111 it", "4111 1111 1111 1111", "card"), ("1234 2024 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+    ("card 3782 822463 10005.", "3782 822463 10005", "card"), ("at GB82 WEST 1234 5698 7654 32 NOW", "GB82 WEST 1234 5698 7654 32", "iban"),
+    ("DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00", "iban"), ("NO93 8601 1117 947 AND", "NO93 8601 1117 947", "iban"),
+    ("BE68 5390 0754 7034 THEN", "BE68 5390 0754 7034", "iban"),
+])
+def test_pii_finds_what_a_failed_match_or_grouping_hid(text, value, kind):
+    counts = dict.fromkeys(pii.KINDS, 0)
+    new = pii.pseudonym(kind, value, b"k")
+    assert new and [c.isalnum() for c in new] == [c.isalnum() for c in value] and pii.pseudonym(kind, new, b"k", True) == value
+    assert pii.replaced(text, b"k", counts) == text.replace(value, new)
+    assert counts == dict.fromkeys(pii.KINDS, 0) | {kind: 1}
+
+
 def test_pii_leaves_the_rest_alone(spark):
     texts = [None, "", "no data 2024-13-45 and 4111111111111112", f"mail {VALUES['email']} twice {VALUES['email']}", "x " * 20000 + VALUES["ip"]]
     got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
