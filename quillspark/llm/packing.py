@@ -11,8 +11,8 @@
    rounding leaves, a number bounded by the patterns, is packed best-fit; bins
    that stay open are joined and cut at CAPACITY, the last one at powers of two,
    which need no padding.
-4. Pieces are ranked within their length (counts by salt, then a running sum, so
-   no length meets in one task) and a rank's pattern copy is arithmetic: a join
+4. Pieces are ranked within their length (counts by salt, then running sums in two
+   steps, so no length meets in one task) and a rank's pattern copy is arithmetic: a join
    to a plan whose size depends on the lengths only.
 5. The few documents cut in step 3 are encoded once more for their checksums.
 
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import attach, table
-from .bpe import codec, default_path
-from .shared import slices, stage, two
+from .bpe import CHARS, codec, default_path
+from .shared import borrowed, sized, slices, stage, two
 
 CAPACITY, END = 2048, 1
 EXACT, GRID = 128, 32
-SALTS = 4096
+SALTS, FAN = 4096, 64
 GAP = 1e-4
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 Cut = list[tuple[int, int]]
@@ -55,14 +55,22 @@ def cuts(n: int, capacity: int = CAPACITY) -> Cut:
 
 def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = codec(path).encode, np.array([END], "<u4").tobytes()
-        for b in slices(batches, 4096):
-            rows = []
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(x) + end
-                n = len(ids) // 4
-                rows += [(doc, at, k, zlib.crc32(ids[4 * at : 4 * (at + k)]), n) for at, k in cuts(n, capacity)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        known = codec(path)
+        with borrowed():
+            for b in sized(batches, 1, CHARS):
+                ids, ends = known.encode_all(b.column(1).to_pylist())
+                # END goes behind each document's ids
+                every = np.insert(ids, ends[1:], END).astype("<u4")
+                raw, first = memoryview(every).cast("B"), ends[:-1] + np.arange(len(ends) - 1)
+                total = np.diff(ends) + 1
+                cut = [cuts(n, capacity) for n in total.tolist()]
+                times = np.fromiter(map(len, cut), np.int64, len(cut))
+                at, size = np.array([x for c in cut for x in c], np.int64).reshape(-1, 2).T
+                begin = 4 * (np.repeat(first, times) + at)
+                crc = [zlib.crc32(raw[a:z]) for a, z in zip(begin.tolist(), (begin + 4 * size).tolist())]
+                which = np.repeat(np.arange(len(cut)), times)
+                made = [b.column(0).take(pa.array(which)), pa.array(at), pa.array(size), pa.array(crc, pa.int64()), pa.array(total[which])]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return two(df, key, text).mapInArrow(kernel, PIECE)
 
@@ -196,11 +204,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 
 
 def ranked(made: DataFrame) -> DataFrame:
-    """made with the rank from 0 of each piece among those of its length, without gathering a length in one task."""
+    """made with the rank from 0 of each piece among those of its length, without gathering a length in one task.
+
+    Counts by salt become running sums in two steps, over at most SALTS / FAN rows and over FAN rows of a length."""
     salted = made.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).withColumn("fan", F.expr(f"salt div {FAN}"))
+    before = lambda key, order: Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    upper = counts.groupBy("length", "fan").agg(F.sum("n").alias("n"))
+    upper = upper.select("length", "fan", F.coalesce(F.sum("n").over(before(["length"], "fan")), F.lit(0)).alias("above"))
+    inner = counts.select("length", "fan", "salt", F.coalesce(F.sum("n").over(before(["length", "fan"], "salt")), F.lit(0)).alias("within"))
+    base = inner.join(upper, ["length", "fan"]).select("length", "salt", (F.col("above") + F.col("within")).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     within = salted.withColumn("at", F.row_number().over(own) - 1)
     return within.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("at")).drop("salt", "base", "at")
@@ -232,11 +245,11 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     joined = texts.join(F.broadcast(asked), F.col("doc_id").eqNullSafe(F.col("own"))).select("doc_id", "text", "asked")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = codec(path).encode, np.array([END], "<u4").tobytes()
+        encode = codec(path).encode
         for b in slices(batches):
             rows = []
             for doc, x, wanted in zip(*(c.to_pylist() for c in b.columns)):
-                ids = encode(x) + end
+                ids = np.array([*encode(x), END], "<u4").tobytes()
                 for w in wanted:
                     piece = ids[4 * w["start"] : 4 * (w["start"] + w["length"])]
                     if len(piece) == 4 * w["length"] and zlib.crc32(piece) == w["ids_crc32"]:
