@@ -4,7 +4,7 @@ Every round each vertex joins its neighbour (or itself) of the least priority, a
 hash that changes with the round; edges are then renamed to the joined vertices
 and those within one vertex go. The number of vertices that still have edges
 falls geometrically, whatever order the ids came in. Parents of each round are
-checkpointed and composed. Once LOCAL edges or fewer are left, one task on an
+written to the shared folder and composed. Once LOCAL edges or fewer are left, one task on an
 executor joins them by union-find: a bounded table, with the same result. Nothing
 is collected to the driver but a count.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import stage
 
 LOCAL = 500_000
 
@@ -50,24 +50,24 @@ def joined_locally(live: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex of edges (a, b): component is the smallest id that links reach."""
-    live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     parents: list[DataFrame] = []
     for seed in range(rounds):
         if not (edges_left := live.count()):
             break
         if edges_left <= LOCAL:
-            parents.append(cut(joined_locally(live)))
+            parents.append(stage(joined_locally(live), "parents"))
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.xxhash64(F.lit(seed), F.col(c))
         least = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("to"))).alias("m"))
         own = F.struct(rank("a").alias("r"), F.col("a").alias("to"))
-        joined = cut(least.select(F.col("a").alias("id"), F.least(F.col("m"), own)["to"].alias("parent")))
+        joined = stage(least.select(F.col("a").alias("id"), F.least(F.col("m"), own)["to"].alias("parent")), "parents")
         parents.append(joined)
         left = joined.select(F.col("id").alias("a"), F.col("parent").alias("pa"))
         right = joined.select(F.col("id").alias("b"), F.col("parent").alias("pb"))
         moved = live.join(left, "a").join(right, "b").where("pa <> pb")
-        live = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        live = stage(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     else:
         raise RuntimeError("components did not converge")
     if not parents:
@@ -78,5 +78,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return found.join(step, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"))
 
     found = reduce(follow, parents)
-    least = found.groupBy("parent").agg(F.min("id").alias("component"))
+    # written first, so that the join has plain exchanges and a crowded component is split
+    least = stage(found.groupBy("parent").agg(F.min("id").alias("component")), "least")
     return found.join(least, "parent").select("id", "component")

@@ -21,10 +21,12 @@ t = n - ceil(PERCENT n / 100) of x's n shingles are missing in y.
 3. Equal sets become one class, which the smallest id stands for. Every class is
    verified against the candidate that shares most signatures with it; links form
    components. Then, where a signature's classes lie in different components, the
-   components' leaders are compared, unless their sizes and reaches rule out a link. Where the triangle inequality of the Jaccard
+   components' leaders are compared, unless their sizes and reaches rule out a
+   link. Where the triangle inequality of the Jaccard
    distance doesn't rule out a link of two components, all their members are
-   compared, in cells of bounded size. Pairs within a component need no check, so a large group of copies costs its size, not
-   its square, and no link between components is lost.
+   compared, in cells of bounded size. Pairs within a component need no check, so
+   a large group of copies costs its size, not its square, and no link between
+   components is lost.
 
 component_id needs no more; the links of a document are not counted.
 
@@ -48,12 +50,12 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import attach, table
 from .components import components
-from .shared import cut, slices, stage, two
+from .shared import borrowed, scratch, slices, stage, two
 
 WIDTH, PERCENT = 5, 75
 RARE = 32
@@ -67,7 +69,7 @@ _words: dict[bytes, int] = {}
 def word_hash(word: bytes) -> int:
     made = xxhash.xxh3_64_intdigest(word)
     if len(word) < 48:
-        if len(_words) > 200_000:
+        if len(_words) > 100_000:
             _words.clear()
         _words[word] = made
     return made
@@ -163,17 +165,18 @@ def dealt(texts: DataFrame, split: int) -> DataFrame:
 
         chars = number = 0
         partition = TaskContext.get().partitionId()
-        for b in slices(batches, 128):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                made = shingles(text)
-                docs.append((doc, len(made), xxhash.xxh3_128_digest(made.tobytes())))
-                held.append(made)
-                chars += len(text)
-                if chars >= BLOCK_CHARS or len(held) >= 60_000:
-                    yield from flush()
-                    docs, held, chars, number = [], [], 0, number + 1
-        if held:
-            yield from flush()
+        with borrowed(_words):
+            for b in slices(batches, 128):
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    made = shingles(text)
+                    docs.append((doc, len(made), xxhash.xxh3_128_digest(made.tobytes())))
+                    held.append(made)
+                    chars += len(text)
+                    if chars >= BLOCK_CHARS or len(held) >= 60_000:
+                        yield from flush()
+                        docs, held, chars, number = [], [], 0, number + 1
+            if held:
+                yield from flush()
 
     return texts.mapInArrow(kernel, DEALT)
 
@@ -323,47 +326,61 @@ def posted(live: DataFrame) -> DataFrame:
     return live.select("doc", "n", "rare", "hashes").mapInArrow(kernel, "sig long, doc long, reach int")
 
 
+STARS = 64
+
+
 def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """(a, b, link, distance) of pairs (a, b)."""
-    side = lambda x: live.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
-    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb")
+    """(a, b, link, distance) of pairs (a, b).
+
+    The pairs of one b meet in up to STARS parts, and b's set is sent once to each, not once with every partner."""
+    asked = stage(pairs.select("a", F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.lit(STARS)).alias("part")), "pairs")
+    spokes = asked.select("hub", "part", F.col("a").alias("doc"), F.lit(1).alias("spoke"))
+    hubs = asked.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("doc"), F.lit(0).alias("spoke"))
+    rows = spokes.unionByName(hubs).join(live.select("doc", "n", "hashes"), "doc").select("hub", "part", "spoke", "doc", "n", "hashes")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, size, held = 0, 0, np.zeros(0, np.uint64)
         for b in batches:
-            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            same = np.array([
-                len(np.intersect1d(opened(x), opened(y), assume_unique=True))
-                for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist())
-            ], np.int64)
-            union = na + nb - same
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(100 * same >= PERCENT * union), pa.array(1 - same / union)], ["a", "b", "link", "distance"])
+            made = []
+            for i, (spoke, doc, n) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
+                mine = opened(b.column(5)[i].as_py())
+                if not spoke:
+                    hub, size, held = doc, n, np.sort(mine)
+                    continue
+                same = int((held[np.minimum(np.searchsorted(held, mine), len(held) - 1)] == mine).sum())
+                made.append((doc, hub, 100 * same >= PERCENT * (n + size - same), 1 - same / (n + size - same)))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], ["a", "b", "link", "distance"])
 
-    return rows.mapInArrow(kernel, "a long, b long, link boolean, distance double")
+    dealt = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "spoke")
+    return dealt.mapInArrow(kernel, "a long, b long, link boolean, distance double")
 
 
 def linked(live: DataFrame) -> DataFrame:
     """(a, b): links that connect what all links together connect."""
-    every = Window.partitionBy("sig")  # one exchange; a hot signature's rows spill
-    useful = stage(posted(live).withColumn("lead", F.min("doc").over(every)).withColumn("last", F.max("doc").over(every)).where("lead < last").drop("last"), "postings")
+    # written first, so that the join has plain exchanges on both sides and a hot signature's rows are split
+    ends = stage(posted(live).groupBy("sig").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("sig", "lead"), "signatures")
+    useful = stage(posted(live).join(ends, "sig"), "postings")
+    if useful.isEmpty():
+        return live.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)
     shared = useful.where("doc <> lead").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("lead")).alias("m")))["m"].alias("m"))
-    first = cut(verified(best.select(F.col("doc").alias("a"), (-F.col("m")).alias("b")), live))
+    first = stage(verified(best.select(F.col("doc").alias("a"), (-F.col("m")).alias("b")), live), "first")
     links = first.where("link").select("a", "b")
-    group = components(links)
+    group = stage(components(links), "group")
     # again, for documents whose best candidate didn't link: the one of another component with most signatures in common
-    placed = useful.join(group.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    alone = placed.where("doc = comp").join(group.select(F.col("component").alias("doc")).distinct(), "doc", "left_anti")
-    crowds = placed.join(group.select(F.col("component").alias("comp")).distinct(), "comp", "left_semi").groupBy("sig").agg(F.min("doc").alias("lead"))
-    votes = alone.join(crowds, "sig").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
-    second = votes.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("lead")).alias("m")))["m"].alias("m")).select(F.col("doc").alias("a"), (-F.col("m")).alias("b"))
-    more = cut(verified(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), live).where("link").select("a", "b"))
-    links = cut(links.union(more))
-    group = cut(components(links))
+    placed = useful.join(group.withColumnRenamed("id", "doc"), "doc", "left")
+    crowds = stage(placed.where("component IS NOT NULL").groupBy("sig").agg(F.min("doc").alias("first")), "crowds")
+    votes = placed.where("component IS NULL").join(crowds, "sig").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("n"))
+    second = votes.groupBy("doc").agg(F.max(F.struct(F.col("n"), (-F.col("first")).alias("m")))["m"].alias("m")).select(F.col("doc").alias("a"), (-F.col("m")).alias("b"))
+    more = stage(verified(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), live).where("link").select("a", "b"), "more")
+    links = links.union(more)
+    group = stage(components(links), "group")
 
     facts = live.select("doc", "n").join(group.withColumnRenamed("id", "doc"), "doc", "left")
     joined = useful.join(facts, "doc").select("sig", "n", "reach", F.coalesce("component", "doc").alias("comp"))
-    ends = joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig")
-    active = stage(joined.join(ends, "sig"), "active")
+    mixed = stage(joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig"), "mixed")
+    active = stage(joined.join(mixed, "sig"), "active")
     # a link passes this test at its first common signature, so components that pass it at none have no link
     heads = active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("held"))
     left = heads.select("sig", F.col("comp").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("held").alias("ha"))
@@ -374,9 +391,8 @@ def linked(live: DataFrame) -> DataFrame:
     # the radius of each component that takes part, around its leader
     named = across.select(F.col("a").alias("component")).union(across.select(F.col("b").alias("component"))).distinct()
     spokes = group.join(named, "component").where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    radii = cut(verified(spokes, live).select(F.col("a").alias("doc"), F.col("b").alias("comp"), "distance"))
-    wide = radii.groupBy("comp").agg(F.max("distance").alias("r"))
-    met = cut(verified(across, live))
+    wide = stage(verified(spokes, live).groupBy(F.col("b").alias("comp")).agg(F.max("distance").alias("r")), "radii")
+    met = stage(verified(across, live), "met")
     limit = 1 - PERCENT / 100 + EPS
     reach = met.join(wide.select(F.col("comp").alias("a"), F.col("r").alias("ra")), "a", "left").join(wide.select(F.col("comp").alias("b"), F.col("r").alias("rb")), "b", "left")
     open_ = reach.where(~F.col("link") & (F.col("ra").isNotNull() | F.col("rb").isNotNull()))
@@ -435,12 +451,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     texts = two(df, key, text)
     split = splits(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
     every = stage(indexed(counted(dealt(texts, split), split), split), "sets")
-    classes = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"))
+    classes = stage(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc")), "classes")
     holders = every.where("hashes IS NOT NULL").select("digest", F.col("doc_id").alias("doc"), "n", "rare", "hashes")
-    live = stage(holders.join(classes, ["digest", "doc"]).dropDuplicates(["doc", "digest"]).select("doc", "n", "rare", "hashes"), "live")
-    found = components(linked(live))
-    facts = every.select("doc_id", "n", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("id", "doc"), "doc", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc", "doc_id")).otherwise(F.col("doc_id"))
+    with scratch() as keep:
+        live = stage(holders.join(classes, ["digest", "doc"]).dropDuplicates(["doc", "digest"]).select("doc", "n", "rare", "hashes"), "live")
+        found = components(linked(live)).withColumnRenamed("id", "doc")
+        # classes get their component before they meet the rows: the join with a crowd of copies is the last and has no aggregate beside it
+        placed = keep(classes.join(found, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component")), "placed")
+    own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    facts = every.select("doc_id", "n", "digest").join(placed, "digest", "left")
     return facts.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
