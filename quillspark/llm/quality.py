@@ -6,16 +6,18 @@
    good (target), whose ids are broadcast in parts of about PART_IDS: the first pass counts all rows and the first
    part, each further one the rows of its part alone. The counts are vectors of fixed length, summed before they
    are shuffled; no text is. The log ratio of the smoothed models is a table of fixed size.
-3. A document's log weight is the sum of the ratios of its n-grams, measured from
-   a cut per n-gram that parts good from bad labelled rows best.
+3. A document's log weight is LENGTH times the mean log ratio of its n-grams, so a
+   text weighs as if it had LENGTH of them: a sum over thousands would drown the draw.
 4. k documents are drawn without replacement with probability by weight: each
    gets log weight + Gumbel noise (from a hash of its id, so a rerun agrees), and
    the k largest stay, found by histogram refinement without gathering rows. k is
-   the number of documents whose log weight isn't negative, unless given.
+   a parameter; unless given it is the number of good documents to expect: the
+   share of good ones among labelled rows of about that weight, over all rows.
 
-Defined results: null and empty texts have no n-gram and weight 0; ties at the
-k-th key go to the smaller id (repeated rows stay or go together); without labels
-both models agree, all weights are 0 and all documents stay.
+Defined results: null and empty texts have no n-gram and log weight 0; rows whose keys
+equal the k-th stay with it (repeated rows stay or go together; rows without an id
+share one noise); without a row labelled good both models agree, all weights are 0
+and, without k, all documents stay; columns that clash with ours pass through.
 """
 from __future__ import annotations
 
@@ -31,31 +33,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import attach, table
-from .shared import slices, stage, two
+from .shared import borrowed, mapped, slices, stage, two
 
-BUCKETS, SMOOTH = 1 << 16, 1.0
-FIT_ROWS, PART_IDS = 12_000, 500_000
-BINS = 1024
+BUCKETS, SMOOTH, LENGTH = 1 << 16, 1.0, 64
+PART_IDS = 500_000
+BINS, FAR = 1024, 64
 TOKENS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]+").findall
-_hashes: dict[str, int] = {}
 
 
-def token_hash(token: str) -> int:
-    """64 bits; a run of one symbol counts as at most three, case is a mark of its own."""
-    made = _hashes.get(token)
-    if made is None:
-        if len(_hashes) > 400_000:
-            _hashes.clear()
+class Hashes(dict):
+    """Token -> 64 bits; a run of one symbol counts as at most three, case is a mark of its own."""
+
+    def __missing__(self, token: str) -> int:
         plain = token[:3] if not token[0].isalnum() else token.lower() + "\x01" * (len(token) > 2 and token.isupper())
         made = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"))
         if len(token) < 64:
-            _hashes[token] = made
-    return made
+            if len(self) >= 150_000:
+                self.clear()
+            self[token] = made
+        return made
+
+
+_hashes = Hashes()
 
 
 def grams(text: str) -> np.ndarray:
     """Buckets of a text's tokens and pairs."""
-    one = np.fromiter(map(token_hash, TOKENS(text)), np.uint64)
+    one = np.fromiter(map(_hashes.__getitem__, TOKENS(text)), np.uint64)
     if not len(one):
         return np.zeros(0, np.int64)
     left, right = one[:-1], one[1:]
@@ -79,13 +83,13 @@ def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
-        for b in batches:
-            for text, target, raw in zip(*(c.to_pylist() for c in b.columns)):
-                found = np.bincount(grams(text), minlength=BUCKETS) if text else 0
-                if raw:
-                    sums[0] += found
-                if target:
-                    sums[1] += found
+        with borrowed(_hashes):
+            for b in slices(batches, 64):
+                texts, good, raw = (c.to_pylist() for c in b.columns)
+                found = [grams(t) for t in texts]
+                for kind, asked in ((0, raw), (1, good)):
+                    if mine := [g for g, x in zip(found, asked) if x]:
+                        sums[kind] += np.bincount(np.concatenate(mine), minlength=BUCKETS)
         for kind in (0, 1):
             used = np.flatnonzero(sums[kind])
             yield pa.RecordBatch.from_arrays([pa.array(used * 2 + kind), pa.array(sums[kind][used])], ["slot", "n"])
@@ -99,48 +103,28 @@ def models(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
 
 
-ADDED = ("quill_n_grams", "quill_log_ratio")
+def weighed(docs: DataFrame, ratio: np.ndarray, name: str, text: str = "text") -> DataFrame:
+    """docs with the number of each row's n-grams and its log weight in a new column, a struct."""
+    facts = T.StructType([T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    at = docs.columns.index(text)
 
+    def kernel(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+        with borrowed(_hashes):
+            for b in slices(batches):
+                found = [grams(t or "") for t in b.column(at).to_pylist()]
+                made = [pa.array([len(g) for g in found], pa.int64()), pa.array([LENGTH * float(ratio[g].mean()) if len(g) else 0.0 for g in found])]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(made, ["n_grams", "log_weight"])], names)
 
-def weighed(docs: DataFrame, ratio: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with the number of each row's n-grams and the sum of their log ratios in the columns ADDED."""
-    kept = docs.select(*(c for c in docs.columns if c not in ADDED))
-    schema = T.StructType([*kept.schema.fields, T.StructField(ADDED[0], T.LongType()), T.StructField(ADDED[1], T.DoubleType())])
-    at, names = kept.columns.index(text), schema.names
+    return mapped(docs, kernel, **{name: facts})
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [grams(t or "") for t in b.column(at).to_pylist()]
-            made = [pa.array([len(g) for g in found], pa.int64()), pa.array([float(ratio[g].sum()) for g in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names)
-
-    return kept.mapInArrow(kernel, schema)
-
-
-def best_cut(mean: np.ndarray, good: np.ndarray) -> float:
-    """The mean log ratio that parts good from bad rows with the greatest sum of both shares."""
-    if good.all() or not good.any():
-        return float(mean.min()) - 1 if len(mean) else 0.0
-    order = np.argsort(mean)
-    mean, good = mean[order], good[order]
-    kept = 1 - np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    gone = np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    i = int((kept + gone).argmax())
-    if i == 0:
-        return float(mean[0]) - 1
-    return float(mean[i - 1] + (mean[i] - mean[i - 1]) / 2) if i < len(mean) else float(mean[-1])
-
-
-def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, int] | None:
-    """(key, tie) of the k-th row by key down, tie up; narrows a histogram until a bin is small."""
+
+def kth_largest(df: DataFrame, key: str, k: int) -> float:
+    """The k-th largest of the column key (minus infinity where there are at most k); narrows a histogram until a bin is small."""
     low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
     if not n or k >= n:
-        return None
-    live, left = df.select(key, tie), k
-    while n > 50_000 and low < high:
-        width = (high - low) / BINS
-        if width <= abs(high) * 1e-14:
-            break
+        return float("-inf")
+    live, left = df.select(key), k
+    while n > 50_000 and (width := (high - low) / BINS) > abs(high) * 1e-14:
         bin_of = F.least(F.floor((F.col(key) - low) / width), F.lit(BINS - 1)).cast("int")
         counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in live.groupBy(bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
         for b in sorted(counts, reverse=True):
@@ -148,35 +132,41 @@ def kth_largest(df: DataFrame, key: str, tie: str, k: int) -> tuple[float, int]
                 break
             left -= counts[b][0]
         live, (n, low, high) = live.where(bin_of == b), counts[b]
-    # rows of one key: the tie column decides, again by rank among at most the rows of that key
-    row = live.orderBy(F.desc(key), tie).limit(left).agg(F.min(F.struct(F.col(key), (-F.col(tie)).alias("t"))).alias("m")).first()["m"]
-    return row[key], -row["t"]
+    if n > 50_000:  # rows of one key
+        return low
+    return live.orderBy(F.desc(key)).limit(left).agg(F.min(key)).first()[0]
+
 
+def expected_good(rows: DataFrame, labels: DataFrame) -> int | None:
+    """How many of rows (doc_id, log_weight) are good, by the labelled ones of about that weight; None without labels.
 
-def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1, keep_text: bool = True) -> DataFrame:
-    """docs (doc_id, text and what else they have) with log_weight, gumbel_key and kept of every row."""
+    Where no labelled row has that weight, documents of a weight of 1 or more count."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    rows = weighed(docs, models(docs, labels))
+    placed = rows.select("doc_id", F.floor(F.greatest(F.least("log_weight", F.lit(float(FAR))), F.lit(float(-FAR)))).alias("b"))
+    every = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = placed.join(known, "doc_id").groupBy("b").agg(F.avg((F.col("quality") == 1).cast("double")).alias("share")).collect()
+    share = {r["b"]: r["share"] for r in seen}
+    return round(sum(r["n"] * share.get(r["b"], float(r["b"] >= 0)) for r in every)) if share else None
+
+
+def drawn(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1, name: str = "draw", keep_text: bool = True) -> DataFrame:
+    """docs (doc_id, text and what else they have) with a new column, a struct of n_grams, log_weight, gumbel_key and kept."""
+    ratio = models(docs, labels)
+    rows = weighed(docs, ratio, name)
     rows = stage(rows if keep_text else rows.drop("text"), "weighed")
-    n, ratio, doc = F.col(ADDED[0]), F.col(ADDED[1]), F.col("doc_id").cast("long")
-    few = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
-    seen = rows.where(n > 0).select(doc.alias("doc_id"), (ratio / n).alias("m")).join(few, "doc_id").select("m", "quality").collect()
-    at = best_cut(np.array([r["m"] for r in seen]), np.array([r["quality"] == 1 for r in seen], bool))
+    doc, own = F.col("doc_id").cast("long"), F.col(f"`{name}`")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = rows.withColumn("log_weight", ratio - F.lit(at) * n)
-    keyed = keyed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    number = keyed.where("log_weight >= 0").count() if k is None else k
-    ranked = keyed.select(F.coalesce(doc, F.lit(-1 << 62)).alias("tie"), "gumbel_key")
-    last = kth_largest(ranked, "gumbel_key", "tie", number) if number else (float("inf"), -1)
-    tie = F.coalesce(doc, F.lit(-1 << 62))
-    kept = F.lit(True) if last is None else (F.col("gumbel_key") > last[0]) | ((F.col("gumbel_key") == last[0]) & (tie <= last[1]))
-    return keyed.withColumn("kept", kept)
+    gumbel = own["log_weight"] - F.log(-F.log(uniform))
+    keyed = rows.select(doc.alias("doc_id"), own["log_weight"].alias("log_weight"), gumbel.alias("gumbel_key"))
+    if k is None:
+        k = expected_good(keyed, labels) if ratio.any() else None
+    last = float("-inf") if k is None else kth_largest(keyed, "gumbel_key", k) if k else float("inf")
+    return rows.withColumn(name, F.struct(own["n_grams"].alias("n_grams"), own["log_weight"].alias("log_weight"), gumbel.alias("gumbel_key"), (gumbel >= last).alias("kept")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, kept for every document."""
-    found = drawn(two(docs, "doc_id", "text"), labels, k, seed, keep_text=False)
-    return found.select("doc_id", F.col(ADDED[0]).alias("n_grams"), "log_weight", "gumbel_key", "kept")
+    return drawn(two(docs, "doc_id", "text"), labels, k, seed, keep_text=False).select("doc_id", "draw.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
