@@ -4,8 +4,12 @@ The field tags tokens as begin, inside or outside of a secret. A token's feature
 are its shape, the shapes of its two neighbours, whether a key word came shortly
 before, and how much of the whole text isn't plain words (the file feature).
 It is fitted by maximum conditional likelihood, around prior weights, to windows of
-a bounded sample of documents (FIT_ROWS by hash) in which the base patterns mark
-the secrets; runs of digits alone are taken as outside. Decoding is Viterbi;
+a bounded sample of documents (FIT_ROWS by hash): around what the base patterns
+mark, around runs of digits and other odd tokens, which count as outside, and one
+plain window of each text. So that it tags what the base patterns can't, windows
+are varied: a marked token takes each of the SECRET shapes, and the plain window's
+middle takes them too, as a secret without a cue; it also takes the shapes LIKE
+them, as no secret unless a key word is near and the shape is one of CUED. Decoding is Viterbi;
 tokens that no path of positive gain can enter are passed over, which is exact, so
 a long text costs a few vector operations. Base spans always stay; a tagged span
 is added where it overlaps none.
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import attach, table
-from .shared import slices, two
+from .shared import borrowed, mapped, slices, two
 
 # The base patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,16 +38,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-FIT_ROWS, FIT_WINDOWS, AROUND = 20_000, 4_000, 8
+FIT_ROWS, AROUND = 1_000, 6
 TOKENS = re.compile(r"[\w+/.=-]+|[^\s\w+/.=-]+")
 SHAPES = (
     "word", "capital", "upper", "key", "assign", "quote", "symbol", "digits", "digits6", "digits13", "hex8", "hex16",
-    "mixed", "mixed8", "mixed16", "access", "dotted", "prefixed", "edge",
+    "mixed", "mixed8", "mixed16", "access", "dotted", "prefixed", "account", "uuid", "edge",
 )
 SHAPE = {s: i for i, s in enumerate(SHAPES)}
+SECRET = [SHAPE[x] for x in ("hex16", "mixed16", "access", "prefixed")]
+LIKE = [SHAPE[x] for x in ("digits6", "digits13", "hex8", "mixed", "mixed8", "dotted", "account", "uuid")]
+CUED = [SHAPE[x] for x in ("mixed8", "uuid", "hex8")]
+UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+PREFIXED = re.compile(r"[A-Za-z]{2,6}[_-](?=[^_]*[0-9])[A-Za-z0-9_-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}")
 KEY = re.compile(r"pass(word|wd|phrase)|secret|token|api_?-?key|credential|bearer|private_?key|access_?key", re.I)
 O, B, I = 0, 1, 2  # noqa: E741
-N_FILE = 3
+N_FILE, PULL = 3, 0.002  # kinds of files; pull towards the prior weights
 
 
 def shape(token: str) -> int:
@@ -63,24 +72,32 @@ def shape(token: str) -> int:
         return SHAPE["access"]
     if re.fullmatch(r"[0-9a-f]+", core):
         return SHAPE["hex16" if len(core) >= 16 else "hex8" if len(core) >= 8 else "mixed"]
-    if re.fullmatch(r"[a-z]{2,6}[_-][A-Za-z0-9]{12,}", core):
+    if UUID.fullmatch(core):
+        return SHAPE["uuid"]
+    if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", core):
+        return SHAPE["account"]
+    if PREFIXED.fullmatch(core) and restless(core):
         return SHAPE["prefixed"]
     if core.isalpha():
         return SHAPE["word"] if core.islower() else SHAPE["capital"]
-    if re.fullmatch(r"[\d.]+|[^\W\d_]+([./-][^\W\d_]+)+", core):
+    if re.fullmatch(r"[\d.]+|[^\W\d_]+([./-][^\W\d_]+)+|[\w-]+(\.[\w-]+)*\.[a-z]{2,}", core) or "/" in core and "." in core:
         return SHAPE["dotted"]
-    digits = sum(c.isdigit() for c in core)
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:])) + sum(a.islower() and b.isupper() for a, b in zip(core, core[1:]))
-    if core.isascii() and digits and turns >= 3:
+    if core.isascii() and restless(core):
         return SHAPE["mixed16" if len(core) >= 16 else "mixed8" if len(core) >= 8 else "mixed"]
     return SHAPE["mixed"]
 
 
+def restless(core: str) -> bool:
+    """Whether letters, cases and digits change as often as in random text, and digits occur."""
+    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in core if c.isalnum()]
+    return 0 in kinds and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.25 * len(kinds)
+
+
 class Shapes(dict):
     def __missing__(self, token: str) -> int:
         found = shape(token)
         if len(token) < 48:
-            if len(self) > 400_000:
+            if len(self) > 100_000:
                 self.clear()
             self[token] = found
         return found
@@ -172,74 +189,123 @@ def windows(text: str) -> Iterator[dict]:
             centres.append(int(inside[0]))
     state[1:][(state[1:] == I) & (state[:-1] == O)] = B
     odd = np.flatnonzero((found >= SHAPE["digits"]) & (found < SHAPE["edge"]) & (state == O))
-    for c in [*centres, *odd[:2].tolist(), len(spots) // 2]:
-        part = slice(max(0, c - AROUND), c + AROUND + 1)
-        yield {k: v[part].tolist() for k, v in (("found", found), ("near", near), ("before", before), ("after", after), ("state", state))} | {"file": file}
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", steps: int = 120) -> Field:
-    names = ("found", "near", "before", "after", "state")
+    for c in [*centres, *odd.tolist(), len(spots) // 2]:
+        low, high = max(0, c - AROUND), c + AROUND + 1
+        own = (found[low:high], near[low:high], state[low:high])
+        ends = (before[low : low + 1], after[:high][-1:])
+        yield window(*own, *ends, file)
+        marked = own[2] != O
+        if marked.any():
+            for kind in SECRET:
+                yield window(np.where(marked, kind, own[0]), own[1], own[2], *ends, file)
+        elif c == len(spots) // 2:
+            middle = np.arange(len(own[0])) == c - low
+            for kind in SECRET:
+                yield window(np.where(middle, kind, own[0]), own[1], np.where(middle, B, O), *ends, file)
+            for kind in LIKE:
+                yield window(np.where(middle, kind, own[0]), own[1], own[2], *ends, file)
+            if c - low >= 1:
+                cue = np.arange(len(own[0])) == c - low - 1
+                known = np.where(cue, SHAPE["key"], own[0])
+                close = own[1] | (np.arange(len(own[0])) >= c - low) & (np.arange(len(own[0])) < c - low + 3)
+                for kind in (*SECRET, *CUED):
+                    yield window(np.where(middle, kind, known), close, np.where(middle, B, O), *ends, file)
+
+
+def window(found: np.ndarray, near: np.ndarray, state: np.ndarray, first: np.ndarray, last: np.ndarray, file: int) -> dict:
+    """One training window, its neighbours' shapes taken from itself but for those beyond its ends."""
+    parts = {"found": found, "near": near, "before": np.concatenate([first, found[:-1]]), "after": np.concatenate([found[1:], last]), "state": state}
+    return {k: v.tolist() for k, v in parts.items()} | {"file": file}
+
+
+PARTS = ("found", "near", "before", "after", "state")
+
+
+def sampled(docs: DataFrame, key: str, text: str) -> list:
+    """The distinct training windows of the FIT_ROWS documents of smallest hash, each with its number."""
     few = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = two(docs, key, text).join(F.broadcast(few), "doc_id")
+    rows = two(docs, key, text).join(F.broadcast(few), "doc_id").select("text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int32())
-        for b in slices(batches):
-            made = [(w, doc) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in windows(t)]
-            columns = [pa.array([w[k] for w, _ in made], kind) for k in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([w["file"] for w, _ in made], pa.int32()), pa.array([any(w["state"]) for w, _ in made], pa.bool_()), pa.array([d for _, d in made], pa.int64())], [*names, "file", "marked", "doc_id"])
-
-    schema = ", ".join(f"{k} array<int>" for k in names) + ", file int, marked boolean, doc_id long"
-    order = [F.xxhash64("doc_id", "found"), F.col("doc_id"), F.col("found")]
-    made = rows.mapInArrow(kernel, schema)
-    got = made.where("marked").orderBy(*order).limit(FIT_WINDOWS).collect() + made.where("NOT marked").orderBy(*order).limit(FIT_WINDOWS).collect()
+        with borrowed(_shapes):
+            for b in slices(batches):
+                made = [w for t in b.column(0).to_pylist() for w in windows(t)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([w[k] for w in made], pa.list_(pa.int32())) for k in PARTS), pa.array([w["file"] for w in made], pa.int32())], [*PARTS, "file"])
+
+    made = rows.mapInArrow(kernel, ", ".join(f"{k} array<int>" for k in PARTS) + ", file int")
+    return made.groupBy(*PARTS, "file").agg(F.count(F.lit(1)).alias("times")).orderBy(*PARTS, "file").collect()
+
+
+def likelihood(field: Field, index: dict[str, np.ndarray], size: np.ndarray, times: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean log likelihood of the windows and its gradient for each array of weights, by a scaled forward and backward pass."""
+    n, most = index["found"].shape
+    scores = field.emission(*(index[k] for k in ("found", "near", "file", "before", "after")))
+    top = scores.max(axis=2, keepdims=True)
+    emit, moves = np.exp(scores - top), np.exp(field.moves)
+    valid = np.arange(most) < size[:, None]
+    forward, scale = np.zeros_like(emit), np.ones((n, most))
+    forward[:, 0] = emit[:, 0] * np.array([1.0, 1.0, 0.0])
+    for i in range(most):
+        if i:
+            forward[:, i] = (forward[:, i - 1] @ moves) * emit[:, i]
+        scale[:, i] = np.where(valid[:, i], forward[:, i].sum(axis=1), 1.0)
+        forward[:, i] = np.where(valid[:, i, None], forward[:, i] / scale[:, i, None], 0.0)
+    backward = np.ones_like(emit)
+    pairs = np.zeros((3, 3))
+    weight = times / times.sum()
+    for i in range(most - 2, -1, -1):
+        ahead = emit[:, i + 1] * backward[:, i + 1] / scale[:, i + 1, None]
+        on = valid[:, i + 1]
+        pairs += ((forward[on, i] * weight[on, None]).T @ ahead[on]) * moves
+        backward[:, i] = np.where(on[:, None], ahead @ moves.T, 1.0)
+    state, every = index["state"], weight[:, None, None] * valid[:, :, None]
+    gap = (np.eye(3)[state] - forward * backward) * every
+    grads = []
+    for name, weights in zip(("found", "before", "after", "near", "file"), field.arrays()):
+        slot = (index[name][:, :, None] * 3 + np.arange(3)).ravel()
+        grads.append(np.bincount(slot, gap.ravel(), weights.size).reshape(weights.shape))
+    both = valid[:, 1:]
+    seen = np.bincount((state[:, :-1] * 3 + state[:, 1:])[both], np.broadcast_to(weight[:, None], both.shape)[both], 9).reshape(3, 3)
+    grads.append(np.where(np.isfinite(field.moves), seen - pairs, 0))
+    own = np.take_along_axis(scores, state[:, :, None], axis=2)[:, :, 0]
+    with np.errstate(invalid="ignore"):
+        path = (own * valid).sum(axis=1) + np.where(both, field.moves[state[:, :-1], state[:, 1:]], 0).sum(axis=1)
+    total = ((np.log(scale) + top[:, :, 0]) * valid).sum(axis=1)
+    return float(weight @ (path - total)), grads
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", steps: int = 40) -> Field:
+    """The field of maximum conditional likelihood around the prior weights, by gradient steps with moments until the gradient is small."""
+    got = sampled(docs, key, text)
     field = prior()
-    if not any(r["marked"] for r in got):
+    if not any(any(r["state"]) for r in got):
         return field
     n, most = len(got), 2 * AROUND + 1
-    padded = {k: np.zeros((n, most), np.int64) for k in names}
     size = np.array([len(r["found"]) for r in got])
+    index = {k: np.zeros((n, most), np.int64) for k in PARTS}
     for i, r in enumerate(got):
-        for k in names:
-            padded[k][i, : size[i]] = r[k]
-    file = np.array([r["file"] for r in got])
-    valid = np.arange(most) < size[:, None]
+        for k in PARTS:
+            index[k][i, : size[i]] = r[k]
+    index["file"] = np.repeat(np.array([r["file"] for r in got])[:, None], most, axis=1)
+    # both kinds of windows weigh alike
+    marked, times = index["state"].any(axis=1), np.array([r["times"] for r in got], float)
+    for kind in (marked, ~marked):
+        times[kind] /= max(times[kind].sum(), 1.0)
     start = [x.copy() for x in field.arrays()]
-    allowed = np.isfinite(field.moves)
     moment, square = [np.zeros_like(x) for x in start], [np.zeros_like(x) for x in start]
-    index = (padded["found"], padded["before"], padded["after"], padded["near"], np.repeat(file[:, None], most, axis=1))
     for t in range(1, steps + 1):
-        scores = field.emission(padded["found"], padded["near"], index[4], padded["before"], padded["after"])
-        forward, backward = np.zeros_like(scores), np.zeros_like(scores)
-        forward[:, 0] = scores[:, 0]
-        forward[:, 0, I] = -1e9
-        with np.errstate(divide="ignore"):
-            for i in range(1, most):
-                step = np.logaddexp.reduce(forward[:, i - 1, :, None] + field.moves, axis=1) + scores[:, i]
-                forward[:, i] = np.where(valid[:, i, None], step, forward[:, i - 1])
-            for i in range(most - 2, -1, -1):
-                step = np.logaddexp.reduce(field.moves + (scores[:, i + 1] + backward[:, i + 1])[:, None, :], axis=2)
-                backward[:, i] = np.where(valid[:, i + 1, None], step, 0)
-        total = np.logaddexp.reduce(forward[:, -1], axis=1)
-        expect = np.exp(np.where(valid[:, :, None], forward + backward - total[:, None, None], -np.inf))
-        gap = np.where(valid[:, :, None], np.eye(3)[padded["state"]], 0) - expect
-        grads = []
-        for where, weights in zip(index, field.arrays()[:5]):
-            g = np.zeros_like(weights)
-            np.add.at(g, where.ravel(), gap.reshape(-1, 3))
-            grads.append(g)
-        pair = forward[:, :-1, :, None] + field.moves + (scores + backward)[:, 1:, None, :] - total[:, None, None, None]
-        both = valid[:, 1:]
-        seen = np.zeros((3, 3))
-        np.add.at(seen, (padded["state"][:, :-1][both], padded["state"][:, 1:][both]), 1)
-        grads.append(np.where(allowed, seen - np.exp(pair)[both].sum(axis=0), 0))
-        for x, x0, g, m, v in zip(field.arrays(), start, grads, moment, square):
-            g = g / n - 0.002 * np.where(np.isfinite(x), x - np.where(np.isfinite(x0), x0, 0), 0)
+        largest = 0.0
+        for x, x0, g, m, v in zip(field.arrays(), start, likelihood(field, index, size, times)[1], moment, square):
+            free = np.isfinite(x)
+            g = g - PULL * np.where(free, x - np.where(free, x0, 0), 0)
+            largest = max(largest, float(np.abs(g).max()))
             m *= 0.9
             m += 0.1 * g
             v *= 0.99
             v += 0.01 * g * g
-            x += np.where(np.isfinite(x), 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6), 0)
+            x += np.where(free, 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6), 0)
+        if largest < 5e-4:
+            break
     return field
 
 
@@ -308,9 +374,10 @@ def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            made = [[{"start": a, "kind": KINDS[k], "end": z} for a, k, z in all_spans(t, field)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, kind)], ["doc_id", "spans"])
+        with borrowed(_shapes):
+            for b in slices(batches):
+                made = [[{"start": a, "kind": KINDS[k], "end": z} for a, k, z in all_spans(t, field)] for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, kind)], ["doc_id", "spans"])
 
     return two(docs, key, text).mapInArrow(kernel, f"doc_id long, spans {SPANS}")
 
@@ -336,14 +403,15 @@ def masked(text: str | None, field: Field) -> str | None:
 
 def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """docs with masked texts; everything else passes through."""
-    at, names = docs.columns.index(text), docs.columns
+    at = docs.columns.index(text)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            made = pa.array([masked(t, field) for t in b.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names)
+    def kernel(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+        with borrowed(_shapes):
+            for b in slices(batches):
+                made = pa.array([masked(t, field) for t in b.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names)
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return mapped(docs, kernel)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
