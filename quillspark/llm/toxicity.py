@@ -1,13 +1,17 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
 1. Training rows: labelled documents outside the held-out fold, the TRAIN_ROWS of
-   the smallest hash where there are more (the bound on what the driver fits).
+   the smallest hash where there are more (the bound on what the driver fits). Rows
+   without a label are left out: with them, held-out toxic documents of sf0.1 were
+   caught less often (64 % instead of 94 %), as voters alone miss many.
 2. Features of a text: its distinct lower-cased words and their beginnings of
    PREFIXES letters. Their document counts by label are gathered from all training
    rows; the most telling become voters: lexicon voters (a word) and pattern
    voters (a word beginning), each for or against.
 3. The label model: a latent class with one voter accuracy for each class, fitted
-   by expectation maximisation with the given label as one more, fallible voter.
+   by expectation maximisation. The given label is one more voter, whose accuracy
+   for each class is estimated like the others' (NOISE is where it starts, TRUST how
+   many rows of that prior it weighs).
    Voters whose residuals, given the posterior, correlate are grouped, and a group
    of m voters with mean correlation r weighs as m / (1 + (m - 1) r) votes.
 4. A logistic regression on the presence of the most telling features is fitted to
@@ -16,7 +20,8 @@
 
 Defined results: null and empty texts have no features and get the score of the
 intercept; repeated rows score alike; without a toxic or without a clean training
-row every score is the share of toxic rows (0 without rows).
+row every score is the share of toxic rows (0 without rows). A null id has no
+remainder, so it isn't held out, and no label. Very long texts are read whole.
 """
 from __future__ import annotations
 
@@ -32,12 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import attach, table
-from .shared import slices, two
+from .shared import borrowed, mapped, slices, two
 
 TRAIN_ROWS, FOLDS = 12_000, 5
 PREFIXES = (4, 5, 6, 7)
 VOTERS, FEATURES, LEAST_ROWS = 96, 2048, 4
-NOISE, CORRELATED = 0.03, 0.3
+NOISE, TRUST, CORRELATED = 0.03, 50.0, 0.3
 WORDS = regex.compile(r"\p{L}{2,}").findall
 
 
@@ -58,7 +63,7 @@ def features(text: str) -> set[str]:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
@@ -102,12 +107,17 @@ def presence(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of class 1 for each row, vote weight of each voter) from votes (1 or silent) and fallible labels."""
-    share = np.clip(labels.mean(), 0.01, 0.99)
-    post, weight = np.where(labels == 1, 1 - NOISE, NOISE), np.ones(votes.shape[1])
-    gold = np.where(labels == 1, 1, -1) * np.log((1 - NOISE) / NOISE)
+    toxic = labels == 1
+    share = np.clip(toxic.mean(), 0.01, 0.99)
+    post, weight = np.where(toxic, 1 - NOISE, NOISE), np.ones(votes.shape[1])
+    right = np.array([1 - NOISE, 1 - NOISE])  # of the label, for class 0 and class 1
     for turn in range(rounds):
         rates = [np.clip((p @ votes + 0.5) / (p.sum() + 10), 1e-4, 1 - 1e-4) for p in (post, 1 - post)]
         spoke, silent = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
+        if turn:
+            agree = np.array([((1 - post) * ~toxic).sum(), (post * toxic).sum()])
+            right = np.clip((agree + TRUST * (1 - NOISE)) / (np.array([(1 - post).sum(), post.sum()]) + TRUST), 0.6, 0.999)
+        gold = np.where(toxic, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
         if turn == 5:  # dependence, given the class
             expected = post[:, None] * rates[0] + (1 - post)[:, None] * rates[1]
             rest = votes - expected
@@ -172,29 +182,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """docs with the score of each row's whole text in a new last column (which replaces one of that name)."""
     weights, intercept = model.weights, model.intercept
-    kept = docs.select(*(c for c in docs.columns if c != name))
-    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())])
-    at, names = kept.columns.index(text), schema.names
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != name))
+    at = kept.columns.index(text)
     known: dict[str, tuple[str, ...]] = {}
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
         def of(text: str) -> float:
             found: set[str] = set()
             for w in set(WORDS(text.lower())):
                 m = known.get(w)
                 if m is None:
-                    if len(known) > 300_000:
+                    if len(known) > 100_000:
                         known.clear()
                     m = known[w] = tuple(x for x in marks(w) if x in weights)
                 if m:
                     found.update(m)
             return intercept + sum(weights[f] for f in sorted(found))
 
-        for b in slices(batches):
-            logits = np.clip(np.array([of(t or "") for t in b.column(at).to_pylist()], float), -30, 30)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-logits)))], names)
+        with borrowed(known):
+            for b in slices(batches):
+                logits = np.clip(np.array([of(t or "") for t in b.column(at).to_pylist()], float), -30, 30)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-logits)))], names)
 
-    return kept.mapInArrow(kernel, schema)
+    return mapped(kept, kernel, **{name: T.DoubleType()})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
