@@ -6,14 +6,17 @@ weights); queries in blocks of sparse rows. For each pair of blocks and each
 term, the queries' weights times the postings are scattered into a dense score
 array; a partition selects the best of the block, and a ranked window merges the
 blocks. Every query is scored against every row: the query set is stated, and
-both sides come in blocks of bounded size, dealt by a lane number, so no side is
-broadcast and no group is unbounded.
+both sides come in blocks of bounded size. The blocks meet in a grid whose sides
+follow the numbers of rows: a lane holds up to LANE_BLOCKS query blocks, a group
+about GROUP_BLOCKS candidate blocks. A candidate is sent once to each lane, a query
+once to each group; no side is broadcast and no group is unbounded.
 
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part, nor do null ids. Ties go to the smaller id. Rows that repeat an id
-are candidates each, but never of a query of that id. Empty vectors score 0 with
-everything; a query with fewer candidates than k returns them all. Vectors of
-unequal length share the terms that both have.
+are candidates each, but never of a query of that id; query rows that repeat an id
+have a list of k each. Empty vectors score 0 with everything; a query with fewer
+candidates than k returns them all. Vectors of unequal length share the terms that
+both have.
 """
 from __future__ import annotations
 
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 from ..session import attach, table
 from .shared import stage
 
-QUERY_ROWS, ROWS, LANES = 512, 4096, 16
+QUERY_ROWS, ROWS = 512, 4096
+LANE_BLOCKS, GROUP_BLOCKS = 16, 4
 SCALE, K, STEP = 1024, 10, 100
-BLOCK = "block long, ids binary, starts binary, terms binary, weights binary"
+SPARSE = ("starts", "terms", "weights")
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
@@ -44,25 +48,25 @@ def sound(vector: Column) -> Column:
 
 
 def blocks(df: DataFrame, rows: int) -> DataFrame:
-    """df (vec_id, q array<long>) as rows that hold up to so many sparse vectors each."""
+    """df (long columns, then q array<long>) as rows that hold up to so many sparse vectors each, every column as bytes."""
+    names = [*df.columns[:-1], *SPARSE]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                vectors = part.column(1)
+                vectors = part.column(part.num_columns - 1)
                 sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
                 flat = vectors.flatten().to_numpy(zero_copy_only=False)
                 terms = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 used = flat != 0
                 owner = np.repeat(np.arange(len(sizes)), sizes)[used]
                 starts = np.searchsorted(owner, np.arange(len(sizes) + 1))
-                made = (part.column(0).to_numpy(), starts.astype(np.int64), terms[used].astype(np.int64), flat[used].astype(np.int64))
-                number += 1
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in made)], BLOCK.replace(",", "").split()[::2])
+                own = [part.column(i).to_numpy() for i in range(part.num_columns - 1)]
+                made = (*own, starts.astype(np.int64), terms[used].astype(np.int64), flat[used].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names)
 
-    return df.mapInArrow(kernel, BLOCK)
+    return df.mapInArrow(kernel, ", ".join(f"{n} binary" for n in names))
 
 
 def postings(starts: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -75,10 +79,10 @@ def postings(starts: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> dict
 
 
 def scores(queries: tuple, candidates: tuple) -> np.ndarray:
-    """Dense scores, one row for each query, summed term by term."""
-    found, (_, starts, terms, weights) = postings(*candidates[1:]), queries
-    made = np.zeros((len(starts) - 1, len(candidates[0])), np.int64)
-    for term, (rows, mine) in postings(starts, terms, weights).items():
+    """Dense scores of sparse rows (starts, terms, weights), one row for each query, summed term by term."""
+    found = postings(*candidates)
+    made = np.zeros((len(queries[0]) - 1, len(candidates[0]) - 1), np.int64)
+    for term, (rows, mine) in postings(*queries).items():
         if (other := found.get(term)) is None:
             continue
         if len(rows) == len(made) and len(other[0]) == made.shape[1]:
@@ -109,24 +113,28 @@ def best(made: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int) -> tuple[
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for queries and candidates of (vec_id, q array<long>)."""
-    spark = queries.sparkSession
-    asked = stage(blocks(queries, QUERY_ROWS), "queries").withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES).cast("long")))
-    asked = asked.select("lane", *(F.col(c).alias(f"q_{c}") for c in ("ids", "starts", "terms", "weights")))
-    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long"))).alias("lane")
-    there = blocks(candidates, ROWS).drop("block").select("*", lanes)
-    cells = there.join(asked.hint("shuffle_hash"), "lane").drop("lane")
+    # numbered once, in storage: a row is a query of its own, even where its id repeats
+    asked = stage(queries.select(F.monotonically_increasing_id().alias("query"), "vec_id", "q"), "queries")
+    lanes = max(1, -(-asked.count() // (QUERY_ROWS * LANE_BLOCKS)))
+    groups = max(1, -(-candidates.count() // (ROWS * GROUP_BLOCKS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    mine = blocks(asked.withColumnRenamed("vec_id", "query_id"), QUERY_ROWS).select(
+        "query", "query_id", *(F.col(c).alias(f"q_{c}") for c in SPARSE), place("query", lanes).alias("lane"), every(groups).alias("group"))
+    there = blocks(candidates, ROWS).select("vec_id", *SPARSE, place("vec_id", groups).alias("group"), every(lanes).alias("lane"))
+    cells = there.join(mine.hint("shuffle_hash"), ["lane", "group"]).select("query", "query_id", *(f"q_{c}" for c in SPARSE), "vec_id", *SPARSE)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                parts = [np.frombuffer(b.column(c)[row].as_buffer(), np.int64) for c in range(8)]
-                mine, their = tuple(parts[4:]), tuple(parts[:4])
-                made = scores(mine, their)
-                i, j = best(made, mine[0], their[0], k)
-                yield pa.RecordBatch.from_arrays([pa.array(mine[0][i]), pa.array(their[0][j]), pa.array(made[i, j])], ["query_id", "vec_id", "score"])
-
-    found = cells.mapInArrow(kernel, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                query, own, *parts = (np.frombuffer(b.column(c)[row].as_buffer(), np.int64) for c in range(9))
+                ids = parts[3]
+                made = scores(parts[:3], parts[4:])
+                i, j = best(made, own, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(query[i]), pa.array(own[i]), pa.array(ids[j]), pa.array(made[i, j])], ["query", "query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(kernel, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
