@@ -12,7 +12,7 @@ number of links and one edge of a spanning forest to the component search.
 Defined results: vectors that are null, zero or hold null or non-finite
 components, and those of a null label, link with nothing and are their own
 component. Vectors of unequal length never link. Rows that repeat an id count as
-vectors of their own. Ties cannot occur; other columns are not read.
+vectors of their own, each with the links of its own vector. Ties cannot occur; other columns are not read.
 """
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import attach, table
 from .components import components
-from .shared import stage
+from .shared import scratch, stage
 from .topk import sound
 
 THRESHOLD, RECALL = 0.93, 0.97
@@ -49,53 +49,57 @@ def signs(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """A row for each class and table: t, bucket, label, dim, rep, weight, vector, all buckets."""
-    out = "t int, bucket long, label string, dim int, rep long, weight long, vector binary, buckets binary"
+    """A row for each class and table: t, bucket, label, dim, class."""
+    out = "t int, bucket long, label string, dim int, class long"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes):
-                part = b.take(pa.array(np.flatnonzero(sizes == dim)))
-                n = part.num_rows
-                vectors = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
-                vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+            for dim, part, vectors in by_length(b, 2):
                 found = signs(vectors, bits, tables)
-                raw, own = [v.tobytes() for v in vectors], [f.tobytes() for f in found]
+                n = part.num_rows
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, t, np.int32)), pa.array(found[:, t]), part.column(0), pa.array(np.full(n, dim, np.int32)),
-                        part.column(1), part.column(2), pa.array(raw, pa.binary()), pa.array(own, pa.binary()),
-                    ], ["t", "bucket", "label", "dim", "rep", "weight", "vector", "buckets"])
+                        pa.array(np.full(n, t, np.int32)), pa.array(found[:, t]), part.column(0), pa.array(np.full(n, dim, np.int32)), part.column(1),
+                    ], ["t", "bucket", "label", "dim", "class"])
+
+    return classes.select("label", "class", "vector").mapInArrow(kernel, out)
+
 
-    return classes.select("label", "rep", "weight", "vector").mapInArrow(kernel, out)
+def by_length(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(length, rows, unit vectors in double precision) for each length of a batch's vectors."""
+    sizes = b.column(column).value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes):
+        part = b.take(pa.array(np.flatnonzero(sizes == dim)))
+        vectors = part.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, dim)
+        yield int(dim), part, vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def compared(side: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one cell: reps, links counted here, and each rep's root among the cell's links."""
-    reps, weight = side["rep"].to_numpy(), side["weight"].to_numpy()
+def compared(side: pa.Table, threshold: float, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For one cell: classes, links counted here, and each class's root among the cell's links."""
+    names, weight = side["class"].to_numpy(), side["weight"].to_numpy()
     chunk, t = side["chunk"].to_numpy(), side["t"][0].as_py()
-    vectors = np.frombuffer(b"".join(side["vector"].to_pylist()), np.float64).reshape(len(reps), -1)
-    buckets = np.frombuffer(b"".join(side["buckets"].to_pylist()), np.int64).reshape(len(reps), -1)
+    vectors = next(by_length(side.select(["vector"]).combine_chunks().to_batches()[0], 0))[2]
     linked = vectors @ vectors.T >= threshold
     np.fill_diagonal(linked, False)
     if side["lo"][0].as_py() != side["hi"][0].as_py():
         linked &= chunk[:, None] != chunk[None, :]
     new = linked.copy()
-    for before in range(t):
-        new &= buckets[:, before][:, None] != buckets[:, before][None, :]
-    root = np.arange(len(reps))
+    if t and linked.any():  # pairs that met in a table before were counted there
+        buckets = signs(vectors, bits, tables)
+        a, b = np.nonzero(linked)
+        new[a, b] = (buckets[a, :t] != buckets[b, :t]).all(axis=1)
+    root = np.arange(len(names))
     while True:
-        least = np.where(linked, root[None, :], len(reps)).min(axis=1, initial=len(reps))
+        least = np.where(linked, root[None, :], len(names)).min(axis=1, initial=len(names))
         lower = np.minimum(root, least)
         if (lower == root).all():
             break
         root = lower
-    return reps, new @ weight, reps[root]
+    return names, new @ weight, names[root]
 
 
-def cells(dealt: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, root) from rows dealt and sorted by cell; a cell may go on in the next batch."""
+def cells(dealt: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
+    """(class, links, root) from rows dealt and sorted by cell; a cell may go on in the next batch."""
     key = ["t", "label", "dim", "bucket", "lo", "hi"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +107,9 @@ def cells(dealt: DataFrame, threshold: float) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held and sum(x.num_rows for x in held) > 1:
-                reps, links, roots = compared(pa.concat_tables(held), threshold)
-                if links.any() or (reps != roots).any():
-                    yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links), pa.array(roots)], ["rep", "links", "root"])
+                named, links, roots = compared(pa.concat_tables(held), threshold, bits, tables)
+                if links.any() or (named != roots).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(named), pa.array(links), pa.array(roots)], ["class", "links", "root"])
 
         last = None
         for b in batches:
@@ -119,36 +123,38 @@ def cells(dealt: DataFrame, threshold: float) -> DataFrame:
                 held.append(whole.slice(a, z - a))
         yield from flush()
 
-    return dealt.mapInArrow(kernel, "rep long, links long, root long")
+    return dealt.mapInArrow(kernel, "class long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of df."""
-    v = F.col(vector).cast("array<double>")
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("vector"), F.xxhash64(F.col(vector)).alias("digest"))
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"), F.xxhash64(F.col(vector)).alias("digest"))
+    squares = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & sound(F.col("vector")) & (F.coalesce(squares, F.lit(0.0)) > 0)
-    some = rows.where(usable)
-    classes = stage(some.groupBy("label", "digest", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = shape(largest, threshold)
-    made = hashed(classes, bits, tables)
-    place = ["t", "label", "dim", "bucket"]
-    counts = made.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    split = counts.withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int"))
-    chunks = made.join(split, place).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
-    other = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = other.select(*place, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "rep", "weight", "vector", "buckets")
-    cell = [*place, "lo", "hi"]
-    found = stage(cells(dealt.repartition(*cell).sortWithinPartitions(*cell), threshold), "cells")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    facts = classes.join(links, "rep", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        F.col("label").alias("l"), F.col("digest").alias("d"), F.col("vector").alias("v"),
-        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"),
-    )
+    alike = rows.where(usable).groupBy("label", "digest", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+    classes = stage(alike.withColumn("class", F.monotonically_increasing_id()), "classes")
+    with scratch() as keep:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        bits, tables = shape(largest, threshold)
+        place = ["t", "label", "dim", "bucket"]
+        made = stage(hashed(classes, bits, tables), "buckets")
+        # buckets are counted and dealt without their vectors, which join each cell once
+        split = stage(made.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*place, F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "split")
+        chunks = made.join(split, place).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("parts").cast("long")).cast("int"))
+        other = chunks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = other.select(*place, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "class")
+        dealt = dealt.join(classes.select("class", "weight", "vector"), "class")
+        cell = [*place, "lo", "hi"]
+        found = stage(cells(dealt.repartition(*cell).sortWithinPartitions(*cell), threshold, bits, tables), "cells")
+        links = found.groupBy("class").agg(F.sum("links").alias("links"))
+        joined = components(found.where("`class` <> root").select(F.col("class").alias("a"), F.col("root").alias("b")))
+        grouped = stage(classes.join(joined.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")), "grouped")
+        least = stage(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+        facts = keep(grouped.join(least, "component").join(links, "class", "left").select(
+            F.col("label").alias("l"), F.col("digest").alias("d"), F.col("vector").alias("v"),
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id"), "facts")
     on = (F.col("label") == F.col("l")) & (F.col("digest") == F.col("d")) & (F.col("vector") == F.col("v"))
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     return rows.join(facts, on, "left").select(
         "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
