@@ -1,12 +1,12 @@
 """URL filter by host-suffix and path-prefix expressions, with DataFrame functions only.
 
-A url is expanded into host suffixes (with as many labels as some rule has) and
-path prefixes (as long as some rule's path); each expression meets the rules by
-an equi-join on the first bytes of its digest, and the full digest confirms it.
-Of the rules that fit, the longest (host and path, in characters) wins.
+A url is expanded into pairs of a host suffix and a path prefix, one for each pair
+of a number of labels and a path length that some rule has; each expression meets
+the rules by an equi-join on the first bytes of its digest, and the full digest
+confirms it. Of the rules that fit, the longest (host and path, in characters) wins.
 
 Distinct urls are expanded, so a url that a third of the rows repeat is expanded
-once, and their matches are joined back to every row. The rules are broadcast
+once; their matches are written and joined back to every row. The rules are broadcast
 while they are under BROADCAST_RULES rows and shuffled beyond it.
 
 Defined results: a null url or one without "://" has an empty host and path and
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import attach, table
+from .shared import stage
 
 BROADCAST_RULES = 100_000
 PREFIX = 8
@@ -41,14 +42,14 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return lowered, path
 
 
-def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """Every host suffix x path prefix that some rule could equal."""
+def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The host suffix and path prefix of each shape (labels, path length) of a rule that the url is large enough for."""
     parts = F.split(host, r"\.", -1)
-    count = F.size(parts)
-    suffixes = F.array_compact(F.array(*(F.when(count >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels)))
-    prefixes = F.array_compact(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)))
-    pairs = F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p"))))
-    return F.when(host == "", F.array().cast("array<struct<h:string,p:string>>")).otherwise(F.flatten(pairs))
+    one = lambda labels, length: F.when(
+        (F.size(parts) >= labels) & (F.length(path) >= length),
+        F.struct(F.array_join(F.slice(parts, -labels, labels), ".").alias("h"), F.substring(path, 1, length).alias("p")))
+    none = F.array().cast("array<struct<h:string,p:string>>")
+    return F.when(host == "", none).otherwise(F.array_compact(F.array(*(one(*x) for x in shapes))))
 
 
 def digest(host: Column, path: Column) -> Column:
@@ -58,7 +59,7 @@ def digest(host: Column, path: Column) -> Column:
 
 def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """key, host, path, rule, verdict for every row of df; rules: (verdict, host, path)."""
-    facts = rules.agg(F.collect_set(F.size(F.split("host", r"\.", -1))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.count(F.lit(1)).alias("n")).first()
+    facts = rules.agg(F.collect_set(F.struct(F.size(F.split("host", r"\.", -1)), F.length("path"))).alias("shapes"), F.count(F.lit(1)).alias("n")).first()
     pages = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"))
     host, path = split_url(F.col("url"))
     if not facts["n"]:
@@ -71,10 +72,11 @@ def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str
     if facts["n"] <= BROADCAST_RULES:
         known = F.broadcast(known)
     asked = pages.where(F.col("url").isNotNull()).select("url").distinct()
-    each = asked.select("url", F.explode(expressions(host, path, sorted(facts["labels"]), sorted(facts["lengths"]))).alias("e"))
+    each = asked.select("url", F.explode(expressions(host, path, sorted(tuple(x) for x in facts["shapes"]))).alias("e"))
     each = each.select("url", digest(F.col("e.h"), F.col("e.p")).alias("asked"))
     hits = each.join(known, (F.substring("asked", 1, PREFIX) == F.col("short")) & (F.col("asked") == F.col("full")))
-    best = hits.groupBy("url").agg(F.max(F.struct("size", "host_size", "rule", "verdict")).alias("best"))
+    # written, so that the join back has plain exchanges and a url that many rows repeat is split
+    best = stage(hits.groupBy("url").agg(F.max(F.struct("size", "host_size", "rule", "verdict")).alias("best")), "urls")
     return pages.join(best, "url", "left").select(
         "page_id", host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
@@ -96,7 +98,7 @@ ORACLE_SQL = {
     "op7_urls": f"""
 WITH r(v, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-s AS (SELECT page_id, lower(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) AS host,
+s AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM u),
 m AS (SELECT n, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict FROM s JOIN r ON {_FITS} GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s LEFT JOIN m USING (n)"""
