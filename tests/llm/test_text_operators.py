@@ -74,7 +74,7 @@ def test_join_of_chains_of_near_copies(spark, monkeypatch):
 
 def test_join_of_repeated_rows_and_nothing(spark):
     df = frame(spark, ["a b c d e f g", "A b c d e f g"])
-    assert joined(df.union(df)) == {0: (3, 0), 1: (3, 0)}
+    assert sorted(tuple(r) for r in ngramjoin.jaccard_components(df.union(df)).collect()) == [(0, 3, 0), (0, 3, 0), (1, 3, 0), (1, 3, 0)]
     assert joined(frame(spark, [])) == {}
     null = spark.createDataFrame([(None, "a b c d e f")], "doc_id long, text string")
     assert [tuple(r) for r in ngramjoin.jaccard_components(null).collect()] == [(None, 2, None)]
@@ -96,6 +96,16 @@ def test_join_of_many_copies_of_one_empty_row(spark):
     assert ngramjoin.jaccard_components(none).count() == 130_000
 
 
+def test_join_of_the_table_with_itself(spark):
+    """Every row twice, and an id that repeats with another text: rows are compared as a sorted list, so none can hide."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want = [(i, n, c) for i, (n, c) in brute(rows).items()]
+    assert sorted(tuple(r) for r in ngramjoin.jaccard_components(docs.union(docs)).collect()) == sorted(want * 2)
+    odd = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (2, "other words that nobody else has here")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngramjoin.jaccard_components(odd).collect()) == [(1, 2, 1), (2, 2, 1), (2, 3, 2)]
+
+
 # ---- pseudonyms
 
 @given(st.integers(1, 10**6).flatmap(lambda n: st.tuples(st.just(n), st.integers(0, n - 1))))
@@ -144,12 +154,47 @@ def test_pii_finds_what_a_failed_match_or_grouping_hid(text, value, kind):
 
 def test_pii_leaves_the_rest_alone(spark):
     texts = [None, "", "no data 2024-13-45 and 4111111111111112", f"mail {VALUES['email']} twice {VALUES['email']}", "x " * 20000 + VALUES["ip"]]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, texts), "key").collect()}
     assert [got[i]["text"] for i in range(3)] == texts[:3]
-    new = pii.pseudonym("email", VALUES["email"], pii.DEFAULT_KEY.encode())
+    new = pii.pseudonym("email", VALUES["email"], b"key")
     assert got[3]["text"] == f"mail {new} twice {new}" and got[3]["n_email"] == 2
     assert got[4]["n_ip"] == 1 and VALUES["ip"] not in got[4]["text"]
-    assert pii.pseudonymise(frame(spark, [])).count() == 0
+    assert pii.pseudonymise(frame(spark, []), "key").count() == 0
+
+
+@pytest.mark.parametrize("value, kind", [
+    ("2024/01/31", "date"), ("2024.01.02", "date"), ("01/31/2024", "date"), ("31-12-1999", "date"), ("+44 20 7946 0958", "phone"),
+    ("+442079460958", "phone"), ("+49 (0)30 123456", "phone"), ("fe80::1ff:fe23:4567:890a", "ip6"), ("2001:0DB8:85a3:0000:0000:8a2e:0370:7334", "ip6"),
+    ("john.smith9@smith-family.co.uk", "email"),
+])
+def test_pii_formats_keep_their_shape_and_go_back(value, kind):
+    counts = dict.fromkeys(pii.KINDS, 0)
+    new = pii.replaced(f"it is {value}, so", b"k", counts)[6:-4]
+    assert new != value and counts == dict.fromkeys(pii.KINDS, 0) | {kind: 1}
+    assert [c if not c.isalnum() else c.isdigit() for c in new] == [c if not c.isalnum() else c.isdigit() for c in value]
+    assert pii.replaced(f"it is {new}, so", b"k", counts, True) == f"it is {value}, so"
+
+
+@pytest.mark.parametrize("text", ["at 12:30:45 or 10:20:30:40:50:60", "id 5551234567", "+1 111 111 1111", "2024-13-45 30/30/2024", "1:2 x::y", "999.1.1.1"])
+def test_pii_leaves_what_is_not_valid(text):
+    assert pii.replaced(text, b"k", dict.fromkeys(pii.KINDS, 0)) == text
+
+
+def test_pii_ties_and_overlaps():
+    """The first to begin wins; at one place the first in KINDS."""
+    counts = dict.fromkeys(pii.KINDS, 0)
+    new = pii.replaced("call 5551234567, a.b@1.2.3.4 and 4111-1111-1111-1111 tel 555-123-4567", b"k", counts)
+    assert counts == dict.fromkeys(pii.KINDS, 0) | {"phone": 2, "email": 1, "card": 1} and "4111-1111-1111-1111" not in new
+
+
+def test_pii_query_takes_the_session_key(spark, tmp_path):
+    frame(spark, [f"mail {VALUES['email']}"]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.unset(pii.KEY)
+    first = pii.op3_pii(spark, str(tmp_path)).first()["text"]
+    assert len(spark.conf.get(pii.KEY)) == 64 and first == pii.op3_pii(spark, str(tmp_path)).first()["text"]
+    spark.conf.set(pii.KEY, "other")
+    assert pii.op3_pii(spark, str(tmp_path)).first()["text"] not in (first, f"mail {VALUES['email']}")
+    spark.conf.unset(pii.KEY)
 
 
 # ---- secrets
@@ -189,6 +234,69 @@ def test_field_adds_a_secret_and_skips_words(spark):
     assert secrets.fit(frame(spark, [])).own.tolist() == secrets.prior().own.tolist()
 
 
+def test_field_finds_planted_secrets_that_no_base_pattern_marks(spark):
+    """Recall on eight formats with and without a cue word, and no span more on the texts as they are."""
+    import random
+
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    field = secrets.fit(docs)
+    texts = [r["text"] or "" for r in docs.orderBy("doc_id").collect()]
+    assert sum(k == 3 for t in texts for _, k, _ in secrets.all_spans(t, field)) == 0
+    random.seed(5)
+    low, up, ten = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda n, letters: "".join(random.choice(letters) for _ in range(n))
+    forms = [
+        lambda: pick(20, low + up + ten), lambda: pick(32, low + up + ten), lambda: "ghp_" + pick(36, low + up + ten), lambda: "sk-" + pick(40, low + up + ten),
+        lambda: pick(32, ten + "ABCDEF"), lambda: pick(38, low + up + ten) + "==", lambda: "eyJ" + ".".join(pick(24, low + up + ten) for _ in range(3)), lambda: pick(24, low + ten),
+    ]
+    plain = [t for t in texts if 200 < len(t) < 4000]
+    for form in forms:
+        exact = 0
+        for i in range(100):
+            words, made = plain[i].split(" "), form()
+            while secrets.base_spans(made):
+                made = form()
+            at = random.randrange(1, len(words))
+            before = " ".join(words[:at]) + (" bearer " if i % 2 else " ")
+            exact += (len(before), len(before) + len(made)) in secrets.tagged(before + made + " " + " ".join(words[at:]), field)
+        assert exact >= 90
+
+
+def test_likelihood_and_its_gradient():
+    """Against all paths of short windows, and differences of the likelihood."""
+    import itertools
+
+    import numpy as np
+
+    field, rng = secrets.prior(), np.random.default_rng(1)
+    n, most = 5, 4
+    index = {k: rng.integers(0, 2 if k == "near" else secrets.N_FILE if k == "file" else len(secrets.SHAPES), (n, most)) for k in ("found", "before", "after", "near", "file")}
+    size, times = np.array([4, 3, 4, 1, 2]), np.arange(1.0, 6.0)
+    index["state"] = np.array([[0, 1, 2, 0], [1, 2, 0, 0], [0, 0, 0, 0], [1, 0, 0, 0], [0, 1, 0, 0]])
+
+    def brute():
+        scores = field.emission(*(index[k] for k in ("found", "near", "file", "before", "after")))
+        total = 0.0
+        for i in range(n):
+            def path(states):
+                if states[0] == secrets.I:
+                    return -np.inf
+                return sum(scores[i, j, x] for j, x in enumerate(states)) + sum(field.moves[a, b] for a, b in itertools.pairwise(states))
+            every = [path(x) for x in itertools.product(range(3), repeat=int(size[i]))]
+            total += times[i] / times.sum() * (path(index["state"][i, : size[i]]) - np.logaddexp.reduce(every))
+        return total
+
+    value, grads = secrets.likelihood(field, index, size, times)
+    assert value == pytest.approx(brute())
+    for weights, g in zip(field.arrays(), grads):
+        for at in itertools.islice((x for x in np.ndindex(weights.shape) if np.isfinite(weights[x]) and abs(g[x]) > 1e-9), 4):
+            weights[at] += 1e-5
+            more = brute()
+            weights[at] -= 2e-5
+            assert g[at] == pytest.approx((more - brute()) / 2e-5, abs=1e-4)
+            weights[at] += 1e-5
+
+
 def test_viterbi_by_segments_equals_whole():
     import numpy as np
 
@@ -275,6 +383,46 @@ def test_quality_counts_every_good_document(spark, monkeypatch):
     assert np.allclose(found, np.log(target / target.sum()) - np.log(raw / raw.sum()))
 
 
+def test_draw_follows_the_weights(spark):
+    """Not a threshold: over seeds a heavier text is drawn more often, and light ones are drawn too."""
+    import numpy as np
+
+    texts = [f"alpha beta word{i % 7}" if i % 2 else f"gamma delta word{i % 7}" for i in range(40)]
+    labels = spark.createDataFrame([(i, 1 if i % 2 or i % 8 == 0 else 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs, drawn = frame(spark, texts), np.zeros(40)
+    rows = quality.weighed(quality.two(docs, "doc_id", "text"), quality.models(docs, labels) / 24, "draw").select("doc_id", "draw.*").cache()
+    weight = {r["doc_id"]: r["log_weight"] for r in rows.collect()}
+    heavy, light = weight[1], weight[0]
+    assert 0.2 < heavy - light < 3
+    uniform = np.random.default_rng(5).random((400, 40))
+    keys = np.array([weight[i] for i in range(40)]) - np.log(-np.log(uniform))
+    for line in keys:
+        drawn[np.argsort(-line)[:10]] += 1
+    assert 1.1 < drawn[1::2].mean() / drawn[::2].mean() < np.exp(heavy - light) * 1.1
+    seen = [tuple(sorted(r["doc_id"] for r in quality.resample(docs, labels, k=10, seed=s).where("kept").collect())) for s in (1, 2, 1)]
+    assert seen[0] == seen[2] != seen[1] and len(seen[0]) == 10
+    top = tuple(sorted(sorted(weight, key=lambda i: (-weight[i], i))[:10]))
+    assert seen[0] != top
+
+
+def test_expected_good_and_ranks(spark):
+    rows = spark.createDataFrame([(i, float(i % 10) - 5) for i in range(100)], "doc_id long, log_weight double")
+    labels = spark.createDataFrame([(i, int(i % 10 >= 3), 0) for i in range(0, 100, 3)], "doc_id long, quality int, toxic int")
+    assert quality.expected_good(rows, labels) == 70
+    assert quality.expected_good(rows, labels.limit(0)) is None
+    keys = spark.range(120_000).selectExpr("CAST(id % 60000 AS double) AS k")
+    assert quality.kth_largest(keys, "k", 7) == 59_996.0 and quality.kth_largest(keys, "k", 120_000) == float("-inf")
+    equal = spark.range(60_000).selectExpr("CAST(1 AS double) AS k")
+    assert quality.kth_largest(equal, "k", 5) == 1.0
+
+
+def test_quality_columns_that_clash_and_long_texts(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "word " * 200_000, 5, 6), (2, "", 7, 8)], "doc_id long, text string, draw int, kept int")
+    got = quality.drawn(docs, none, name="draw_").collect()
+    assert [(r["draw"], r["kept"], r["draw_"]["kept"]) for r in got] == [(5, 6, True), (7, 8, True)]
+
+
 def test_quality_edge_cases(spark):
     docs, none = frame(spark, [None, "", "some words", "some words"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["kept"] for r in quality.resample(docs, none).collect()] == [True] * 4
