@@ -22,8 +22,16 @@ def build_session(app: str = "quillspark", cores: str | int = "*", **conf: str)
     return attach(builder.config(map={**base, **conf}).getOrCreate())
 
 
+# Rows of the main tables hold whole texts: Spark's 10,000 rows a batch would be tens of megabytes several times over.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that share this file system import the package; elsewhere ship it with --py-files."""
+    """Lets Python workers that share this file system import the package; elsewhere ship it with --py-files.
+
+    Arrow batches are kept small unless the session says otherwise."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
