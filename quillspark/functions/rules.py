@@ -41,7 +41,8 @@ def normalised(c: Column, rules: list[tuple]) -> Column:
 
 
 def section_rules() -> list[tuple[str, str]]:
-    return [(pattern, name) for name, pattern in V.SECTIONS]
+    """One pattern for each category, from its list."""
+    return [("|".join(f"(?:{p})" for p in patterns), name) for name, patterns in V.SECTIONS.items()]
 
 
 def category_of(c: Column) -> Column:

@@ -9,9 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import ABBREVIATIONS, QUERY_STOP_WORDS
+from .fixed_values import ABBREVIATIONS, HEADER, QUERY_STOP_WORDS
 
-HEADER = r"^(?:\d+|[IVXLCDM]+)?\.?\s*([A-Z][A-Za-z\s]{2,40})$"
 SHORTEST = 15
 GUARD = "\x01"
 

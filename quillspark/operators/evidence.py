@@ -8,10 +8,6 @@ from ..functions import fixed_values as V
 from ..functions import rules
 from ..functions.numbers import composite_confidence, percent
 
-PROPOSAL = r"(?U)\b[Ww]e (?:propose|introduce|present|develop|design) ([A-Z]\w[\w\- ]{1,19})"
-NUMBER = r"[-+]?\d*\.\d+|\d+"
-
-
 def rule_mentions(sentences: DataFrame, found: list[tuple], key: str = "paper_id") -> DataFrame:
     """(paper_id, canonical, ord, seq, section, quote): of each paper and canonical name the first sentence that a rule matches."""
     hits = F.filter(F.array(*(F.when(F.col("text").rlike("(?iU)" + r[0]), F.struct(F.lit(i).alias("ord"), F.lit(r[1]).alias("canonical"))) for i, r in enumerate(found))), lambda x: x.isNotNull())
@@ -22,7 +18,7 @@ def rule_mentions(sentences: DataFrame, found: list[tuple], key: str = "paper_id
 
 
 def method_role(section: Column) -> Column:
-    return F.when(section.isin("Abstract", "Methodology"), "proposed").otherwise("component")
+    return F.when(section.isin("Abstract", "Methodology"), "proposed").otherwise("baseline")
 
 
 def method_type(name: Column) -> Column:
@@ -35,7 +31,7 @@ def modality(name: Column) -> Column:
 
 def named_proposals(sentences: DataFrame, key: str = "paper_id") -> DataFrame:
     """(paper_id, seq, name): what a sentence says is proposed."""
-    name = F.trim(F.regexp_extract("text", PROPOSAL, 1))
+    name = F.trim(F.regexp_extract("text", V.PROPOSAL, 1))
     return sentences.select(key, "seq", name.alias("name")).where("name <> ''")
 
 
@@ -48,7 +44,7 @@ def first_items(chosen: DataFrame, k: int, longer_than: int = 0) -> DataFrame:
 
 def first_number(c: Column) -> Column:
     """The first number in a text; an integer's sign is not part of it."""
-    return F.nullif(F.regexp_extract(c, NUMBER, 0), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(c, V.NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def provenance(items: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -79,7 +75,7 @@ def relations(methods: DataFrame, datasets: DataFrame) -> DataFrame:
 def finding_facts(c: Column) -> Column:
     """struct(value, direction) of a finding's text."""
     better = F.contains(c, F.lit("+")) | F.lower(c).rlike("improv|outperform")
-    return F.struct(first_number(c).alias("value"), F.when(better, "improvement").otherwise("neutral").alias("direction"))
+    return F.struct(first_number(c).alias("value"), F.when(better, "improvement").otherwise("observation").alias("direction"))
 
 
 def validated(entities: DataFrame) -> DataFrame:
@@ -93,10 +89,10 @@ def validated(entities: DataFrame) -> DataFrame:
     signs = rules.contains_any(low, V.DATASET_SIGNS) | rules.contains_any(quote, V.DATASET_SIGNS)
     dataset = F.col("entity_type") == "dataset"
     cases = [
-        (raw.rlike(r"^[\d.,\s%]+$") | raw.rlike(r"^(19|20)\d{2}(\s*[-–/]\s*(19|20)?\d{2})?$"), "REJECTED", "number", F.lit(0.0), None),
+        (rules.matches_any(raw, V.NUMERIC), "REJECTED", "number", F.lit(0.0), None),
         (clean.isin(V.FUNCTION_WORDS), "REJECTED", "function_word", F.lit(0.0), None),
         (F.length(clean) <= 2, "REJECTED", "short", F.lit(0.0), None),
-        (raw.rlike(r"^[A-Z][a-z]+\s+[A-Z][a-z]+(\s+et\s+al\.?)?$") & ~rules.contains_any(low, V.METHOD_SIGNS) & ~rules.contains_any(low, V.DATASET_SIGNS), "REJECTED", "person", F.lit(0.0), None),
+        (raw.rlike(V.PERSON) & ~rules.contains_any(low, V.METHOD_SIGNS) & ~rules.contains_any(low, V.DATASET_SIGNS), "REJECTED", "person", F.lit(0.0), None),
         (index & dataset & (rules.contains_any(quote, V.SEARCH_SIGNS) | clean.isin(V.LITERATURE_INDEXES)), "ACCEPTED", "rerouted", F.lit(0.98), "literature_source"),
         ((F.size(tokens) > 0) & (grounded / F.size(tokens) < 0.5), "REJECTED", "not_grounded", F.lit(0.1), None),
         (dataset & ~signs & (F.size(F.split(clean, r"(?U)\s+")) > 5), "FLAGGED", "no_signal", F.lit(0.65), None),

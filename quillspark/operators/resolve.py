@@ -114,11 +114,32 @@ def decisions(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("entity_type", F.lower(F.trim("name")).alias("alias"), "canonical").agg(F.countDistinct("paper_id").alias("papers"))
 
 
-def consolidated(names: DataFrame, families: list[tuple], cut: int = 40) -> DataFrame:
-    """names(name) with a family: null for noise, else by rule, else the title-cased name cut to a length."""
-    title = text.py_title(F.trim("name"))
-    short = F.when(F.length(title) > cut, F.concat(F.substring(title, 1, cut - 3), F.lit("..."))).otherwise(title)
-    return names.withColumn("consolidated", F.when(~rules.is_noise(F.col("name")), F.coalesce(rules.first_match(F.lower(F.trim("name")), families), short)))
+def decision_papers(resolved: DataFrame) -> DataFrame:
+    """(entity_type, alias, canonical, paper_id): the papers behind each decision, one row each, as an alias may have any number."""
+    return resolved.select("entity_type", F.lower(F.trim("name")).alias("alias"), "canonical", "paper_id").distinct()
+
+
+def shortened(name: Column, cut: int) -> Column:
+    """Title case, what is longer than cut marked by three stops."""
+    title = text.py_title(F.trim(name))
+    return F.when(F.length(title) > cut, F.concat(F.substring(title, 1, cut), F.lit("..."))).otherwise(title)
+
+
+def consolidated_methods(names: DataFrame) -> DataFrame:
+    """names(name) with consolidated, family, category and replaces: null for noise, else by family, else the shortened name."""
+    low, noise = F.lower(F.trim("name")), rules.is_noise(F.col("name"))
+    joined = [("|".join(patterns), *facts) for *facts, patterns in V.METHOD_FAMILIES]
+    family, category, replaces = (F.when(~noise, F.coalesce(rules.first_match(low, joined, i), F.lit(rest))) for i, rest in zip((1, 2, 3), V.METHOD_REST))
+    name = F.when(~noise, F.coalesce(rules.first_match(low, joined, 1), shortened(F.col("name"), 40)))
+    return names.select("*", name.alias("consolidated"), family.alias("family"), category.alias("category"), replaces.alias("replaces"))
+
+
+def consolidated_datasets(names: DataFrame) -> DataFrame:
+    """names(name) with consolidated and modality: null for noise, else by family, else the shortened name."""
+    low, noise = F.lower(F.trim("name")), rules.is_noise(F.col("name"))
+    joined = [("|".join(patterns), *facts) for *facts, patterns in V.DATASET_FAMILIES]
+    name = F.when(~noise, F.coalesce(rules.first_match(low, joined, 1), shortened(F.col("name"), 35)))
+    return names.select("*", name.alias("consolidated"), F.when(~noise, F.coalesce(rules.first_match(low, joined, 2), F.lit(V.DATASET_REST))).alias("modality"))
 
 
 def by_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -37,3 +37,29 @@ def limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as limitations of papers."""
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("seq"), "text", (F.lit(2020) + F.col("conv_id") % 7).cast("int").alias("year"))
+
+
+#: Sections and phrases that turn conversations into sentences of papers which the real rules and cues can match.
+SECTIONS = ["Abstract", "1 Introduction", "Methodology", "Datasets and Results", "Results", "Discussion", "Future Work", "Appendix"]
+PHRASES = [
+    "we propose MedPrompt with a vision transformer.", "we evaluated on NSL-KDD and ImageNet, accuracy of 92.4% improved by far.",
+    "Our framework uses a random forest and XGBoost.", "A large language model with chain-of-thought reasoning achieves more.",
+    "The dataset MIMIC-III holds patient records of PubMed studies.", "A limitation is the computational cost and high latency in general use.",
+    "Future work: we plan to extend the graph neural network.", "Our method outperforms BERT with an F1 score of 0.87.",
+    "Searches were conducted in Scopus and PubMed, a systematic review.", "we introduce GraphNet-X for intrusion detection on CICIDS2017.",
+    "The model degrades and lacks external validation, generalization is limited by data.", "We study LoRA, QLoRA and RAG on MedQA and MMLU benchmarks.",
+    "This remains for future investigation, we intend to try diffusion models.", "Plain words alone.",
+    "Trained on CIFAR-10 and COCO, a ResNet-50 reached a sensitivity of 81 on the benchmark.", "we present Alpha_Net9 as our algorithm for reinforcement learning.",
+]
+
+
+def scholarly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as sentences of papers, each behind a phrase of PHRASES; what isn't ASCII is one letter."""
+    c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    seq = (F.col("turn") + 1).cast("int")
+    pick = lambda values, place: F.element_at(F.array(*map(F.lit, values)), (place % len(values) + 1).cast("int"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "x")
+    return c.select(
+        F.col("conv_id").alias("paper_id"), seq.alias("seq"), F.concat(F.lit("S"), seq.cast("string")).alias("sentence_id"),
+        (F.floor((seq - 1) / 4) + 1).cast("int").alias("page"), pick(SECTIONS, F.col("conv_id") + seq).alias("section"),
+        F.concat(pick(PHRASES, F.col("conv_id") * 7 + seq * 5), F.lit(" "), plain).alias("text"))
