@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import rules, text
+from ..session import written
 
 RATIO = 0.92
 LENGTHS = RATIO / (2 - RATIO)  # the ratio bounds how far two lengths can differ
@@ -35,31 +36,56 @@ def key_pairs(records: DataFrame, key: Column) -> DataFrame:
     return rows.join(first, "key").where("seq <> canonical").select("canonical", F.col("seq").alias("duplicate"))
 
 
-def blocks(records: DataFrame) -> DataFrame:
-    """(seq, block): keys of which fuzzy partners share one: eight letters at the start, the end or the middle of the clean title.
-
-    Titles that agree in none of the three are not compared, so edits in all three places can hide a pair."""
-    t = F.col("clean_title")
-    ends = F.array(F.concat(F.lit("a"), F.substring(t, 1, 8)), F.concat(F.lit("z"), F.substring(t, -8, 8)), F.concat(F.lit("m"), F.expr("substring(clean_title, greatest(1, cast(length(clean_title) / 2 as int) - 3), 8)")))
-    return records.select("seq", "clean_title", "publication_year", F.explode(F.array_distinct(ends)).alias("block")).where("publication_year IS NOT NULL")
-
-
-def fuzzy_pairs(records: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(canonical, duplicate, ratio): titles within a year of each other whose matching ratio reaches the bound.
-
-    Equal titles are compared once for each title and year, so a block of copies isn't squared; lengths prune before the ratio."""
-    titles = keyed(records).where("clean_title <> ''").groupBy("clean_title", "publication_year").agg(F.min("seq").alias("seq"))
-    b = blocks(titles)
-    left, right = (b.select("block", F.col("seq").alias(f"{x}_seq"), F.col("clean_title").alias(f"{x}_title"), F.col("publication_year").alias(f"{x}_year")) for x in "ab")
-    near = left.join(right, "block").where("a_seq < b_seq AND abs(a_year - b_year) <= 1")
-    size = lambda x: F.length(f"{x}_title")
-    near = near.where((size("a") >= LENGTHS * size("b")) & (size("b") >= LENGTHS * size("a"))).select("a_seq", "b_seq", "a_title", "b_title").distinct()
+def slack(length: Column) -> Column:
+    """How many letters two titles of the ratio can add and drop, the shorter one having this length."""
+    return F.floor((1 - RATIO) * length * (1 + (2 - RATIO) / RATIO) + 1e-9).cast("int")
+
+
+def segments(titles: DataFrame) -> DataFrame:
+    """(length, i, piece, title, year, seq): each title cut into slack + 1 even pieces. One of them is left unchanged
+    in every longer title that the ratio allows, as each added or dropped letter touches at most one."""
+    n, k = F.col("length"), F.col("k")
+    made = titles.withColumn("length", F.length("clean_title")).withColumn("k", slack(F.col("length")) + 1)
+    made = made.withColumn("i", F.explode(F.sequence(F.lit(0), k - 1)))
+    start, end = F.floor(F.col("i") * n / k), F.floor((F.col("i") + 1) * n / k)
+    return made.select("length", "i", F.substr("clean_title", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"), F.col("clean_title").alias("title"), F.col("publication_year").alias("year"), "seq")
+
+
+def probes(titles: DataFrame) -> DataFrame:
+    """(length, i, piece, title, year, seq): for each length of a partner that isn't longer and each of its pieces, the
+    parts of a title that the piece can be. Of the pieces left unchanged take the first: at most i letters differ
+    before it and slack - i behind it, which bounds how far it can have moved."""
+    made = titles.withColumn("own", F.length("clean_title"))
+    made = made.withColumn("length", F.explode(F.sequence(F.ceil(F.col("own") * LENGTHS - 1e-9).cast("int"), F.col("own")))).where("length > 0")
+    made = made.withColumn("most", slack(F.col("length"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    i, k, more = F.col("i"), F.col("most") + 1, F.col("own") - F.col("length")
+    start, end = F.floor(i * F.col("length") / k).cast("int"), F.floor((i + 1) * F.col("length") / k).cast("int")
+    low, high = F.greatest(-i, more - (F.col("most") - i), -start), F.least(i, more + (F.col("most") - i), F.col("own") - end)
+    made = made.withColumn("shift", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))))
+    return made.select("length", "i", F.substr("clean_title", start + F.col("shift") + 1, end - start).alias("piece"), F.col("clean_title").alias("title"), F.col("publication_year").alias("year"), "seq")
+
+
+def fuzzy_pairs(records: DataFrame, ratio: float = RATIO, any_year: bool = False) -> DataFrame:
+    """(canonical, duplicate, ratio): titles within a year of each other (or of any years) whose matching ratio, the later
+    one looked up in the earlier, reaches the bound (RATIO or more).
+
+    Equal titles are compared once for each title and year, so a block of copies isn't squared. Candidates share a piece
+    of their titles in a place where it can be, so no pair of the ratio is missed."""
+    some = keyed(records).withColumn("publication_year", F.lit(0) if any_year else F.col("publication_year"))
+    titles = some.where("clean_title <> '' AND publication_year IS NOT NULL").groupBy("clean_title", "publication_year").agg(F.min("seq").alias("seq"))
+    left = segments(titles).select("length", "i", "piece", *(F.col(c).alias(f"a_{c}") for c in ("title", "year", "seq")))
+    right = probes(titles).select("length", "i", "piece", *(F.col(c).alias(f"b_{c}") for c in ("title", "year", "seq")))
+    near = left.join(right, ["length", "i", "piece"]).where("a_seq <> b_seq AND abs(a_year - b_year) <= 1")
+    first = F.col("a_seq") < F.col("b_seq")
+    turned = near.select(
+        F.least("a_seq", "b_seq").alias("a_seq"), F.greatest("a_seq", "b_seq").alias("b_seq"),
+        F.when(first, F.col("a_title")).otherwise(F.col("b_title")).alias("a_title"), F.when(first, F.col("b_title")).otherwise(F.col("a_title")).alias("b_title")).distinct()
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
-    found = near.withColumn("ratio", similar("a_title", "b_title")).where(F.col("ratio") >= ratio)
+    found = turned.withColumn("ratio", similar("b_title", "a_title")).where(F.col("ratio") >= ratio)
     return found.select(F.col("a_seq").alias("canonical"), F.col("b_seq").alias("duplicate"), "ratio")
 
 
@@ -68,26 +94,82 @@ def merged_id(paper_id: Column, openalex: Column, doi: Column, arxiv: Column, sc
     return F.coalesce(F.nullif(openalex, F.lit("")), tag("doi_", F.nullif(F.regexp_replace(doi, "[^A-Za-z0-9]", ""), F.lit(""))), tag("arxiv_", arxiv), tag("ss_", scholar), paper_id)
 
 
+FILLED = ["doi", "arxiv_id", "openalex_id", "semantic_scholar_id", "venue"]
+
+
 def merge_records(records: DataFrame, group: list[str]) -> DataFrame:
-    """One record a group: all sources, the longest abstract (the first of equals), the first title that isn't empty."""
-    ordered = lambda c: F.min(F.when(F.coalesce(c, F.lit("")) != "", F.struct("seq", c.alias("v"))))["v"]
+    """One record a group: all sources, the longest abstract (the first of equals), the first title, year and identifiers
+    that aren't empty, and the id that the best identifier gives, else the first record's. Identifiers may be absent."""
+    records = records.withColumns({c: F.lit(None).cast("string") for c in FILLED if c not in records.columns})
+    ordered = lambda c: F.min(F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.struct("seq", c.alias("v"))))["v"]
     longest = F.max(F.struct(F.length(F.coalesce("abstract", F.lit(""))).alias("l"), (-F.col("seq")).alias("s"), F.col("abstract").alias("v")))["v"]
-    return records.groupBy(*group).agg(
+    made = records.groupBy(*group).agg(
         F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("source")).alias("sources"), longest.alias("abstract"),
-        ordered(F.col("title")).alias("title"), F.min(F.struct(F.col("publication_year").isNull(), "seq", "publication_year"))["publication_year"].alias("year"))
-
-
-def fold(records: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(duplicate, canonical, method): the first record that a later one matches, rules in order: doi, arxiv id, title, fuzzy title.
-
-    Candidates come from keys, so only pairs that some rule joins are looked at; the earliest canonical record wins."""
-    k = keyed(records)
-    pairs = [("doi", key_pairs(k, text.doi(F.col("doi")))), ("arxiv", key_pairs(k, F.nullif(F.trim("arxiv_id"), F.lit("")))),
-             ("title", key_pairs(k, F.concat_ws("|", "clean_title", "author_key", F.coalesce(F.col("publication_year").cast("string"), F.lit("-")))))]
-    every = reduce(DataFrame.unionByName, (p.select("canonical", "duplicate", F.lit(i).alias("place"), F.lit(n).alias("method")) for i, (n, p) in enumerate(pairs)))
-    every = every.unionByName(fuzzy_pairs(records, ratio).select("canonical", "duplicate", F.lit(3).alias("place"), F.lit("fuzzy").alias("method")))
-    best = every.groupBy("duplicate").agg(F.min(F.struct("canonical", "place", "method")).alias("m"))
-    return best.select("duplicate", "m.canonical", "m.method")
+        ordered(F.col("title")).alias("title"), F.min(F.struct(F.col("publication_year").isNull(), "seq", "publication_year"))["publication_year"].alias("year"),
+        F.min(F.struct("seq", "paper_id"))["paper_id"].alias("paper_id"), *(ordered(F.col(c)).alias(c) for c in FILLED))
+    return made.withColumn("paper_id", merged_id(*map(F.col, ("paper_id", "openalex_id", "doi", "arxiv_id", "semantic_scholar_id"))))
+
+
+def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(seq, group): the smallest number that edges (canonical, duplicate) reach, by passing on least numbers and their own."""
+    both = written(edges.select(F.col("canonical").alias("a"), F.col("duplicate").alias("b")).union(edges.select("duplicate", "canonical")).distinct(), "edges")
+    known = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("seq"), F.least("a", "m").alias("group")), "groups")
+    for _ in range(rounds):
+        near = both.join(known.select(F.col("seq").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("m"))
+        up = known.select(F.col("seq").alias("group"), F.col("group").alias("above"))
+        new = known.join(near.withColumnRenamed("a", "seq"), "seq").join(up, "group", "left")
+        new = written(new.select("seq", F.least("group", "m", "above").alias("new"), F.col("group").alias("old")), "groups")
+        known = new.select("seq", F.col("new").alias("group"))
+        if new.where("new <> old").isEmpty():
+            return known
+    raise RuntimeError("groups did not converge")
+
+
+def folded(part: pd.DataFrame) -> list[tuple[int, int, str]]:
+    """(duplicate, canonical, method) of keyed records in their order: each is held against the canonical ones in theirs, rule
+    after rule; the first that matches takes it in, and fills what it misses."""
+    known, made = [], []
+    for r in part.sort_values("seq").astype(object).where(lambda x: x.notna(), None).to_dict("records"):
+        method = None
+        for c in known:
+            if r["doi"] and r["doi"] == c["doi"]:
+                method = "doi"
+            elif r["arxiv"] and r["arxiv"] == c["arxiv"]:
+                method = "arxiv"
+            elif (r["clean_title"], r["author_key"], r["publication_year"]) == (c["clean_title"], c["author_key"], c["publication_year"]):
+                method = "title"
+            elif r["publication_year"] and c["publication_year"] and abs(r["publication_year"] - c["publication_year"]) <= 1 and r["clean_title"] and c["clean_title"]:
+                method = "fuzzy" if SequenceMatcher(None, r["clean_title"], c["clean_title"]).ratio() >= RATIO else None
+            if method:
+                made.append((r["seq"], c["seq"], method))
+                c.update({k: c[k] or r[k] for k in ("doi", "arxiv", "clean_title", "publication_year")})
+                break
+        else:
+            known.append(r)
+    return made
+
+
+def fold(records: DataFrame) -> DataFrame:
+    """(duplicate, canonical, method): the canonical record that takes in each later one, rules in order: doi, arxiv id, title
+    with author and year, fuzzy title within a year. Identifiers, title and year that a record lacks come from those it takes in.
+
+    Records that could ever match meet in one group, by coarser keys than the rules: any shared identifier, title, or fuzzy title
+    of any year. Records of equal keys are folded as the first of them, so a group holds different keys only."""
+    keys = ["doi", "arxiv", "clean_title", "author_key", "publication_year"]
+    k = keyed(records).select("seq", text.doi(F.col("doi")).alias("doi"), F.nullif("arxiv_id", F.lit("")).alias("arxiv"), "clean_title", "author_key", F.col("publication_year").cast("int").alias("publication_year"), "title")
+    k = written(k.withColumn("key", F.to_json(F.struct(*keys))), "keyed")
+    first = written(k.groupBy("key").agg(F.min(F.struct("seq", *keys, "title")).alias("m")).select("key", "m.*"), "distinct")
+    titled = F.when(F.col("clean_title") != "", F.col("clean_title")).otherwise(F.concat(F.lit("|"), "author_key"))
+    edges = [key_pairs(first, c) for c in (F.col("doi"), F.col("arxiv"), titled)]
+    fuzzy = fuzzy_pairs(first.withColumn("author", F.lit("")), any_year=True).select("canonical", "duplicate")
+    group = groups(reduce(DataFrame.unionByName, [*edges, fuzzy]))
+    rows = first.join(group, "seq").select("group", "seq", *keys)
+    made = rows.groupBy("group").applyInPandas(lambda part: pd.DataFrame(folded(part), columns=["duplicate", "canonical", "method"]), "duplicate long, canonical long, method string")
+    made = written(made, "folded")
+    taken = made.select(F.col("duplicate").alias("first"), F.col("canonical").alias("c"), F.col("method").alias("how"))
+    copies = k.join(first.select("key", F.col("seq").alias("first")), "key").where("seq <> first").join(taken, "first", "left")
+    method = F.when(F.col("c").isNotNull(), F.col("how")).when(F.col("doi").isNotNull(), "doi").when(F.col("arxiv").isNotNull(), "arxiv").otherwise("title")
+    return made.unionByName(copies.select(F.col("seq").alias("duplicate"), F.coalesce("c", "first").alias("canonical"), method.alias("method")))
 
 
 def resolve(names: DataFrame, method_rules: list[tuple] | None = None, dataset_rules: list[tuple] | None = None) -> DataFrame:

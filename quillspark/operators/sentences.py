@@ -1,6 +1,8 @@
 """Texts to sentences with provenance, scores and candidate contexts."""
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,10 +13,20 @@ from ..functions import rules, text
 PER_CATEGORY, FIRST, LEAST = 8, 3, 1.0
 
 
+BLOCKS = "h[1-6]|p|li|td|th|dd|dt|blockquote|pre|figcaption|caption"
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+BLOCK = rf"(?is)<(?:{BLOCKS})\b[^>]*>(.*?)</(?:{BLOCKS})\s*>"
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """(paper_id, page, block_idx, raw_text): headings and paragraphs of html, in order."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:h1|p)>(.*?)</(?:h1|p)>"), F.lit(1))
-    return pages.select(F.col("page_id").alias("paper_id"), F.lit(1).alias("page"), F.posexplode(found).alias("block_idx", "raw_text"))
+    """(paper_id, page, block_idx, raw_text): the text of headings, paragraphs, list items, cells and the like, in order.
+
+    Scripts, styles and comments are no text; tags inside a block go, line breaks stay breaks."""
+    found = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(BLOCK), F.lit(1))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)<br\b[^>]*>", "\n"), "<[^>]*>", "")
+    plain = lambda x: reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, bare(x))
+    return pages.select(F.col("page_id").alias("paper_id"), F.lit(1).alias("page"), F.posexplode(F.transform(found, plain)).alias("block_idx", "raw_text"))
 
 
 def sections(blocks: DataFrame) -> DataFrame:

@@ -58,6 +58,36 @@ def hue(place: Column, n: Column) -> Column:
     return colour(place, n)
 
 
+def analysis(run_id: str, title: str, papers: DataFrame, methods: DataFrame, datasets: DataFrame, clusters: DataFrame, themes: DataFrame, links: DataFrame, limitations: DataFrame, k: int = 20) -> DataFrame:
+    """One row with all that a dashboard shows of a run: counts, concentration, the k most used methods and datasets, areas
+    with their percentages, themes, and the evidence statistics. Every list is cut or bounded by clusters and themes.
+
+    papers(paper_id, year), methods and datasets(paper_id, name), clusters(cluster_id, n), themes(theme_id, papers, status),
+    links and limitations with a row for each."""
+    from .gaps import donut, summary
+    from .trends import adoption, concentration, usage
+
+    def top(rows: DataFrame, name: str) -> DataFrame:
+        best = adoption(rows, papers).orderBy(F.desc("papers"), "name").limit(k)
+        listed = F.array_sort(F.collect_list(F.struct((-F.col("papers")).alias("o"), "name", "papers", F.round("share", 2).alias("share"))))
+        return best.agg(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["papers"].alias("papers"), x["share"].alias("share"))).alias(name))
+
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    hhi = concentration(usage(datasets)).select("hhi", F.col("label").alias("hhi_label"))
+    areas = donut(clusters).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "n", "percent"))).alias("areas"), F.count(F.lit(1)).alias("areas_count"))
+    shown = themes.agg(F.array_sort(F.collect_list(F.struct("theme_id", "papers", "status"))).alias("gaps"))
+    span = papers.agg(F.concat_ws("-", F.min("year").cast("string"), F.max("year").cast("string")).alias("year_range"))
+    parts = [
+        count(papers, "paper_count"), span, methods.agg(F.countDistinct("name").alias("methods_count")), datasets.agg(F.countDistinct("name").alias("benchmarks_count")),
+        hhi, top(methods, "top_methods"), top(datasets, "top_benchmarks"), areas, shown, count(links, "total_links"),
+        summary(themes, limitations).select(F.col("open").alias("open_gaps"), F.col("resolved").alias("resolved_gaps"), F.col("themes").alias("total_themes"), F.col("limitations").alias("total_limitations")),
+    ]
+    one = papers.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit(title).alias("title"))
+    for part in parts:  # single rows
+        one = one.join(part)
+    return one
+
+
 def duplicate_labels(labels: DataFrame, ratio: float = 0.8) -> DataFrame:
     """(a, b, ratio) of clusters whose labels match; a row for each pair of clusters, which are few."""
 

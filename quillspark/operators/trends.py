@@ -140,6 +140,60 @@ def monopolies(uses: DataFrame, papers: DataFrame, share: float = SNAPSHOT_SHARE
     return adoption(uses, papers).withColumn("monopoly", F.col("share") >= share)
 
 
+def first_papers(firsts: DataFrame, k: int = 10) -> DataFrame:
+    """(name, top_papers): the first k papers of each name, ranked before they are gathered."""
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("paper_id"))
+    best = firsts.select("name", "paper_id").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))), lambda x: x["paper_id"]).alias("top_papers"))
+
+
+def method_profiles(mentions: DataFrame, papers: DataFrame) -> DataFrame:
+    """(name, family, kind, role, aliases, papers, share, top_papers) of each name: mentions also hold alias, family and kind.
+
+    Spellings count from first mentions alone; family and kind are those of the last paper, share has two places."""
+    first = F.min(F.struct("seq", "role", "alias", "family", "kind")).alias("first")
+    firsts = mentions.groupBy("paper_id", "name").agg(first).select("paper_id", "name", "first.*")
+    facts = firsts.groupBy("name").agg(
+        F.max(F.struct("paper_id", "family", "kind")).alias("last"), F.array_sort(F.collect_set("alias")).alias("aliases"), F.count(F.lit(1)).alias("papers"))
+    total = F.broadcast(papers.agg(F.count(F.lit(1)).alias("total")))
+    roles = primary_role(mentions).select("name", "role")
+    made = facts.join(total).join(roles, "name").join(first_papers(firsts), "name")
+    return made.select("name", "last.family", "last.kind", "role", "aliases", "papers", F.round(percent(F.col("papers"), F.col("total")), 2).alias("share"), "top_papers")
+
+
+def dataset_profiles(mentions: DataFrame, papers: DataFrame, excluded: list[str] = ()) -> DataFrame:
+    """(name, modality, aliases, papers, share, monopoly, synthetic, top_papers): spellings that contain an excluded word
+    don't count; a dataset is synthetic if the first mention in some paper says so."""
+    for word in excluded:
+        mentions = mentions.where(~F.lower("alias").contains(word))
+    firsts = mentions.groupBy("paper_id", "name").agg(F.min(F.struct("seq", "alias", "family")).alias("first")).select("paper_id", "name", "first.*")
+    facts = firsts.groupBy("name").agg(F.max(F.struct("paper_id", "family"))["family"].alias("modality"), F.max(F.lower("alias").rlike("synth|simulat")).alias("synthetic"), F.count(F.lit(1)).alias("papers"))
+    aliases = mentions.groupBy("name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    total = F.broadcast(papers.agg(F.count(F.lit(1)).alias("total")))
+    share = F.round(percent(F.col("papers"), F.col("total")), 2)
+    made = facts.join(total).join(aliases, "name").join(first_papers(firsts), "name")
+    return made.select("name", "modality", "aliases", "papers", share.alias("share"), (share >= SNAPSHOT_SHARE).alias("monopoly"), "synthetic", "top_papers")
+
+
+def cluster_profiles(members: DataFrame, mentions: DataFrame, limitations: DataFrame, most: int = 4) -> DataFrame:
+    """(cluster_id, papers, family, kind, limitations): the family and kind that most names of a cluster's papers have, a
+    name counting once a paper, and its first distinct limitations of more than ten letters, cut to 120."""
+    each = mentions.groupBy("paper_id", "name").agg(F.min(F.struct("seq", "family", "kind")).alias("first")).select("paper_id", "name", "first.family", "first.kind")
+    used = members.join(each, "paper_id")
+
+    def leading(column: str, rest: str) -> DataFrame:
+        counts = used.groupBy("cluster_id", column).agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("cluster_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(column).alias("v")))["v"].alias(column))
+        return members.select("cluster_id").distinct().join(best, "cluster_id", "left").select("cluster_id", F.coalesce(column, F.lit(rest)).alias(column))
+
+    said = members.join(limitations.where(F.length("text") > 10).select("paper_id", F.substring("text", 1, 120).alias("text")), "paper_id").select("cluster_id", "text").distinct()
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("text"))
+    said = said.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("cluster_id").agg(F.array_sort(F.collect_list("text")).alias("limitations"))
+    size = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("papers"))
+    made = size.join(leading("family", "Specialized Methodologies"), "cluster_id").join(leading("kind", "Adaptive Scientific AI"), "cluster_id").join(said, "cluster_id", "left")
+    return made.select("cluster_id", "papers", "family", "kind", F.coalesce("limitations", F.array().cast("array<string>")).alias("limitations"))
+
+
 def cluster_affinity(members: DataFrame, mentions: DataFrame, k: int = 5) -> DataFrame:
     """(cluster_id, rank, name, papers, share): the k names that most papers of a cluster use, of its whole size."""
     size = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))

@@ -248,14 +248,90 @@ def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int, metho
     return labels
 
 
+def numpy_metrics(x: np.ndarray, labels: np.ndarray) -> dict:
+    """The metrics of a clustering of a driver-sized matrix of unit vectors, by the identities of this module."""
+    names, sizes = np.unique(labels[labels >= 0], return_counts=True)
+    k, n = len(names), len(labels)
+    made = {"clusters": k, "noise": int((labels < 0).sum()), "largest": int(sizes.max(initial=0)), "smallest": int(sizes.min()) if k else 0, "silhouette": 0.0, "intra": 0.0, "inter": 0.0, "entropy": 0.0}
+    if k:
+        real, own = x[labels >= 0], np.searchsorted(names, labels[labels >= 0])
+        total = np.stack([real[own == i].sum(axis=0) for i in range(k)])
+        squares = np.bincount(own, (real * real).sum(axis=1), k)
+        made["intra"] = float(np.where(sizes > 1, ((total * total).sum(axis=1) - squares) / np.maximum(sizes * (sizes - 1), 1), 1.0).mean())
+        if k > 1:
+            c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-300)
+            made["inter"] = float((c @ c.T)[np.triu_indices(k, 1)].mean())
+            share = sizes / sizes.sum()
+            made["entropy"] = float(-(share * np.log(share)).sum() / np.log(k))
+            if len(real) > k:
+                near, each = real @ total.T, np.arange(len(real))
+                a = 1 - (near[each, own] - (real * real).sum(axis=1)) / np.maximum(sizes[own] - 1, 1)
+                far = 1 - near / sizes
+                far[each, own] = np.inf
+                b = far.min(axis=1)
+                top = np.maximum(a, b)
+                made["silhouette"] = float(np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0).mean())
+    noise, largest = made["noise"] / max(n, 1), made["largest"] / max(n, 1)
+    value = max(made["silhouette"], -0.5) + 2.2 * (made["intra"] - made["inter"]) + 0.4 * made["entropy"] + 0.15 * min(k, 12)
+    value -= max(0.0, 1.5 * (largest - 0.55)) + max(0.0, 2.0 * (noise - 0.30)) + (3.0 * (noise - 0.5) if noise > 0.5 else 0.0)
+    return made | {"noise_share": noise, "largest_share": largest, "score": value if k else -999.0}
+
+
+GRADED = "clusters int, noise int, largest int, smallest int, silhouette double, intra double, inter double, entropy double, noise_share double, largest_share double, score double"
+SETTING = "method string, min_cluster_size int, min_samples int"
+
+
+def bounded(n: int) -> None:
+    if n > LARGEST:
+        raise ValueError(f"density search is for at most {LARGEST} vectors; use kmeans")
+
+
+def graded(vectors: DataFrame, n: int) -> DataFrame:
+    """One row for each setting: its metrics, and labels in the order of ids. A setting reads all n vectors, n being at most LARGEST."""
+    bounded(n)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        first, x = part.iloc[0], np.stack(part["v"].to_list())
+        labels = density_labels(x, int(first["min_cluster_size"]), int(first["min_samples"]), first["method"])
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        facts = numpy_metrics(x / np.where(size > 0, size, 1), labels)
+        return pd.DataFrame([{k: first[k] for k in ("method", "min_cluster_size", "min_samples")} | facts | {"labels": labels.tolist()}])
+
+    rows = param_grid(vectors.sparkSession, n).join(F.broadcast(vectors.select("id", "v")))
+    return rows.groupBy("method", "min_cluster_size", "min_samples").applyInPandas(run, f"{SETTING}, {GRADED}, labels array<int>")
+
+
+def selected(vectors: DataFrame, k: int = 8) -> DataFrame:
+    """(id, cluster_id, pass): the clustering of the best setting (pass 1), and of its noise where that clusters well (pass 2).
+
+    vectors(id, v); for at most LARGEST of them, as every setting reads them all. Beyond it Spark's k-means makes k clusters (pass 0)."""
+    spark, n = vectors.sparkSession, vectors.count()
+    if n > LARGEST:
+        return kmeans(vectors, k).withColumn("pass", F.lit(0))
+    ids = [r["id"] for r in vectors.select("id").orderBy("id").collect()]
+    found: dict = dict.fromkeys(ids, (-1, 1))
+    best = choose(graded(vectors, n)).first() if n else None
+    if best is not None:
+        found.update(zip(ids, ((c, 1) for c in best["labels"])))
+    rest = [i for i in ids if found[i][0] < 0]
+    if len(rest) >= 4 and best is not None:
+        noise = vectors.join(F.broadcast(spark.createDataFrame([(i,) for i in rest], "id long")), "id")
+        again = graded(noise, len(rest)).where("clusters >= 2 AND smallest >= 2").orderBy(F.desc("score"), "method", "min_cluster_size", "min_samples").first()
+        if again is not None and again["silhouette"] >= 0.15 and again["intra"] - again["inter"] > 0.12 and again["smallest"] >= 3:
+            steady = stability(noise, len(rest), again["min_cluster_size"], again["min_samples"], method=again["method"]).agg(F.avg("ari")).first()[0]
+            if steady >= 0.35:
+                above = 1 + max((c for c, _ in found.values()), default=-1)
+                found.update((i, (above + c, 2)) for i, c in zip(rest, again["labels"]) if c >= 0)
+    return spark.createDataFrame([(i, int(c), p) for i, (c, p) in found.items()], "id long, cluster_id int, pass int")
+
+
 def search(vectors: DataFrame, n: int) -> DataFrame:
     """(method, min_cluster_size, min_samples, id, cluster_id) of every setting, each in a task of its own.
 
     For driver-sized corpora: a setting reads all n vectors, n being at most LARGEST; KMeans takes over beyond (see kmeans)."""
-    grid = param_grid(vectors.sparkSession, n)
-    rows = grid.join(F.broadcast(vectors.select("id", "v"))) if n <= LARGEST else None
-    if rows is None:
-        raise ValueError(f"density search is for at most {LARGEST} vectors; use kmeans")
+    bounded(n)
+    rows = param_grid(vectors.sparkSession, n).join(F.broadcast(vectors.select("id", "v")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
@@ -279,8 +355,11 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return model.transform(rows).select("id", F.col("prediction").alias("cluster_id"))
 
 
-def stability(vectors: DataFrame, n: int, min_cluster_size: int, min_samples: int, seeds: int = 5, share: float = 0.85) -> DataFrame:
-    """(seed, ari): agreement of clusterings of seeded subsamples with that of all vectors; 1 for fewer than ten."""
+def stability(vectors: DataFrame, n: int, min_cluster_size: int, min_samples: int, seeds: int = 5, share: float = 0.85, method: str = "eom") -> DataFrame:
+    """(seed, ari): agreement of clusterings of seeded subsamples with that of all vectors; 1 for fewer than ten.
+
+    For at most LARGEST vectors, as every seed reads them all."""
+    bounded(n)
     spark = vectors.sparkSession
     runs = spark.range(seeds).select(F.col("id").cast("int").alias("seed"))
     rows = runs.join(F.broadcast(vectors.select("id", "v")))
@@ -291,7 +370,7 @@ def stability(vectors: DataFrame, n: int, min_cluster_size: int, min_samples: in
         if len(x) < 10:
             return pd.DataFrame({"seed": [seed], "ari": [1.0]})
         some = np.sort(np.random.default_rng(seed).choice(len(x), math.ceil(share * len(x)), replace=False))
-        a, b = density_labels(x, min_cluster_size, min_samples)[some], density_labels(x[some], min_cluster_size, min_samples)
+        a, b = density_labels(x, min_cluster_size, min_samples, method)[some], density_labels(x[some], min_cluster_size, min_samples, method)
         table = pd.crosstab(a, b).to_numpy().astype(float)
         two = lambda m: (m * (m - 1) / 2).sum()
         ij, ai, bj, every = two(table), two(table.sum(axis=1)), two(table.sum(axis=0)), len(a) * (len(a) - 1) / 2

@@ -9,6 +9,7 @@ from ..operators import gaps as G
 from ..operators import graph as R
 from ..operators import ranking as K
 from ..operators import resolve as D
+from ..operators import serving as V
 from ..operators import vectors as C
 from ..session import table
 from ..sources import tables as S
@@ -34,8 +35,18 @@ def members(spark, d):
 
 
 def merged(spark, d):
-    made = D.merge_records(D.keyed(records(spark, d)), ["clean_title", "author_key"])
-    return made.select("seq", "n", F.array_join("sources", ",").alias("sources"), "title", "year", F.length("abstract").cast("long").alias("chars"))
+    made = D.merge_records(D.keyed(with_ids(spark, d)), ["clean_title", "author_key"])
+    return made.select("seq", "paper_id", "doi", "n", F.array_join("sources", ",").alias("sources"), "title", "year", F.length("abstract").cast("long").alias("chars"))
+
+
+#: Names that the noise patterns know, {} being a part's name.
+NOISY = ["{}", "Table {}", "table 4 {}", "step iv", "arXiv:2101.1", "none", "{} pytorch", "PyTorch", "the model", "xy", "Section 3.1 of {}", "systematic review of {}", "Deep  Learning", "model 7", "doi_10.1"]
+
+
+def noisy(spark, d):
+    of = lambda f: F.concat(*(F.lit(x) if x != "{}" else F.col("p_name") for x in f.replace("{}", "|{}|").split("|") if x))
+    name = F.element_at(F.array(*map(of, NOISY)), (F.col("p_partkey") % len(NOISY) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), D.rules.is_noise(name).alias("noise"))
 
 
 def names(spark, d):
@@ -97,6 +108,26 @@ def density(spark, d):
     return found.groupBy("method", "min_cluster_size", "min_samples").agg(F.countDistinct("cluster_id").alias("clusters"))
 
 
+def selection(spark, d):
+    """Clusters of all embeddings that are usable, and of the noise they leave."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL").dropDuplicates(["id"])
+    k = table(spark, d, "embeddings").select(F.countDistinct("label")).first()[0]
+    return C.selected(v, max(k, 2))
+
+
+def assembly(spark, d):
+    """A run's dashboard: orders as papers, brands as methods, types as benchmarks, labels as areas, turns as limitations."""
+    m = S.mentions(spark, d)
+    sizes = table(spark, d, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))
+    made = V.analysis("run", "All of it", S.papers(spark, d), m, m.select("paper_id", F.col("family").alias("name")), sizes, themes(spark, d), G.evidence_links(limits(spark, d)), limits(spark, d))
+    listed = lambda c, f: F.array_join(F.transform(c, f), "|").alias(c)
+    top = lambda x: F.concat_ws(":", x["name"], x["papers"].cast("string"), F.format_string("%.2f", x["share"]))
+    return made.select(
+        "run_id", "title", "paper_count", "year_range", "methods_count", "benchmarks_count", "hhi", "hhi_label", listed("top_methods", top), listed("top_benchmarks", top),
+        "areas_count", listed("areas", lambda x: F.concat_ws(":", x["cluster_id"].cast("string"), x["n"].cast("string"), x["percent"].cast("string"))),
+        listed("gaps", lambda x: F.concat_ws(":", x["theme_id"], x["papers"].cast("string"), x["status"])), "total_links", "open_gaps", "resolved_gaps", "total_themes", "total_limitations")
+
+
 def evidence_relations(spark, d):
     m = S.mentions(spark, d).select("paper_id", "name", "role", F.col("seq.l_linenumber").cast("string").alias("sentence_id")).distinct()
     return E.relations(m, m.where("role = 'component'").select("paper_id", "name", "sentence_id")).groupBy("shared").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("confidence"), 6).alias("confidence"))
@@ -124,6 +155,7 @@ ENT = "WITH n AS (SELECT p_partkey AS id, p_name, CASE p_partkey % 5 WHEN 0 THEN
 ENT += "k AS (SELECT *, list_filter(string_split(lower(raw), ' '), lambda t: length(t) > 2) AS tokens FROM n), c AS (SELECT id, CASE WHEN raw = '2023' THEN 'number' WHEN raw = 'John Smith' THEN 'person' WHEN raw = 'PubMed' AND dataset THEN 'rerouted' WHEN len(list_filter(tokens, lambda t: contains(quote, t))) / len(tokens) < 0.5 THEN 'not_grounded' ELSE 'passed' END AS reason FROM k)\n"
 ST = "CASE reason WHEN 'passed' THEN 'ACCEPTED' WHEN 'rerouted' THEN 'ACCEPTED' ELSE 'REJECTED' END"
 _res = "CASE " + " ".join("WHEN regexp_matches(p_name, '(?i)" + p + "') THEN '{" + str(i) + "}'" for i, (p, *_r) in enumerate(ONTOLOGY))
+_named = "WITH n AS (SELECT p_partkey, p_name, {} AS t FROM part), r AS (SELECT p_partkey, p_name, ".replace("{}", "array_to_string(list_transform(regexp_extract_all(trim(p_name), '(\\p{L}+|[^\\p{L}]+)'), lambda x: upper(x[1]) || lower(x[2:])), '')") + _res.format(*(o[1] for o in ONTOLOGY)) + " ELSE t END AS canonical FROM n)\n"
 
 QUERIES = {
     "title_key_dedup": lambda s, d: D.exact_groups(records(s, d)),
@@ -133,7 +165,8 @@ QUERIES = {
     "greedy_fold": lambda s, d: D.fold(with_ids(s, d)),
     "entity_resolution": lambda s, d: names(s, d).select("paper_id", "canonical", "family", "paradigm", "confidence"),
     "decision_log": lambda s, d: D.decisions(names(s, d)),
-    "noise_filter": lambda s, d: table(s, d, "part").select("p_partkey", D.rules.is_noise(F.col("p_name")).alias("noise"), D.rules.is_noise(F.concat(F.lit("Table "), F.col("p_partkey").cast("string"))).alias("numbered")),
+    "decision_papers": lambda s, d: D.decision_papers(names(s, d)),
+    "noise_filter": noisy,
     "grounding_validate": lambda s, d: checked(s, d).select("id", "status", "reason", *r6("adjusted")),
     "validation_report": lambda s, d: E.validation_report(checked(s, d)).select("total", "accepted", "rejected", "flagged", *r6("acceptance_rate", "rejection_rate")),
     "rejection_reasons": lambda s, d: E.rejection_reasons(checked(s, d)),
@@ -150,6 +183,8 @@ QUERIES = {
     "representatives": lambda s, d: C.representatives(members(s, d)),
     "param_grid": lambda s, d: C.param_grid(s, 100),
     "density_search": density,
+    "cluster_selection": selection,
+    "analysis_assembly": assembly,
     "ari": lambda s, d: C.adjusted_rand(table(s, d, "lineitem").select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"))).select(*r6("ari")),
     "tfidf_rank": lambda s, d: K.tfidf_rank(table(s, d, "documents"), "the and thing der les", key="doc_id").select("doc_id", *r6("score")),
     "recency_rank": lambda s, d: K.recency_boost(records(s, d).select(F.col("seq").alias("id"), (F.length("abstract") % 100 / 100.0).alias("score"), F.col("publication_year").alias("year"))).select("id", *r6("boosted")),
@@ -170,14 +205,39 @@ QUERIES = {
     "stream_tumbling": stream(X.tumbling),
     "stream_sliding": stream(X.sliding),
     "stream_session": stream(X.sessions),
-    "stream_dedup": stream(X.deduplicated, "append"),
+    "stream_dedup": stream(lambda e: X.deduplicated(e.unionByName(e)), "append"),
 }
+_top = lambda name, rows: f"""{name} AS (SELECT string_agg(name || ':' || papers || ':' || printf('%.2f', round(100.0 * papers / (SELECT count(*) FROM orders), 2)), '|' ORDER BY papers DESC, name) AS x, (SELECT count(*) FROM {rows}) AS n FROM (SELECT * FROM {rows} ORDER BY papers DESC, name LIMIT 20))"""
 ORACLE_SQL = {
+    "analysis_assembly": L_SQL + """, p AS (SELECT theme_id, paper_id, min(year) AS year FROM t GROUP BY 1, 2), r AS (SELECT theme_id, row_number() OVER (PARTITION BY theme_id ORDER BY year, paper_id) AS k FROM p),
+x AS (SELECT l_orderkey AS paper_id, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT p_brand AS name, count(DISTINCT paper_id) AS papers FROM x GROUP BY 1), y AS (SELECT p_type AS name, count(DISTINCT paper_id) AS papers FROM x GROUP BY 1),
+""" + _top("tb", "b") + ", " + _top("ty", "y") + """, h AS (SELECT round(sum(papers * CAST(papers AS DOUBLE)) / (sum(papers) * CAST(sum(papers) AS DOUBLE)), 4) AS hhi FROM y),
+e AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), a AS (SELECT string_agg(label || ':' || n || ':' || CAST(round_even(100.0 * n / (SELECT sum(n) FROM e), 0) AS BIGINT), '|' ORDER BY label) AS x, count(*) AS n FROM e)
+SELECT 'run' AS run_id, 'All of it' AS title, (SELECT count(*) FROM orders) AS paper_count, (SELECT min(year(o_orderdate)) || '-' || max(year(o_orderdate)) FROM orders) AS year_range, tb.n AS methods_count, ty.n AS benchmarks_count,
+  hhi, CASE WHEN hhi >= 0.25 THEN 'Highly Concentrated Benchmarks' WHEN hhi >= 0.15 THEN 'Moderately Concentrated Benchmarks' ELSE 'Well-Diversified Benchmarks' END AS hhi_label, tb.x AS top_methods, ty.x AS top_benchmarks, a.n AS areas_count, a.x AS areas,
+  (SELECT string_agg(theme_id || ':' || papers || ':' || status, '|' ORDER BY theme_id) FROM z) AS gaps, (SELECT count(*) FROM r WHERE k BETWEEN 2 AND 4) AS total_links,
+  (SELECT count(*) FROM z WHERE status IN ('UNADDRESSED', 'PARTIALLY_ADDRESSED')) AS open_gaps, (SELECT count(*) FROM z WHERE status IN ('RESOLVED', 'CONVERGED')) AS resolved_gaps,
+  (SELECT count(*) FROM z) AS total_themes, (SELECT count(*) FROM t) AS total_limitations FROM tb, ty, h, a""",
     "title_key_dedup": P_SQL + "SELECT clean_title, author_key, publication_year, count(*) AS n, min(seq) AS first_id FROM p GROUP BY 1, 2, 3",
-    "merge_records": P_SQL + "SELECT min(seq) AS seq, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, arg_min(title, seq) AS title, arg_min(publication_year, seq) AS year, max(length(text)) AS chars FROM p GROUP BY clean_title, author_key",
+    "merge_records": P_SQL + "SELECT min(seq) AS seq, coalesce('doi_' || regexp_replace(arg_min('doi:10.1/' || seq % 70, seq) FILTER (seq % 7 = 0), '[^A-Za-z0-9]', '', 'g'), 'doc_' || min(seq)) AS paper_id, arg_min('doi:10.1/' || seq % 70, seq) FILTER (seq % 7 = 0) AS doi, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, arg_min(title, seq) AS title, arg_min(publication_year, seq) AS year, max(length(text)) AS chars FROM p GROUP BY clean_title, author_key",
     "doi_pairs": "WITH k AS (SELECT doc_id AS seq, doc_id % 70 AS k FROM documents WHERE doc_id % 7 = 0), f AS (SELECT k, min(seq) AS canonical FROM k GROUP BY 1) SELECT canonical, seq AS duplicate FROM k JOIN f USING (k) WHERE seq <> canonical",
     "entity_resolution": "WITH n AS (SELECT p_partkey, p_name, array_to_string(list_transform(regexp_extract_all(trim(p_name), '(\\p{L}+|[^\\p{L}]+)'), lambda x: upper(x[1]) || lower(x[2:])), '') AS t FROM part)\nSELECT p_partkey AS paper_id, " + ", ".join(_res.format(*(o[i] for o in ONTOLOGY)) + f" ELSE {rest} END AS {name}" for i, rest, name in ((1, "t", "canonical"), (2, "t || ' Methods'", "family"), (3, "'Specialized AI Methodologies'", "paradigm"))) + ", " + _res.format("0.98", "0.98", "0.98").replace("'0.98'", "0.98") + " ELSE 0.85 END::DOUBLE AS confidence FROM n",
-    "noise_filter": "SELECT p_partkey, false AS noise, true AS numbered FROM part",
+    "noise_filter": f"""WITH n AS (SELECT p_partkey, [{", ".join("'" + f.replace("{}", "' || p_name || '") + "'" for f in NOISY)}][p_partkey % {len(NOISY)} + 1] AS name FROM part), k AS (SELECT *, lower(trim(name)) AS low FROM n)
+SELECT p_partkey, name, ({" OR ".join(f"regexp_matches(low, '{p}')" for p in D.V.NOISE)} OR contains(low, 'arxiv') OR length(low) < 3) AS noise FROM k""",
+    "decision_log": _named + "SELECT 'method' AS entity_type, lower(trim(p_name)) AS alias, canonical, count(DISTINCT p_partkey) AS papers FROM r GROUP BY 2, 3",
+    "decision_papers": _named + "SELECT DISTINCT 'method' AS entity_type, lower(trim(p_name)) AS alias, canonical, p_partkey AS paper_id FROM r",
+    "cluster_score": V_SQL + SIL + """, z AS (SELECT (SELECT count(*) FROM f WHERE cluster_id >= 0) AS clusters, (SELECT coalesce(sum(n), 0) FROM f WHERE cluster_id < 0) AS noise, (SELECT sum(n) FROM f) AS total,
+  (SELECT max(n) FROM f WHERE cluster_id >= 0) AS largest, (SELECT min(n) FROM f WHERE cluster_id >= 0) AS smallest, (SELECT avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) FROM t) AS silhouette,
+  (SELECT avg(CASE WHEN n > 1 THEN (list_inner_product(s, s) - q) / (n * (n - 1)) ELSE 1 END) FROM f WHERE cluster_id >= 0) AS intra,
+  (SELECT avg(list_inner_product(x.c, y.c)) FROM c x JOIN c y ON x.cluster_id < y.cluster_id WHERE x.cluster_id >= 0) AS inter,
+  (SELECT sum(-p * ln(p)) / ln(count(*)) FROM (SELECT n / sum(n) OVER () AS p FROM f WHERE cluster_id >= 0)) AS entropy)
+SELECT clusters, CAST(noise AS BIGINT) AS noise, largest, smallest, round(silhouette, 6) AS silhouette, round(greatest(silhouette, -0.5) + 2.2 * (intra - inter) + 0.4 * entropy + 0.15 * least(clusters, 12) - greatest(0, 1.5 * (largest / total - 0.55))
+  - greatest(0, 2.0 * (noise / total - 0.30)) - CASE WHEN noise / total > 0.5 THEN 3.0 * (noise / total - 0.5) ELSE 0 END, 6) AS score FROM z""",
+    "tfidf_rank": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]{2,}')) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents), r AS (SELECT doc_id, word, tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS x FROM tf JOIN df USING (word), n), z AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM r GROUP BY 1),
+q AS (SELECT word, ln((1.0 + n) / (1.0 + df)) + 1.0 AS x FROM df, n WHERE word IN ('the', 'and', 'thing', 'der', 'les')), k AS (SELECT word, x / sqrt((SELECT sum(x * x) FROM q)) AS q FROM q),
+h AS (SELECT doc_id, sum(x / size * q) AS score FROM r JOIN z USING (doc_id) JOIN k USING (word) GROUP BY 1) SELECT doc_id, round(coalesce(score, 0.0), 6) AS score FROM documents LEFT JOIN h USING (doc_id)""",
     "grounding_validate": ENT + f"SELECT id, {ST} AS status, reason, CASE reason WHEN 'passed' THEN 0.9445 WHEN 'rerouted' THEN 0.98 WHEN 'not_grounded' THEN 0.1 ELSE 0 END::DOUBLE AS adjusted FROM c",
     "validation_report": ENT + f"SELECT count(*) AS total, count(*) FILTER ({ST} = 'ACCEPTED') AS accepted, count(*) FILTER ({ST} = 'REJECTED') AS rejected, CAST(0 AS BIGINT) AS flagged, round(count(*) FILTER ({ST} = 'ACCEPTED') / count(*), 6) AS acceptance_rate, round(count(*) FILTER ({ST} = 'REJECTED') / count(*), 6) AS rejection_rate FROM c",
     "rejection_reasons": ENT + f"SELECT reason, count(*) AS n FROM c WHERE {ST} = 'REJECTED' GROUP BY 1",

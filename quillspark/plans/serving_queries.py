@@ -8,6 +8,7 @@ from ..operators import gaps, resolve, sentences, serving, trends
 from ..session import table
 from ..sources import tables as S
 from . import analysis_queries as A
+from . import evidence_queries as X
 from . import literature
 from . import text_queries as T
 
@@ -51,20 +52,20 @@ def labels(spark, d):
 
 def prompts(spark, d):
     found = T.sentences_of(spark, d)
-    return sentences.prompt_blocks(sentences.top_per_category(found, 3, T.CUES), found).select("paper_id", F.length("prompt").cast("long").alias("chars"))
+    return sentences.prompt_blocks(sentences.top_per_category(found, 3, T.CUES), found).select("paper_id", F.length("prompt").cast("long").alias("chars"), F.md5("prompt").alias("prompt"))
 
 
 def fallback(spark, d):
     papers = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.col("text").alias("abstract"))
     blocks = sentences.whole_texts(table(spark, d, "documents").where("doc_id % 2 = 0"))
     found = sentences.with_fallback(blocks, papers)
-    return found.agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("paper_id").alias("papers"))
+    return found.select("paper_id", "section", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text"))
 
 
 QUERIES = {
     "alias_map": aliased,
     "rule_mentions": mentions_of_rules,
-    "named_proposals": lambda s, d: E.named_proposals(T.sentences_of(s, d).withColumn("text", F.concat(F.lit("Here we propose "), F.initcap(F.substring("text", 1, 12))))).select("paper_id", "seq", "name"),
+    "named_proposals": lambda s, d: E.named_proposals(S.scholarly(s, d)).select("paper_id", "seq", "name"),
     "prompt_blocks": prompts,
     "abstract_fallback": fallback,
     "cross_paper_gaps": cross_gaps,
@@ -80,7 +81,13 @@ QUERIES = {
 PART = "SELECT p_partkey, lower(trim(p_name)) AS k FROM part"
 ORACLE_SQL = {
     "alias_map": "WITH a(ord, alias, canonical) AS (VALUES (1, 'ring', 'Round Part'), (2, 'bolt', 'Fastener'), (3, 'red', 'Red Ware'), (4, 'gears', 'Drive')), m AS (SELECT p_partkey, arg_min(canonical, ord) AS canonical FROM part JOIN a ON length(alias) >= 4 AND (contains(lower(trim(p_name)), alias) OR contains(alias, lower(trim(p_name)))) GROUP BY 1)\nSELECT p_partkey, coalesce(m.canonical, array_to_string(list_transform(regexp_extract_all(trim(p_name), '(\\p{L}+|[^\\p{L}]+)'), lambda x: upper(x[1]) || lower(x[2:])), '')) AS canonical FROM part LEFT JOIN m USING (p_partkey)",
-    "abstract_fallback": "SELECT count(*) AS blocks, count(*) AS papers FROM documents",
+    "abstract_fallback": f"SELECT doc_id AS paper_id, 'Abstract' AS section, length({T.NOISE_SQL}) AS chars, md5({T.NOISE_SQL}) AS text FROM documents",
+    "rule_mentions": T.SENTENCES + ", h AS (" + " UNION ALL ".join(f"SELECT paper_id, '{n}' AS canonical, seq FROM sentences WHERE regexp_matches(text, '(?i){p[:-2]}([^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]|$)')" for p, n in RULES) + ") SELECT paper_id, canonical, min(seq) AS seq FROM h GROUP BY 1, 2",
+    "named_proposals": X.SENTS + f", n AS (SELECT paper_id, seq, trim(regexp_extract(text, {X.text(X.V.PROPOSAL)}, 1)) AS name FROM s) SELECT * FROM n WHERE name <> ''",
+    "prompt_blocks": T.SCORES + f""", k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, category ORDER BY score DESC, seq) AS rank FROM scores WHERE score > 1.0),
+b AS (SELECT paper_id, list_position({sentences.V.CATEGORIES!r}, category) AS place, '=== ' || upper(category) || ' ===' || chr(10) || string_agg('[S' || seq || '] (p.1, Abstract): ' || text, chr(10) ORDER BY rank) AS body
+  FROM k JOIN sentences USING (paper_id, seq) WHERE rank <= 3 AND category <> 'literature_sources' GROUP BY paper_id, category),
+p AS (SELECT paper_id, string_agg(body, chr(10) || chr(10) ORDER BY place) AS prompt FROM b GROUP BY paper_id) SELECT paper_id, length(prompt) AS chars, md5(prompt) AS prompt FROM p""",
     "cross_paper_gaps": "WITH c AS (SELECT conv_id, turn % 4 AS k, turn % 3 = 0 AS f FROM conversations), g AS (SELECT 1 AS p, 'validation' AS kind, count(DISTINCT conv_id) AS papers, 0.94::DOUBLE AS confidence FROM c WHERE k = 0 OR f UNION ALL SELECT 2, 'cost', count(DISTINCT conv_id), 0.91 FROM c WHERE k = 1 UNION ALL SELECT 3, 'synthetic', count(DISTINCT conv_id), 0.88 FROM c UNION ALL SELECT 4, 'safety', count(DISTINCT conv_id), 0.92 FROM c WHERE k = 2) SELECT row_number() OVER (ORDER BY p) AS gap_id, kind, papers, confidence FROM g WHERE papers >= 2",
     "mention_frequency": "SELECT p_brand AS name, count(*) AS mentions, round(100.0 * count(*) / (SELECT count(*) FROM orders), 1) AS share FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "fallback_gaps": "SELECT conv_id AS paper_id, turn AS seq FROM conversations WHERE length(text) > 10 ORDER BY 1, 2 LIMIT 5",

@@ -11,6 +11,7 @@ WITH = f"""
 WITH papers AS (SELECT o_orderkey AS paper_id, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders),
 mentions AS (SELECT paper_id, year, p_brand AS name, {SEQ_SQL}, l_suppkey AS supplier,
   CASE l_returnflag WHEN 'A' THEN 'proposed' WHEN 'R' THEN 'baseline' WHEN 'N' THEN 'component' END AS role
+  , p_name AS alias, p_type AS family, l_linestatus AS kind
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN papers ON l_orderkey = paper_id),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, name ORDER BY {SEQ_SQL}, role) AS k FROM mentions) WHERE k = 1),
 rolecounts AS (SELECT name, role, count(*) AS papers, min(paper_id) AS met FROM firsts GROUP BY name, role),
@@ -88,7 +89,30 @@ def mode(spark, d):
     return T.corpus_mode(S.papers(spark, d))
 
 
+def profiled(made):
+    """Profiles with their lists as texts."""
+    return made.withColumns({"aliases": F.array_join("aliases", "|"), "top_papers": F.array_join(F.transform("top_papers", lambda x: x.cast("string")), ",")})
+
+
+def members_of(spark, d):
+    """Papers in groups by their key."""
+    return S.papers(spark, d).select("paper_id", (F.col("paper_id") % 11).alias("cluster_id"))
+
+
+def said(spark, d):
+    """Comments on parts of lines as limitations."""
+    return S.mentions(spark, d).select("paper_id", F.concat_ws(" ", F.lit("limited by"), "alias", "family").alias("text"))
+
+
+def clusters_in_detail(spark, d):
+    made = T.cluster_profiles(members_of(spark, d), S.mentions(spark, d), said(spark, d))
+    return made.withColumn("limitations", F.array_join("limitations", "|"))
+
+
 QUERIES = {
+    "method_profiles": lambda s, d: profiled(T.method_profiles(S.mentions(s, d), S.papers(s, d))),
+    "dataset_profiles": lambda s, d: profiled(T.dataset_profiles(S.mentions(s, d), S.papers(s, d), ["blue", "washer"])),
+    "cluster_profiles": clusters_in_detail,
     "adoption_trajectory": adoption_trajectory,
     "adoption_by_year": lambda s, d: T.yearly_totals(S.papers(s, d)),
     "yearly_distribution": lambda s, d: T.yearly_distribution(S.mentions(s, d), S.papers(s, d)).select("name", "year", "papers", *R("share")),
@@ -105,7 +129,23 @@ QUERIES = {
     "ontology_rollup": rollup,
     "corpus_mode": mode,
 }
+FIRST_TEN = "string_agg(CASE WHEN k10 <= 10 THEN CAST(paper_id AS VARCHAR) END, ',' ORDER BY paper_id)"
 ORACLE_SQL = {
+    "method_profiles": WITH + f""", f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY paper_id) AS k10 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, name ORDER BY {SEQ_SQL}, role, alias, family, kind) AS j FROM mentions) WHERE j = 1)),
+g AS (SELECT name, arg_max(family, paper_id) AS family, arg_max(kind, paper_id) AS kind, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases, count(*) AS papers, {FIRST_TEN} AS top_papers FROM f GROUP BY name)
+SELECT name, family, kind, role, aliases, g.papers, round(100.0 * g.papers / (SELECT count(*) FROM papers), 2) AS share, top_papers FROM g JOIN roles USING (name)""",
+    "dataset_profiles": WITH + f""", m AS (SELECT * FROM mentions WHERE NOT contains(lower(alias), 'blue') AND NOT contains(lower(alias), 'washer')),
+f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY paper_id) AS k10 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, name ORDER BY {SEQ_SQL}, alias, family) AS j FROM m) WHERE j = 1)),
+g AS (SELECT name, arg_max(family, paper_id) AS modality, bool_or(regexp_matches(lower(alias), 'synth|simulat')) AS synthetic, count(*) AS papers, {FIRST_TEN} AS top_papers FROM f GROUP BY name),
+l AS (SELECT name, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases FROM m GROUP BY name), h AS (SELECT *, round(100.0 * papers / (SELECT count(*) FROM papers), 2) AS share FROM g)
+SELECT name, modality, aliases, papers, share, share >= 25 AS monopoly, synthetic, top_papers FROM h JOIN l USING (name)""",
+    "cluster_profiles": WITH + f""", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, name ORDER BY {SEQ_SQL}, family, kind) AS j FROM mentions) WHERE j = 1),
+c AS (SELECT paper_id % 11 AS cluster_id, count(*) AS papers FROM papers GROUP BY 1),
+a AS (SELECT cluster_id, arg_min(family, (-n, family)) AS family FROM (SELECT paper_id % 11 AS cluster_id, family, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT cluster_id, arg_min(kind, (-n, kind)) AS kind FROM (SELECT paper_id % 11 AS cluster_id, kind, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT cluster_id, text, row_number() OVER (PARTITION BY cluster_id ORDER BY text) AS k FROM (SELECT DISTINCT paper_id % 11 AS cluster_id, substr('limited by ' || alias || ' ' || family, 1, 120) AS text FROM mentions)),
+l AS (SELECT cluster_id, string_agg(text, '|' ORDER BY text) AS limitations FROM t WHERE k <= 4 GROUP BY 1)
+SELECT cluster_id, papers, coalesce(family, 'Specialized Methodologies') AS family, coalesce(kind, 'Adaptive Scientific AI') AS kind, coalesce(limitations, '') AS limitations FROM c LEFT JOIN a USING (cluster_id) LEFT JOIN b USING (cluster_id) LEFT JOIN l USING (cluster_id)""",
     "adoption_trajectory": WITH + """SELECT name, papers, role, trajectory,
   CASE trajectory WHEN 'DOMINANT' THEN 0.95 WHEN 'EMERGING' THEN 0.92 WHEN 'INCREASING' THEN 0.90 WHEN 'DECLINING' THEN 0.88 ELSE 0.85 END::DOUBLE AS confidence,
   round(share, 6) AS share, round(early, 6) AS early, round(late, 6) AS late, round(growth, 6) AS growth FROM trajectories""",

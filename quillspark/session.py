@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,24 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one only where that is unset on one machine (tests)."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        known = tempfile.mkdtemp(prefix="quillspark-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its plan is cut, and no task of it runs twice."""
+    path = f"{shared_dir(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read where only Spark may be able to reach it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import rules, text
 from quillspark.functions.numbers import composite_confidence
-from quillspark.operators import evidence, gaps, graph, ranking, resolve, trends, vectors
+from quillspark.operators import evidence, gaps, graph, ranking, resolve, serving, trends, vectors
 from quillspark.sources import writers
 
 
@@ -170,14 +170,182 @@ def test_density_search_reads_all_embeddings(spark, monkeypatch):
 def test_fuzzy_titles_against_brute_force(spark):
     titles = ["deep learning for images", "deep learning for image", "deep learning of images", "something else entirely", "deep lerning for images", "deep learning for images"]
     rows = [(i, f"p{i}", t, "", "A B", 2020 + i % 2, None, None, "s") for i, t in enumerate(titles)]
-    df = spark.createDataFrame(rows, "seq long, paper_id string, title string, abstract string, author string, publication_year int, doi string, arxiv_id string, source string")
+    df = spark.createDataFrame(rows, RECORD)
     got = {(r["canonical"], r["duplicate"]) for r in resolve.fuzzy_pairs(df).collect()}
     clean = {}
     for i, t in enumerate(titles):
         clean.setdefault(("".join(c for c in t if c.isalnum()), 2020 + i % 2), i)
-    want = {(i, j) for (a, _), i in clean.items() for (b, _), j in clean.items() if i < j and SequenceMatcher(None, a, b).ratio() >= 0.92}
-    assert got <= want
-    assert {(0, 1), (0, 2), (0, 4), (0, 5), (1, 5), (2, 5)} <= got
+    want = {(i, j) for (a, _), i in clean.items() for (b, _), j in clean.items() if i < j and SequenceMatcher(None, b, a).ratio() >= 0.92}
+    assert got == want and {(0, 1), (0, 2), (0, 4), (0, 5), (1, 5), (2, 5)} <= got
+
+
+def test_fuzzy_titles_lose_no_pair(spark):
+    """Random edits anywhere, insertions at the front among them, against all pairs."""
+    import random
+
+    random.seed(3)
+    letters, titles = "abcdefgh", []
+    for _ in range(25):
+        base = "".join(random.choice(letters) for _ in range(random.choice([4, 7, 20, 57])))
+        titles.append(base)
+        for _ in range(5):
+            t = base
+            for _ in range(random.randint(0, 5)):
+                at = random.randint(0, len(t))
+                t = random.choice([t[:at] + random.choice(letters) + t[at:], t[:at] + t[at + 1 :], "the" + t])
+            titles.append(t)
+    rows = [(i, f"p{i}", t, "", "A B", 2020 + i % 3, None, None, "s") for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, RECORD)
+    first = {}
+    for i, t in enumerate(titles):
+        if t:
+            first.setdefault((t, 2020 + i % 3), i)
+    want = {(i, j) for (a, x), i in first.items() for (b, y), j in first.items() if i < j and abs(x - y) <= 1 and SequenceMatcher(None, b, a).ratio() >= 0.92}
+    assert {(r["canonical"], r["duplicate"]) for r in resolve.fuzzy_pairs(df).collect()} == want and len(want) > 40
+
+
+RECORD = "seq long, paper_id string, title string, abstract string, author string, publication_year int, doi string, arxiv_id string, source string"
+
+
+def folded_by_hand(rows):
+    """The rules in a plain loop over (seq, title, author, year, doi, arxiv)."""
+    clean = lambda t: "".join(c for c in (t or "") if c.isalnum()).lower()
+    known, made = [], set()
+    for seq, title, author, year, doi, arxiv in rows:
+        r = {"seq": seq, "t": clean(title), "a": clean(author.split()[-1] if author.split() else ""), "y": year, "d": doi, "x": arxiv}
+        for c in known:
+            near = r["y"] and c["y"] and abs(r["y"] - c["y"]) <= 1 and r["t"] and c["t"] and SequenceMatcher(None, r["t"], c["t"]).ratio() >= 0.92
+            how = "doi" if r["d"] and r["d"] == c["d"] else "arxiv" if r["x"] and r["x"] == c["x"] else "title" if (r["t"], r["a"], r["y"]) == (c["t"], c["a"], c["y"]) else "fuzzy" if near else None
+            if how:
+                made.add((seq, c["seq"], how))
+                for k in "tydx":
+                    c[k] = c[k] or r[k]
+                break
+        else:
+            known.append(r)
+    return made
+
+
+def test_fold_equals_the_plain_loop(spark):
+    """Among them: an identifier that a merge brings makes a later record match; a missing year is filled."""
+    rows = [
+        (0, "deep learning for images", "A B", 2020, "d1", None), (1, "something else", "C D", 2021, "d1", "x7"), (2, "third thing here", "E F", 2019, None, "x7"),
+        (3, "a paper without a year", "G H", None, None, "x9"), (4, "another", "G H", 2015, None, "x9"), (5, "a paper without a yeer", "Q", 2016, None, None),
+        (6, "deep learning for image", "Z", 2021, None, None), (7, "unrelated words", "I J", 2000, None, None), (8, "", "K L", None, None, None), (9, "", "K L", None, None, None), (10, "unrelated words", "I J", 2000, None, None),
+    ]
+    df = spark.createDataFrame([(s, f"p{s}", t, "", a, y, d, x, "s") for s, t, a, y, d, x in rows], RECORD)
+    assert {tuple(r) for r in resolve.fold(df).select("duplicate", "canonical", "method").collect()} == folded_by_hand(rows)
+
+
+def test_fold_of_the_table(spark):
+    from quillspark.plans import analysis_queries
+    from tests.conftest import DATA
+
+    df = analysis_queries.with_ids(spark, DATA)
+    rows = [(r["seq"], r["title"], r["author"], r["publication_year"], r["doi"] and r["doi"].removeprefix("doi:"), r["arxiv_id"]) for r in df.orderBy("seq").collect()]
+    assert {tuple(r) for r in resolve.fold(df).select("duplicate", "canonical", "method").collect()} == folded_by_hand(rows)
+
+
+def test_context_equals_the_plain_fold(spark):
+    from quillspark.operators import sentences
+    from quillspark.sources import tables
+    from tests.conftest import DATA
+
+    found = tables.scholarly(spark, DATA)
+    by = {}
+    for r in sentences.scored(found).where("score > 1").collect():
+        by.setdefault(r["paper_id"], {}).setdefault(r["category"], []).append((-r["score"], r["seq"]))
+    want = set()
+    for paper, kinds in by.items():
+        seen = set()
+        for name in sentences.V.CATEGORIES:
+            taken = 0
+            for minus, seq in sorted(kinds.get(name, [])):
+                if taken < 8 and (seq not in seen or taken < 3):
+                    taken += 1
+                    seen.add(seq)
+                    want.add((paper, name, taken, seq, -minus))
+    got = {tuple(r) for r in sentences.context(found).select("paper_id", "category", "rank", "seq", "score").collect()}
+    assert got == want and len(want) > 50
+
+
+def test_mmr_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 5))
+    score = rng.integers(0, 10, 60) / 10
+    x, rel, chosen = v / np.linalg.norm(v, axis=1, keepdims=True), (score - score.min()) / (score.max() - score.min()), []
+    while len(chosen) < 12:
+        value = [(0.6 * rel[i] - 0.4 * max((float(x[i] @ x[j]) for j in chosen), default=0.0), score[i], -i) for i in range(60) if i not in chosen]
+        chosen.append(-max(value)[2])
+    pool = spark.createDataFrame([(i, float(score[i]), v[i].tolist()) for i in range(60)], "id long, score double, v array<double>")
+    assert [r["id"] for r in ranking.diversified(pool, 12).orderBy("place").collect()] == chosen
+
+
+def test_duplicate_labels_equal_brute_force(spark):
+    names = ["Deep Learning", "deep learning ", "Deep Learnings", "Graph Nets", "Graph Net", "Other"]
+    got = {(r["a"], r["b"], round(r["ratio"], 9)) for r in serving.duplicate_labels(spark.createDataFrame(list(enumerate(names)), "cluster_id long, label string")).collect()}
+    each = [n.lower().strip() for n in names]
+    assert got == {(i, j, round(SequenceMatcher(None, a, b).ratio(), 9)) for i, a in enumerate(each) for j, b in enumerate(each) if i < j and SequenceMatcher(None, a, b).ratio() >= 0.8}
+
+
+def test_cluster_selection(spark):
+    """Three dense groups are found; two looser ones that the best setting leaves as noise are found in the second pass or stay noise."""
+    rng = np.random.default_rng(4)
+    centres = np.eye(8)[:5]
+    rows = [c + rng.normal(0, 0.02, 8) for c in centres[:3] for _ in range(12)] + [c + rng.normal(0, 0.1, 8) for c in centres[3:] for _ in range(6)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id long, v array<double>")
+    got = {r["id"]: r["cluster_id"] for r in vectors.selected(df).collect()}
+    groups = [{got[i] for i in range(12 * g, 12 * g + 12)} - {-1} for g in range(3)]
+    assert sorted(got) == list(range(48)) and all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    assert vectors.selected(df.limit(0)).count() == 0
+
+
+def test_metrics_of_a_matrix_equal_those_of_the_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((50, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = rng.integers(-1, 4, 50)
+    m = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "id long, cluster_id int, v array<double>")
+    want, got = vectors.metrics(m).first(), vectors.numpy_metrics(x, label)
+    for k in ("clusters", "noise", "largest", "smallest", "silhouette", "intra", "inter", "entropy", "score"):
+        assert got[k] == pytest.approx(want[k]), k
+
+
+def test_blocks_of_pages(spark):
+    from quillspark.operators import sentences
+
+    html = '<style>p{}</style><h2 class="x">2. Methods &amp; Co</h2><!-- <p>no</p> --><p id=1>One <b>bold</b><br>line</p><ul><li>an &lt;item&gt;</li></ul><script>var t="</p>"</script><table><tr><td>cell</td></tr></table><pre>code</pre>'
+    got = [r["raw_text"] for r in sentences.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).orderBy("block_idx").collect()]
+    assert got == ["2. Methods & Co", "One bold\nline", "an <item>", "cell", "code"]
+
+
+def test_literature_indexes_are_routed(spark):
+    from quillspark.operators import extraction
+
+    scan = spark.createDataFrame([(1, 1, "PubMed Central", False, "S1", 1, "Abstract", "q"), (1, 2, "NSL-KDD", False, "S2", 1, "Abstract", "q"), (1, 3, "dataset", False, "S2", 1, "A", "q")], "paper_id long, idx int, raw string, proposal boolean, sentence_id string, page int, section string, quote string")
+    got = sorted((r["target"], r["idx"], r["name"], r["modality"]) for r in extraction.datasets(scan).collect())
+    assert got == [("dataset", 1, "NSL-KDD", "tabular"), ("literature_source", 1, "Pubmed Central", None)]
+
+
+def test_each_batch_counts_a_repeated_batch_once(spark, tmp_path):
+    from quillspark.streaming import events
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame([("a", 1.0 + i), ("b" if i else "c", 2.0)], "k string, v double").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k string, v double").option("maxFilesPerTrigger", 1).parquet(source)
+    events.each_batch(stream, path, str(tmp_path / "c"), ["k"], ["v"]).start().awaitTermination()
+    want = [("a", 6.0), ("b", 4.0), ("c", 2.0)]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{path}/v=2").select("k", "v").collect()) == want
+    # the last batch once more, from the version before it: as after a failure between its write and its commit
+    import shutil
+
+    shutil.rmtree(tmp_path / "c" / "commits")
+    (tmp_path / "c" / "commits").mkdir()
+    for n in (0, 1):
+        (tmp_path / "c" / "commits" / str(n)).write_text('v1\n{"nextBatchWatermarkMs":0}')
+    events.each_batch(stream, path, str(tmp_path / "c"), ["k"], ["v"]).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{path}/v=2").select("k", "v").collect()) == want
 
 
 def test_graph(spark):
