@@ -1,6 +1,8 @@
 """Queries of the extraction chain: real rules and cues over sentences of papers, up to the evidence graph, with SQL."""
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -9,28 +11,30 @@ from ..operators import extraction as X
 from ..operators import graph as G
 from ..operators import resolve as D
 from ..operators import sentences as S
-from ..session import table
+from ..session import table, written
 from ..sources import tables
 
 r6 = lambda *names: [F.round(F.col(n), 6).alias(n) for n in names]
 
 
 class Chain:
-    """The frames of one extraction; nothing is computed before one is read."""
+    """The frames of one extraction, each computed when first read; what several others read is written once."""
 
     def __init__(self, spark, d):
         self.sentences = tables.scholarly(spark, d)
-        self.chosen = S.top_per_category(self.sentences)
-        self.method_scan = X.method_scan(self.chosen, self.sentences)
-        self.dataset_scan = X.dataset_scan(self.chosen, self.sentences)
-        self.methods, self.datasets = X.methods(self.method_scan), X.datasets(self.dataset_scan)
-        self.claims = X.claims(self.chosen, self.sentences)
-        self.entities = X.entities(self.methods, self.datasets)
-        self.findings = X.findings(self.claims, self.entities)
-        self.limitations = X.limitations(self.claims, self.entities)
-        self.future = X.future_work(self.claims)
         self.papers = self.sentences.groupBy("paper_id").agg(F.concat(F.lit("Paper "), F.col("paper_id").cast("string")).alias("title"), (F.lit(2020) + F.col("paper_id") % 6).alias("year"))
 
+    chosen = cached_property(lambda self: written(S.top_per_category(self.sentences), "chosen"))
+    method_scan = cached_property(lambda self: written(X.method_scan(self.chosen, self.sentences), "methods"))
+    dataset_scan = cached_property(lambda self: written(X.dataset_scan(self.chosen, self.sentences), "datasets"))
+    methods = cached_property(lambda self: X.methods(self.method_scan))
+    datasets = cached_property(lambda self: X.datasets(self.dataset_scan))
+    claims = cached_property(lambda self: X.claims(self.chosen, self.sentences))
+    entities = cached_property(lambda self: written(X.entities(self.methods, self.datasets), "entities"))
+    findings = cached_property(lambda self: X.findings(self.claims, self.entities))
+    limitations = cached_property(lambda self: X.limitations(self.claims, self.entities))
+    future = cached_property(lambda self: X.future_work(self.claims))
+
 
 def checked(spark, d):
     """Entities judged by their quotes."""
