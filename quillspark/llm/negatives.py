@@ -44,7 +44,7 @@ NUMBERS, ROWS, ANCHORS = 2**18, 4096, 256
 LANE_BLOCKS, GROUP_BLOCKS = 16, 4
 SCALE, POSITIVES, NEGATIVES = 256, 5, 3
 LOW, HIGH = 50, 95
-SLACK = 1e-9
+SLACK, DENSE = 1e-9, 0.1
 BLOCK = ("ids", "labels", "vectors", "squares", "distances")
 
 
@@ -118,14 +118,16 @@ def like(vector: Column, pivots: np.ndarray, pieces: int = 16) -> Column:
 
 
 class Cell:
-    """The rows of a block and what the pivot table says of their scores with an anchor."""
+    """The rows of a block and what the pivot table says of their scores with an anchor; distances have a row for each pivot."""
 
     def __init__(self, parts: dict[str, np.ndarray], dim: int, largest: float) -> None:
         self.ids, self.labels = parts["ids"], parts["labels"]
         self.vectors = parts["vectors"].reshape(len(self.ids), dim)
-        self.distances = parts["distances"].reshape(len(self.ids), -1)
-        self.low, self.high = self.distances.min(axis=0), self.distances.max(axis=0)
+        self.distances = np.ascontiguousarray(parts["distances"].reshape(len(self.ids), -1).T)
+        self.low, self.high = self.distances.min(axis=1), self.distances.max(axis=1)
         self.largest = largest
+        self.own = {int(y): np.flatnonzero(self.labels == y) for y in np.unique(self.labels)}
+        self.near = {y: self.distances[:, rows] for y, rows in self.own.items()}
 
     def scores(self, square: float, nearest: np.ndarray, farthest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least, most) score for distances between nearest and farthest; a little wider, as distances are rounded."""
@@ -133,10 +135,11 @@ class Cell:
         slack = SLACK * (whole + 1) + 1e-6
         return (whole - farthest * farthest) / 2 - slack, (whole - nearest * nearest) / 2 + slack
 
-    def bounds(self, square: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(least, most) score of each row: the triangle inequality over all pivots."""
-        nearest = np.abs(self.distances - own).max(axis=1)
-        farthest = (self.distances + own).min(axis=1)
+    def bounds(self, square: float, own: np.ndarray, distances: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(least, most) score of each row (or of those with these distances): the triangle inequality over all pivots."""
+        stored = self.distances if distances is None else distances
+        nearest = np.abs(stored - own[:, None]).max(axis=0)
+        farthest = (stored + own[:, None]).min(axis=0)
         return self.scores(square, nearest, farthest)
 
     def outer(self, square: float, own: np.ndarray) -> tuple[float, float]:
@@ -146,50 +149,62 @@ class Cell:
         least, most = self.scores(square, np.array(nearest), np.array(farthest))
         return float(least), float(most)
 
+    def exact(self, anchors: np.ndarray, survivors: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(anchor, rows, scores) of what survived; one product for all where many did, as that costs less than to gather rows."""
+        if sum(map(len, survivors.values())) > DENSE * len(survivors) * len(self.ids):
+            every = products(anchors[list(survivors)], self.vectors)
+            for n, (a, rows) in enumerate(survivors.items()):
+                yield a, rows, every[n, rows]
+        else:
+            for a, rows in survivors.items():
+                yield a, rows, products(self.vectors[rows], anchors[a : a + 1])[:, 0]
+
 
 def first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: higher scores, then smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
+    if len(scores) > k:
+        kept = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
+    return np.lexsort((ids, -scores))
 
 
 def of_label(cell: Cell, anchors: np.ndarray, anchor_ids: np.ndarray, labels: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(anchor, rows, scores): the k best of its label in the block."""
-    norms = squares(anchors)
+    norms, left = squares(anchors), {}
     for a in range(len(anchors)):
-        rows = np.flatnonzero((cell.labels == labels[a]) & (cell.ids != anchor_ids[a]))
-        if len(rows) > k:
-            least, most = cell.bounds(norms[a], own[a])
-            least, most = least[rows], most[rows]
-            rows = rows[most >= np.partition(least, len(least) - k)[len(least) - k]]
-        if len(rows):
-            found = products(cell.vectors[rows], anchors[a : a + 1])[:, 0]
-            best = first(found, cell.ids[rows], k)
-            yield a, rows[best], found[best]
+        if (rows := cell.own.get(int(labels[a]))) is None:
+            continue
+        others = cell.ids[rows] != anchor_ids[a]
+        if others.sum() > k:
+            least, most = cell.bounds(norms[a], own[a], cell.near[int(labels[a])])
+            least = np.where(others, least, -np.inf)
+            others &= most >= np.partition(least, len(least) - k)[len(least) - k]
+        if others.any():
+            left[a] = rows[others]
+    for a, rows, found in cell.exact(anchors, left):
+        best = first(found, cell.ids[rows], k)
+        yield a, rows[best], found[best]
 
 
 def in_bands(cell: Cell, anchors: np.ndarray, anchor_ids: np.ndarray, labels: np.ndarray, own: np.ndarray, bands: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(anchor, band, rows, scores): the k best of other labels between each band's ends; bands (anchor, band, 2), empty ones upside down."""
-    norms = squares(anchors)
-    for a in range(len(anchors)):
-        used = np.flatnonzero(bands[a, :, 0] <= bands[a, :, 1])
-        if not len(used):
-            continue
-        low, high = bands[a, used, 0].min(), bands[a, used, 1].max()
+    norms, left = squares(anchors), {}
+    used = bands[:, :, 0] <= bands[:, :, 1]
+    for a in np.flatnonzero(used.any(axis=1)).tolist():
+        low, high = bands[a, used[a], 0].min(), bands[a, used[a], 1].max()
         least, most = cell.outer(norms[a], own[a])
         if most < low or least > high:
             continue
         least, most = cell.bounds(norms[a], own[a])
         rows = np.flatnonzero((most >= low) & (least <= high) & (cell.labels != labels[a]) & (cell.ids != anchor_ids[a]))
-        if not len(rows):
-            continue
-        found = products(cell.vectors[rows], anchors[a : a + 1])[:, 0]
-        inside = np.flatnonzero((found >= low) & (found <= high))
-        inside = inside[first(found[inside], cell.ids[rows[inside]], len(inside))]
-        ordered = found[inside]
-        for n in used:
-            fit = inside[(ordered >= bands[a, n, 0]) & (ordered <= bands[a, n, 1])][:k]
+        if len(rows):
+            left[a] = rows
+    for a, rows, found in cell.exact(anchors, left):
+        for n in np.flatnonzero(used[a]):
+            fit = np.flatnonzero((found >= bands[a, n, 0]) & (found <= bands[a, n, 1]))
             if len(fit):
-                yield a, int(n), rows[fit], found[fit]
+                best = fit[first(found[fit], cell.ids[rows[fit]], k)]
+                yield a, int(n), rows[best], found[best]
 
 
 def meet(anchors: DataFrame, candidates: DataFrame, lanes: int, groups: int) -> DataFrame:
