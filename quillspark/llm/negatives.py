@@ -44,7 +44,7 @@ NUMBERS, ROWS, ANCHORS = 2**18, 4096, 256
 LANE_BLOCKS, GROUP_BLOCKS = 16, 4
 SCALE, POSITIVES, NEGATIVES = 256, 5, 3
 LOW, HIGH = 50, 95
-SLACK, DENSE = 1e-9, 0.1
+SLACK, DENSE = 1e-6, 0.1
 BLOCK = ("ids", "labels", "vectors", "squares", "distances")
 
 
