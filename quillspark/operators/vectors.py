@@ -10,10 +10,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01
+from ..session import written
+from .density import clusterings, density_labels
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,17 +67,19 @@ def separation(members: DataFrame) -> DataFrame:
 
 
 def silhouette(members: DataFrame) -> DataFrame:
-    """(id, cluster_id, a, b, silhouette) by cosine distance; 0 for a cluster of one. Cluster sums are broadcast: one row a cluster."""
+    """(id, cluster_id, a, b, silhouette) by cosine distance; 0 for a cluster of one.
+
+    The clusters' sums stand in one array beside each row and are folded there: no row is made for a pair of row and cluster."""
     real = members.where("cluster_id >= 0")
-    s = sums(real).select(F.col("cluster_id").alias("other"), "s", "n")
-    rows = real.join(F.broadcast(s))
-    near = dot(F.col("v"), F.col("s"))
-    own = F.col("cluster_id") == F.col("other")
-    made = rows.groupBy("id", "cluster_id").agg(
-        F.max(F.when(own, 1 - (near - dot(F.col("v"), F.col("v"))) / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"),
-        F.min(F.when(~own, 1 - near / F.col("n"))).alias("b"))
+    every = sums(real).agg(F.collect_list(F.struct("cluster_id", "s", "n")).alias("every"))  # an entry for each cluster
+    near = lambda c: dot(F.col("v"), c["s"])
+    own = F.filter("every", lambda c: c["cluster_id"] == F.col("cluster_id"))[0]
+    others = F.filter("every", lambda c: c["cluster_id"] != F.col("cluster_id"))
+    rows = real.join(F.broadcast(every)).select(
+        "id", "cluster_id", (1 - (near(own) - dot(F.col("v"), F.col("v"))) / F.nullif(own["n"] - 1, F.lit(0))).alias("a"),
+        F.array_min(F.transform(others, lambda c: 1 - near(c) / c["n"])).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
-    return made.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
+    return rows.withColumn("silhouette", F.coalesce(value, F.lit(0.0)))
 
 
 def size_entropy(members: DataFrame) -> DataFrame:
@@ -124,11 +128,17 @@ def member_order(members: DataFrame) -> DataFrame:
 
 
 def representatives(members: DataFrame, central: int = 6, diverse: int = 2) -> DataFrame:
-    """(cluster_id, id, kind): the nearest to the centroid and the furthest; all of a cluster no larger than both."""
-    rows = member_order(members)
-    size = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    kind = F.when((F.col("n") <= central + diverse) | (F.col("rank") <= central), "central").when(F.col("rank") > F.col("n") - diverse, "diverse")
-    return rows.join(F.broadcast(size), "cluster_id").withColumn("kind", kind).where("kind IS NOT NULL").select("cluster_id", "id", "kind")
+    """(cluster_id, id, kind): the nearest to the centroid and the furthest; all of a cluster no larger than both.
+
+    Each end is a short ranking, which the engine cuts before its shuffle, so a large cluster isn't sorted in one task."""
+    c = centroids(members).select("cluster_id", "n", "c")
+    rows = members.join(F.broadcast(c), "cluster_id").select("cluster_id", "n", "id", dot(F.col("v"), F.col("c")).alias("similarity"))
+    nearest = Window.partitionBy("cluster_id").orderBy(F.desc("similarity"), "id")
+    furthest = Window.partitionBy("cluster_id").orderBy("similarity", F.desc("id"))
+    near = rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= central + diverse)
+    near = near.where((F.col("n") <= central + diverse) | (F.col("rank") <= central)).withColumn("kind", F.lit("central"))
+    far = rows.where(F.col("n") > central + diverse).withColumn("rank", F.row_number().over(furthest)).where(F.col("rank") <= diverse).withColumn("kind", F.lit("diverse"))
+    return near.unionByName(far).select("cluster_id", "id", "kind")
 
 
 def confidence(cohesion: Column, separated: Column, agreement: Column, label: Column) -> Column:
@@ -159,95 +169,6 @@ def param_grid(spark, n: int) -> DataFrame:
     return spark.createDataFrame(rows, "method string, min_cluster_size int, min_samples int")
 
 
-def density_labels(x: np.ndarray, min_cluster_size: int, min_samples: int, method: str = "eom") -> np.ndarray:
-    """Hierarchical density clusters of a driver-sized matrix: mutual reachability, its spanning tree, the condensed
-    hierarchy, and the clusters of greatest stability (eom) or its leaves. -1 is noise."""
-    n = len(x)
-    if n < max(2, min_cluster_size):
-        return np.full(n, -1)
-    reach, core, at = np.empty((n, n)), np.empty(n), min(min_samples, n - 1)
-    step = max(1, 4_000_000 // x.size)  # rows at a time, so that memory holds one matrix of n by n
-    for i in range(0, n, step):
-        rows = slice(i, i + step)
-        reach[rows] = np.sqrt(((x[rows, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        core[rows] = np.partition(reach[rows], at, axis=1)[:, at]
-    np.maximum(reach, core[:, None], out=reach)
-    np.maximum(reach, core[None, :], out=reach)
-    # Prim's tree
-    best, source, inside, edges = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), []
-    now = 0
-    for _ in range(n - 1):
-        inside[now] = True
-        closer = (reach[now] < best) & ~inside
-        best[closer], source[closer] = reach[now][closer], now
-        now = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[now], source[now], now))
-    # dendrogram by union of the shortest edges
-    parent, size, tree = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for k, (d, a, b) in enumerate(sorted(edges)):
-        a, b = root(a), root(b)
-        tree[n + k] = (a, b, d)
-        parent[a] = parent[b] = n + k
-        size[n + k] = size[a] + size[b]
-
-    def points(node: int) -> list[int]:
-        stack, found = [node], []
-        while stack:
-            v = stack.pop()
-            if v < n:
-                found.append(v)
-            else:
-                stack += tree[v][:2]
-        return found
-
-    # condensed clusters: a split counts where both sides are large enough
-    clusters = [{"node": 2 * n - 2, "born": 0.0, "stability": 0.0, "kids": []}]
-    queue = [0]
-    while queue:
-        c = clusters[queue.pop()]
-        node = c["node"]
-        while node >= n:
-            a, b, d = tree[node]
-            level = 1 / d if d > 0 else 1e12
-            large = [s for s in (a, b) if size[s] >= min_cluster_size]
-            if len(large) == 2:
-                c["stability"] += size[node] * (level - c["born"])
-                for s in large:
-                    clusters.append({"node": s, "born": level, "stability": 0.0, "kids": []})
-                    c["kids"].append(len(clusters) - 1)
-                    queue.append(len(clusters) - 1)
-                break
-            gone = size[node] - (size[large[0]] if large else 0)
-            c["stability"] += gone * (level - c["born"])
-            if not large:
-                break
-            node = large[0]
-    chosen: list[int] = []
-    if method == "leaf":
-        chosen = [i for i, c in enumerate(clusters) if i and not c["kids"]]
-    else:
-        worth, pick = {}, {}
-        for i in range(len(clusters) - 1, -1, -1):
-            below = sum(worth[k] for k in clusters[i]["kids"])
-            own = clusters[i]["stability"]
-            if i and (not clusters[i]["kids"] or own >= below):
-                worth[i], pick[i] = own, [i]
-            else:
-                worth[i], pick[i] = below, [p for k in clusters[i]["kids"] for p in pick[k]]
-        chosen = pick[0]
-    labels = np.full(n, -1)
-    for k, i in enumerate(sorted(chosen)):
-        labels[points(clusters[i]["node"])] = k
-    return labels
-
-
 def numpy_metrics(x: np.ndarray, labels: np.ndarray) -> dict:
     """The metrics of a clustering of a driver-sized matrix of unit vectors, by the identities of this module."""
     names, sizes = np.unique(labels[labels >= 0], return_counts=True)
@@ -281,56 +202,73 @@ GRADED = "clusters int, noise int, largest int, smallest int, silhouette double,
 SETTING = "method string, min_cluster_size int, min_samples int"
 
 
-def bounded(n: int) -> None:
-    if n > LARGEST:
-        raise ValueError(f"density search is for at most {LARGEST} vectors; use kmeans")
+LARGEST = 5_000  # up to here a setting is one task over all vectors, beyond it many; the clusters are the same
 
 
-def graded(vectors: DataFrame, n: int) -> DataFrame:
-    """One row for each setting: its metrics, and labels in the order of ids. A setting reads all n vectors, n being at most LARGEST."""
-    bounded(n)
+def settings_of(vectors: DataFrame, n: int) -> list[tuple[str, int, int]]:
+    return [tuple(r) for r in param_grid(vectors.sparkSession, n).collect()]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
+
+def graded(vectors: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(one row for each setting with its metrics, (method, min_cluster_size, min_samples, id, cluster_id) of all settings)."""
+    found = written(search(vectors, n), "clusterings")
+    unit_rows = written(vectors.select("id", F.coalesce(unit(F.col("v")), F.col("v")).alias("v")), "unit")
+
+    def facts(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         first, x = part.iloc[0], np.stack(part["v"].to_list())
-        labels = density_labels(x, int(first["min_cluster_size"]), int(first["min_samples"]), first["method"])
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        facts = numpy_metrics(x / np.where(size > 0, size, 1), labels)
-        return pd.DataFrame([{k: first[k] for k in ("method", "min_cluster_size", "min_samples")} | facts | {"labels": labels.tolist()}])
+        made = numpy_metrics(x, part["cluster_id"].to_numpy())
+        return pd.DataFrame([{k: first[k] for k in ("method", "min_cluster_size", "min_samples")} | made])
 
-    rows = param_grid(vectors.sparkSession, n).join(F.broadcast(vectors.select("id", "v")))
-    return rows.groupBy("method", "min_cluster_size", "min_samples").applyInPandas(run, f"{SETTING}, {GRADED}, labels array<int>")
+    keys = ["method", "min_cluster_size", "min_samples"]
+    if n <= LARGEST:
+        return written(found.join(F.broadcast(unit_rows), "id").groupBy(*keys).applyInPandas(facts, f"{SETTING}, {GRADED}"), "graded"), found
+    rows = []
+    for m, c, k in settings_of(vectors, n):
+        members = found.where((F.col("method") == m) & (F.col("min_cluster_size") == c) & (F.col("min_samples") == k)).join(unit_rows, "id")
+        one = metrics(members.select("cluster_id", "id", "v")).fillna(0).first().asDict()  # a row for each setting
+        rows.append((m, c, k, *(one[name] for name in GRADED_NAMES)))
+    return vectors.sparkSession.createDataFrame(rows, f"{SETTING}, {GRADED}"), found
+
+
+GRADED_NAMES = [part.split(" ")[0] for part in GRADED.split(", ")]
 
 
-def selected(vectors: DataFrame, k: int = 8) -> DataFrame:
+def with_setting(found: DataFrame, best: Row) -> DataFrame:
+    """(id, cluster_id) of one setting."""
+    own = (F.col("method") == best["method"]) & (F.col("min_cluster_size") == best["min_cluster_size"]) & (F.col("min_samples") == best["min_samples"])
+    return found.where(own).select("id", "cluster_id")
+
+
+def selected(vectors: DataFrame) -> DataFrame:
     """(id, cluster_id, pass): the clustering of the best setting (pass 1), and of its noise where that clusters well (pass 2).
 
-    vectors(id, v); for at most LARGEST of them, as every setting reads them all. Beyond it Spark's k-means makes k clusters (pass 0)."""
-    spark, n = vectors.sparkSession, vectors.count()
-    if n > LARGEST:
-        return kmeans(vectors, k).withColumn("pass", F.lit(0))
-    ids = [r["id"] for r in vectors.select("id").orderBy("id").collect()]
-    found: dict = dict.fromkeys(ids, (-1, 1))
-    best = choose(graded(vectors, n)).first() if n else None
-    if best is not None:
-        found.update(zip(ids, ((c, 1) for c in best["labels"])))
-    rest = [i for i in ids if found[i][0] < 0]
-    if len(rest) >= 4 and best is not None:
-        noise = vectors.join(F.broadcast(spark.createDataFrame([(i,) for i in rest], "id long")), "id")
-        again = graded(noise, len(rest)).where("clusters >= 2 AND smallest >= 2").orderBy(F.desc("score"), "method", "min_cluster_size", "min_samples").first()
-        if again is not None and again["silhouette"] >= 0.15 and again["intra"] - again["inter"] > 0.12 and again["smallest"] >= 3:
-            steady = stability(noise, len(rest), again["min_cluster_size"], again["min_samples"], method=again["method"]).agg(F.avg("ari")).first()[0]
-            if steady >= 0.35:
-                above = 1 + max((c for c, _ in found.values()), default=-1)
-                found.update((i, (above + c, 2)) for i, c in zip(rest, again["labels"]) if c >= 0)
-    return spark.createDataFrame([(i, int(c), p) for i, (c, p) in found.items()], "id long, cluster_id int, pass int")
+    vectors(id, v), any number; labels stay in tables, the driver sees a row for each setting."""
+    n = vectors.count()
+    if not n:
+        return vectors.select("id", F.lit(-1).alias("cluster_id"), F.lit(1).alias("pass")).limit(0)
+    runs, found = graded(vectors, n)
+    one = with_setting(found, choose(runs).first()).withColumn("pass", F.lit(1))
+    noise = written(vectors.join(one.where("cluster_id < 0").select("id"), "id"), "noise")
+    rest = noise.count()
+    if rest < 4:
+        return one
+    runs, found = graded(noise, rest)
+    again = runs.where("clusters >= 2 AND smallest >= 2").orderBy(F.desc("score"), "method", "min_cluster_size", "min_samples").first()
+    if again is None or again["silhouette"] < 0.15 or again["intra"] - again["inter"] <= 0.12 or again["smallest"] < 3:
+        return one
+    if stability(noise, rest, again["min_cluster_size"], again["min_samples"], method=again["method"]).agg(F.avg("ari")).first()[0] < 0.35:
+        return one
+    above = 1 + (one.agg(F.max("cluster_id")).first()[0])
+    two = with_setting(found, again).where("cluster_id >= 0").select("id", (F.col("cluster_id") + above).alias("second"))
+    both = one.join(two, "id", "left")
+    return both.select("id", F.coalesce("second", "cluster_id").cast("int").alias("cluster_id"), F.when(F.col("second").isNotNull(), 2).otherwise(1).alias("pass"))
 
 
 def search(vectors: DataFrame, n: int) -> DataFrame:
-    """(method, min_cluster_size, min_samples, id, cluster_id) of every setting, each in a task of its own.
-
-    For driver-sized corpora: a setting reads all n vectors, n being at most LARGEST; KMeans takes over beyond (see kmeans)."""
-    bounded(n)
+    """(method, min_cluster_size, min_samples, id, cluster_id) of every setting of the tier of n; -1 is noise."""
+    if n > LARGEST:
+        return clusterings(vectors, settings_of(vectors, n))
     rows = param_grid(vectors.sparkSession, n).join(F.broadcast(vectors.select("id", "v")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -342,25 +280,20 @@ def search(vectors: DataFrame, n: int) -> DataFrame:
     return rows.groupBy("method", "min_cluster_size", "min_samples").applyInPandas(run, "method string, min_cluster_size int, min_samples int, id long, cluster_id int")
 
 
-LARGEST = 5_000
-
-
-def kmeans(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(id, cluster_id) for corpora beyond the density search, by Spark's own cosine k-means."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select("id", array_to_vector("v").alias("features"))
-    model = KMeans(k=k, seed=seed, distanceMeasure="cosine").fit(rows)
-    return model.transform(rows).select("id", F.col("prediction").alias("cluster_id"))
-
-
 def stability(vectors: DataFrame, n: int, min_cluster_size: int, min_samples: int, seeds: int = 5, share: float = 0.85, method: str = "eom") -> DataFrame:
     """(seed, ari): agreement of clusterings of seeded subsamples with that of all vectors; 1 for fewer than ten.
 
-    For at most LARGEST vectors, as every seed reads them all."""
-    bounded(n)
+    Up to LARGEST vectors a seed is one task; beyond, a seed's subsample has about that share of them, chosen by a hash of its ids."""
     spark = vectors.sparkSession
+    if n > LARGEST:
+        one = [(method, min_cluster_size, min_samples)]
+        whole = written(clusterings(vectors, one).select("id", F.col("cluster_id").alias("a")), "whole")
+        made = []
+        for seed in range(seeds):
+            some = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
+            part = clusterings(some, one).select("id", F.col("cluster_id").alias("b"))
+            made.append((seed, float(adjusted_rand(whole.join(part, "id").select("a", "b")).first()[0])))
+        return spark.createDataFrame(made, "seed int, ari double")
     runs = spark.range(seeds).select(F.col("id").cast("int").alias("seed"))
     rows = runs.join(F.broadcast(vectors.select("id", "v")))
 

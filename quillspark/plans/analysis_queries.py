@@ -96,23 +96,20 @@ def mmr(spark, d):
     return K.diversified(v.withColumn("score", F.col("v")[0]), 20)
 
 
-def density(spark, d):
+def usable_vectors(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    n = v.count()
-    if n > C.LARGEST:  # beyond the density search, k-means: one setting, a cluster for each label
-        k = table(spark, d, "embeddings").select(F.countDistinct("label")).first()[0]
-        none = F.lit(None).cast("int")
-        found = C.kmeans(v, k).withColumns({"method": F.lit("kmeans"), "min_cluster_size": none, "min_samples": none})
-    else:
-        found = C.search(v, n)
-    return found.groupBy("method", "min_cluster_size", "min_samples").agg(F.countDistinct("cluster_id").alias("clusters"))
+    return v.where("v IS NOT NULL").dropDuplicates(["id"])
+
+
+def density(spark, d):
+    """Clusters of every setting over all embeddings."""
+    v = usable_vectors(spark, d)
+    return C.search(v, v.count()).groupBy("method", "min_cluster_size", "min_samples").agg(F.countDistinct("cluster_id").alias("clusters"))
 
 
 def selection(spark, d):
     """Clusters of all embeddings that are usable, and of the noise they leave."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL").dropDuplicates(["id"])
-    k = table(spark, d, "embeddings").select(F.countDistinct("label")).first()[0]
-    return C.selected(v, max(k, 2))
+    return C.selected(usable_vectors(spark, d))
 
 
 def assembly(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import rules, text
 from quillspark.functions.numbers import composite_confidence
-from quillspark.operators import evidence, gaps, graph, ranking, resolve, serving, trends, vectors
+from quillspark.operators import density, evidence, gaps, graph, ranking, resolve, serving, trends, vectors
 from quillspark.sources import writers
 
 
@@ -135,7 +135,7 @@ def test_density_clusters():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.05, (15, 2)) for c in (0, 3, 6)] + [rng.uniform(-3, 9, (4, 2))])
     for method in ("eom", "leaf"):
-        labels = vectors.density_labels(x, 5, 2, method)
+        labels = density.density_labels(x, 5, 2, method)
         groups = [set(labels[i * 15 : i * 15 + 15]) - {-1} for i in range(3)]
         assert all(groups) and not (groups[0] & groups[1] or groups[1] & groups[2])
 
@@ -162,9 +162,6 @@ def test_density_search_reads_all_embeddings(spark, monkeypatch):
     (v, n), = read
     assert n == v.count() == every.count()
     assert v.selectExpr("min(size(v))", "max(size(v))").first() == every.selectExpr("min(size(embedding))", "max(size(embedding))").first()
-    monkeypatch.setattr(vectors, "LARGEST", 10)
-    far = analysis_queries.density(spark, DATA).collect()
-    assert [r["method"] for r in far] == ["kmeans"] and far[0]["clusters"] > 1
 
 
 def test_fuzzy_titles_against_brute_force(spark):
