@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions import rules, text
@@ -42,17 +43,17 @@ def slack(length: Column) -> Column:
 
 
 def segments(titles: DataFrame) -> DataFrame:
-    """(length, i, piece, title, year, seq): each title cut into slack + 1 even pieces. One of them is left unchanged
+    """(length, i, piece, seq, year): each title cut into slack + 1 even pieces. One of them is left unchanged
     in every longer title that the ratio allows, as each added or dropped letter touches at most one."""
     n, k = F.col("length"), F.col("k")
     made = titles.withColumn("length", F.length("clean_title")).withColumn("k", slack(F.col("length")) + 1)
     made = made.withColumn("i", F.explode(F.sequence(F.lit(0), k - 1)))
     start, end = F.floor(F.col("i") * n / k), F.floor((F.col("i") + 1) * n / k)
-    return made.select("length", "i", F.substr("clean_title", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"), F.col("clean_title").alias("title"), F.col("publication_year").alias("year"), "seq")
+    return made.select("length", "i", F.substr("clean_title", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"), "seq", "year")
 
 
 def probes(titles: DataFrame) -> DataFrame:
-    """(length, i, piece, title, year, seq): for each length of a partner that isn't longer and each of its pieces, the
+    """(length, i, piece, seq, year): for each length of a partner that isn't longer and each of its pieces, the
     parts of a title that the piece can be. Of the pieces left unchanged take the first: at most i letters differ
     before it and slack - i behind it, which bounds how far it can have moved."""
     made = titles.withColumn("own", F.length("clean_title"))
@@ -62,31 +63,62 @@ def probes(titles: DataFrame) -> DataFrame:
     start, end = F.floor(i * F.col("length") / k).cast("int"), F.floor((i + 1) * F.col("length") / k).cast("int")
     low, high = F.greatest(-i, more - (F.col("most") - i), -start), F.least(i, more + (F.col("most") - i), F.col("own") - end)
     made = made.withColumn("shift", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))))
-    return made.select("length", "i", F.substr("clean_title", start + F.col("shift") + 1, end - start).alias("piece"), F.col("clean_title").alias("title"), F.col("publication_year").alias("year"), "seq")
+    return made.select("length", "i", F.substr("clean_title", start + F.col("shift") + 1, end - start).alias("piece"), "seq", "year")
 
 
-def fuzzy_pairs(records: DataFrame, ratio: float = RATIO, any_year: bool = False) -> DataFrame:
-    """(canonical, duplicate, ratio): titles within a year of each other (or of any years) whose matching ratio, the later
-    one looked up in the earlier, reaches the bound (RATIO or more).
+LETTERS = 32  # counters of a title's letters, by code point
 
-    Equal titles are compared once for each title and year, so a block of copies isn't squared. Candidates share a piece
-    of their titles in a place where it can be, so no pair of the ratio is missed."""
-    some = keyed(records).withColumn("publication_year", F.lit(0) if any_year else F.col("publication_year"))
-    titles = some.where("clean_title <> '' AND publication_year IS NOT NULL").groupBy("clean_title", "publication_year").agg(F.min("seq").alias("seq"))
-    left = segments(titles).select("length", "i", "piece", *(F.col(c).alias(f"a_{c}") for c in ("title", "year", "seq")))
-    right = probes(titles).select("length", "i", "piece", *(F.col(c).alias(f"b_{c}") for c in ("title", "year", "seq")))
-    near = left.join(right, ["length", "i", "piece"]).where("a_seq <> b_seq AND abs(a_year - b_year) <= 1")
-    first = F.col("a_seq") < F.col("b_seq")
-    turned = near.select(
-        F.least("a_seq", "b_seq").alias("a_seq"), F.greatest("a_seq", "b_seq").alias("b_seq"),
-        F.when(first, F.col("a_title")).otherwise(F.col("b_title")).alias("a_title"), F.when(first, F.col("b_title")).otherwise(F.col("a_title")).alias("b_title")).distinct()
 
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def counted(title: Column) -> Column:
+    """How often letters of each remainder occur in a title."""
+    codes = F.transform(F.split(title, ""), lambda c: F.ascii(c) % LETTERS)
+    return F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda n: F.size(F.filter(codes, lambda c: c == n)))
 
-    found = turned.withColumn("ratio", similar("b_title", "a_title")).where(F.col("ratio") >= ratio)
-    return found.select(F.col("a_seq").alias("canonical"), F.col("b_seq").alias("duplicate"), "ratio")
+
+def candidates(titles: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(a, a_title, b, b_title), a < b: each two of titles (seq, clean_title, year) within a year that may reach the ratio, once.
+
+    They share a piece in a place where it can be (years and places in the key, texts left behind), and enough letters, wherever
+    those stand: no pair of the ratio is missed."""
+    key = lambda year: F.xxhash64("length", "i", "piece", year)
+    left = segments(titles).select(key(F.col("year")).alias("key"), F.col("seq").alias("x"))
+    right = probes(titles).withColumn("near", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))).select(key(F.col("near")).alias("key"), F.col("seq").alias("y"))
+    met = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # of the two ends only numbers and counters of letters travel until few pairs are left
+    facts = written(titles.select("seq", "clean_title", F.length("clean_title").alias("length"), counted(F.col("clean_title")).alias("letters")), "titles")
+    for end in ("a", "b"):
+        met = met.join(facts.select(F.col("seq").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("clean_title", "length", "letters"))), end)
+    common = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    kept = met.where(2 * common >= ratio * (F.col("a_length") + F.col("b_length")) - 1e-9)
+    # pairs are few bytes and much work: a plain exchange keeps them in as many tasks as there are
+    shares = 4 * titles.sparkSession.sparkContext.defaultParallelism
+    return kept.select("a", F.col("a_clean_title").alias("a_title"), "b", F.col("b_clean_title").alias("b_title")).repartition(shares, "a", "b")
+
+
+@F.pandas_udf(T.DoubleType())
+def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def fuzzy_pairs(records: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(canonical, duplicate, ratio): titles within a year of each other whose matching ratio, the later one looked up in
+    the earlier, reaches the bound (RATIO or more).
+
+    Equal titles are compared once for each title and year, so a block of copies isn't squared."""
+    some = keyed(records).where("clean_title <> '' AND publication_year IS NOT NULL")
+    titles = written(some.groupBy("clean_title", F.col("publication_year").alias("year")).agg(F.min("seq").alias("seq")), "title-years")
+    found = candidates(titles, ratio).withColumn("ratio", similar("b_title", "a_title")).where(F.col("ratio") >= ratio)
+    return found.select(F.col("a").alias("canonical"), F.col("b").alias("duplicate"), "ratio")
+
+
+def alike(titles: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """(title, other) for titles (clean_title) of the ratio, the first looked up in the second; each is like itself."""
+    one = titles.select("clean_title").where("clean_title <> ''").distinct()
+    one = written(one.select("clean_title", F.monotonically_increasing_id().alias("seq"), F.lit(0).alias("year")), "titles")
+    found = candidates(one, ratio).select("a_title", "b_title", similar("a_title", "b_title").alias("ab"), similar("b_title", "a_title").alias("ba"))
+    ways = F.array(F.when(F.col("ab") >= ratio, F.struct(F.col("a_title").alias("title"), F.col("b_title").alias("other"))), F.when(F.col("ba") >= ratio, F.struct(F.col("b_title").alias("title"), F.col("a_title").alias("other"))))
+    both = found.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.*")
+    return both.unionByName(one.select(F.col("clean_title").alias("title"), F.col("clean_title").alias("other")))
 
 
 def merged_id(paper_id: Column, openalex: Column, doi: Column, arxiv: Column, scholar: Column) -> Column:
@@ -110,66 +142,92 @@ def merge_records(records: DataFrame, group: list[str]) -> DataFrame:
     return made.withColumn("paper_id", merged_id(*map(F.col, ("paper_id", "openalex_id", "doi", "arxiv_id", "semantic_scholar_id"))))
 
 
-def groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(seq, group): the smallest number that edges (canonical, duplicate) reach, by passing on least numbers and their own."""
-    both = written(edges.select(F.col("canonical").alias("a"), F.col("duplicate").alias("b")).union(edges.select("duplicate", "canonical")).distinct(), "edges")
-    known = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("seq"), F.least("a", "m").alias("group")), "groups")
-    for _ in range(rounds):
-        near = both.join(known.select(F.col("seq").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("m"))
-        up = known.select(F.col("seq").alias("group"), F.col("group").alias("above"))
-        new = known.join(near.withColumnRenamed("a", "seq"), "seq").join(up, "group", "left")
-        new = written(new.select("seq", F.least("group", "m", "above").alias("new"), F.col("group").alias("old")), "groups")
-        known = new.select("seq", F.col("new").alias("group"))
-        if new.where("new <> old").isEmpty():
-            return known
-    raise RuntimeError("groups did not converge")
-
-
-def folded(part: pd.DataFrame) -> list[tuple[int, int, str]]:
-    """(duplicate, canonical, method) of keyed records in their order: each is held against the canonical ones in theirs, rule
-    after rule; the first that matches takes it in, and fills what it misses."""
-    known, made = [], []
-    for r in part.sort_values("seq").astype(object).where(lambda x: x.notna(), None).to_dict("records"):
-        method = None
-        for c in known:
-            if r["doi"] and r["doi"] == c["doi"]:
-                method = "doi"
-            elif r["arxiv"] and r["arxiv"] == c["arxiv"]:
-                method = "arxiv"
-            elif (r["clean_title"], r["author_key"], r["publication_year"]) == (c["clean_title"], c["author_key"], c["publication_year"]):
-                method = "title"
-            elif r["publication_year"] and c["publication_year"] and abs(r["publication_year"] - c["publication_year"]) <= 1 and r["clean_title"] and c["clean_title"]:
-                method = "fuzzy" if SequenceMatcher(None, r["clean_title"], c["clean_title"]).ratio() >= RATIO else None
-            if method:
-                made.append((r["seq"], c["seq"], method))
-                c.update({k: c[k] or r[k] for k in ("doi", "arxiv", "clean_title", "publication_year")})
-                break
-        else:
-            known.append(r)
-    return made
-
-
-def fold(records: DataFrame) -> DataFrame:
+METHODS = ("doi", "arxiv", "title", "fuzzy")  # in the order in which a canonical record is tried
+
+
+def standing(records: DataFrame, taken: DataFrame) -> DataFrame:
+    """A row for each canonical record: seq, author, and of doi, arxiv, title and year the value and the record that brought it.
+
+    taken(seq, canonical); a value that the record itself lacks comes from the first one it takes in that has it."""
+    brought = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v")))).alias(c)
+    made = records.join(taken, "seq").groupBy("canonical").agg(F.min(F.struct("seq", "author"))["author"].alias("author"), F.min("seq").alias("first"), *map(brought, ("doi", "arxiv", "title", "year")))
+    return made.where("first = canonical").drop("first")
+
+
+def states(known: DataFrame) -> DataFrame:
+    """(canonical, author, title, year, low, high): title and year as records after low up to high find them; high is null for the last."""
+    points = F.array_sort(F.array_distinct(F.array(F.col("canonical"), F.coalesce(F.col("title.seq"), "canonical"), F.coalesce(F.col("year.seq"), "canonical"))))
+    made = known.select("canonical", "author", "title", "year", F.posexplode(points).alias("at", "low"), points.alias("points"))
+    at = lambda c: F.when(F.col(f"{c}.seq") <= F.col("low"), F.col(f"{c}.v"))
+    return made.select("canonical", "author", at("title").alias("title"), at("year").alias("year"), "low", F.get("points", F.col("at") + 1).alias("high"))
+
+
+def soonest(rows: DataFrame, *key: str) -> DataFrame:
+    """rows (key, canonical, low, high) without those that another one beats for every record: a smaller canonical from an earlier record on, without end.
+
+    Of a crowd that shares a key the smallest canonical nearly always beats all, so each record meets few."""
+    endless = rows.where("high IS NULL").groupBy(*key, "canonical").agg(F.min("low").alias("low"))
+    best = endless.groupBy(*key).agg(F.min(F.struct("canonical", "low")).alias("best")).select(*(F.col(k).alias(f"k_{k}") for k in key), F.col("best.canonical").alias("c"), F.col("best.low").alias("l"))
+    best = written(best, "best")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key))
+    kept = rows.join(best, same, "left").where("c IS NULL OR canonical = c OR low < l")
+    return kept.select(*key, "canonical", "low", "high")
+
+
+def offers(records: DataFrame, known: DataFrame, near: DataFrame) -> DataFrame:
+    """(seq, canonical, method): the first canonical record that matches each later one, as it stood then."""
+    found = []
+    for n, c in enumerate(("doi", "arxiv")):
+        rows = known.where(F.col(c).isNotNull()).select(F.col(f"{c}.v").alias("key"), "canonical", F.greatest("canonical", f"{c}.seq").alias("low"), F.lit(None).cast("long").alias("high"))
+        found.append((n, records.select("seq", F.col(c).alias("key")).where("key IS NOT NULL"), soonest(rows, "key"), ["key"]))
+    stood = written(states(known), "states")
+    key = ["title", "author", "year"]
+    found.append((2, records.select("seq", *key), soonest(stood.select(*key, "canonical", "low", "high"), *key), key))
+    whole = stood.where("title IS NOT NULL AND year IS NOT NULL")
+    around = soonest(whole.select("title", "year", "canonical", "low", "high"), "title", "year").withColumnRenamed("title", "other")
+    around = near.join(around, "other").withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
+    found.append((3, records.select("seq", "title", "year").where("title IS NOT NULL AND year IS NOT NULL"), soonest(around.select("title", "year", "canonical", "low", "high"), "title", "year"), ["title", "year"]))
+    met = []
+    for n, left, right, key in found:
+        right = written(right, "offers").select(*(F.col(k).alias(f"k_{k}") for k in key), "canonical", "low", "high")
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key))
+        rows = left.join(right, same).where("low < seq AND canonical < seq AND (high IS NULL OR seq <= high)")
+        met.append(rows.select("seq", "canonical", F.lit(n).alias("rule")))
+    first = reduce(DataFrame.unionByName, met).groupBy("seq").agg(F.min(F.struct("canonical", "rule")).alias("m"))
+    return first.select("seq", "m.canonical", F.element_at(F.array(*map(F.lit, METHODS)), F.col("m.rule") + 1).alias("method"))
+
+
+def fold(records: DataFrame, rounds: int = 500) -> DataFrame:
     """(duplicate, canonical, method): the canonical record that takes in each later one, rules in order: doi, arxiv id, title
     with author and year, fuzzy title within a year. Identifiers, title and year that a record lacks come from those it takes in.
 
-    Records that could ever match meet in one group, by coarser keys than the rules: any shared identifier, title, or fuzzy title
-    of any year. Records of equal keys are folded as the first of them, so a group holds different keys only."""
-    keys = ["doi", "arxiv", "clean_title", "author_key", "publication_year"]
-    k = keyed(records).select("seq", text.doi(F.col("doi")).alias("doi"), F.nullif("arxiv_id", F.lit("")).alias("arxiv"), "clean_title", "author_key", F.col("publication_year").cast("int").alias("publication_year"), "title")
-    k = written(k.withColumn("key", F.to_json(F.struct(*keys))), "keyed")
-    first = written(k.groupBy("key").agg(F.min(F.struct("seq", *keys, "title")).alias("m")).select("key", "m.*"), "distinct")
-    titled = F.when(F.col("clean_title") != "", F.col("clean_title")).otherwise(F.concat(F.lit("|"), "author_key"))
-    edges = [key_pairs(first, c) for c in (F.col("doi"), F.col("arxiv"), titled)]
-    fuzzy = fuzzy_pairs(first.withColumn("author", F.lit("")), any_year=True).select("canonical", "duplicate")
-    group = groups(reduce(DataFrame.unionByName, [*edges, fuzzy]))
-    rows = first.join(group, "seq").select("group", "seq", *keys)
-    made = rows.groupBy("group").applyInPandas(lambda part: pd.DataFrame(folded(part), columns=["duplicate", "canonical", "method"]), "duplicate long, canonical long, method string")
-    made = written(made, "folded")
-    taken = made.select(F.col("duplicate").alias("first"), F.col("canonical").alias("c"), F.col("method").alias("how"))
-    copies = k.join(first.select("key", F.col("seq").alias("first")), "key").where("seq <> first").join(taken, "first", "left")
-    method = F.when(F.col("c").isNotNull(), F.col("how")).when(F.col("doi").isNotNull(), "doi").when(F.col("arxiv").isNotNull(), "arxiv").otherwise("title")
-    return made.unionByName(copies.select(F.col("seq").alias("duplicate"), F.coalesce("c", "first").alias("canonical"), method.alias("method")))
+    The loop over records is a fixpoint: from a first guess of who takes in whom, every record is decided anew against the
+    canonical ones as they stood just before it (values keep the number of the record that brought them), until nothing changes. What a record decides
+    depends on earlier ones only, so the first, then the second record and so on are as the loop has them and stay so: what no
+    longer changes is the loop's result. Rounds are as many as the longest chain of changes, and each is a few joins by key:
+    no group of records meets in one task, and a crowd of equal keys meets one canonical record. A year 0 is none."""
+    none = lambda c: F.nullif(c, F.lit(""))
+    k = keyed(records).select(
+        F.col("seq").cast("long").alias("seq"), none(text.doi(F.col("doi"))).alias("doi"), none(F.col("arxiv_id")).alias("arxiv"), none(F.col("clean_title")).alias("title"),
+        F.col("author_key").alias("author"), F.nullif(F.col("publication_year").cast("int"), F.lit(0)).alias("year"))
+    k = written(k, "keyed")
+    near = written(alike(k.select(F.col("title").alias("clean_title"))), "alike")
+    guess = k.select("seq", F.col("seq").alias("canonical"))
+    for key in (["doi"], ["arxiv"], ["title", "year"], ["title", "author", "year"]):
+        some = k if len(key) == 3 else k.where(" AND ".join(f"{c} IS NOT NULL" for c in key))
+        first = some.groupBy(*key).agg(F.min("seq").alias("first")).select(*(F.col(c).alias(f"k_{c}") for c in key), "first")
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key))
+        guess = guess.join(some.join(first, same).select("seq", "first"), "seq", "left").select("seq", F.least("canonical", "first").alias("canonical"))
+    taken = written(guess.withColumn("method", F.lit(None).cast("string")), "taken")
+    for _ in range(rounds):
+        known = written(standing(k, taken.select("seq", "canonical")), "standing")
+        new = offers(k, known, near).select("seq", F.col("canonical").alias("to"), F.col("method").alias("how"))
+        new = written(taken.join(new, "seq", "left").select("seq", F.coalesce("to", "seq").alias("canonical"), F.col("how").alias("method"), F.col("canonical").alias("was"), F.col("method").alias("by")), "taken")
+        changed = new.where("canonical <> was OR NOT method <=> by").limit(1).count()
+        taken = new.select("seq", "canonical", "method")
+        if not changed:
+            return taken.where("canonical <> seq").select(F.col("seq").alias("duplicate"), "canonical", "method")
+    raise RuntimeError("the fold did not settle")
 
 
 def resolve(names: DataFrame, method_rules: list[tuple] | None = None, dataset_rules: list[tuple] | None = None) -> DataFrame:

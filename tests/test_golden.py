@@ -234,6 +234,34 @@ def test_fold_equals_the_plain_loop(spark):
     assert {tuple(r) for r in resolve.fold(df).select("duplicate", "canonical", "method").collect()} == folded_by_hand(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_of_random_records_with_crossing_keys(spark, seed):
+    """Few identifiers and titles, much missing: merges bring keys that change what later records match, those of equal keys too."""
+    import random
+
+    r = random.Random(seed)
+    titles = ["", "neural nets for text", "neural nets for texts", "neural net for texts", "graph mining at scale", "graph mining at scales", "x", "y"]
+    rows = []
+    for s in range(2000 if seed == 1 else 150):
+        wide = s // 20 if seed == 1 else 0
+        rows.append((
+            s, r.choice(titles) + (f" of the long run number {r.randint(0, wide)}" if wide and r.random() < 0.7 else ""), r.choice(["A B", "C D", ""]), r.choice([None, None, 2019, 2020, 2021, 2022, 2030]),
+            r.choice([None] * 4 + [f"10.1/{r.randint(0, 4 + wide)}"]), r.choice([None] * 4 + [f"ax{r.randint(0, 4 + wide)}"])))
+    df = spark.createDataFrame([(s, f"p{s}", t, "", a, y, d, x, "s") for s, t, a, y, d, x in rows], RECORD)
+    assert {tuple(r) for r in resolve.fold(df).select("duplicate", "canonical", "method").collect()} == folded_by_hand(rows)
+
+
+def test_fold_of_one_giant_group(spark):
+    """20,000 records of one boilerplate title, of few and of many years: each meets one canonical record or two."""
+    rows = [(s, f"p{s}", "proceedings of the workshop" + ("s" if s % 3 else ""), "", "A B", 2020 + s % 2, None, None, "s") for s in range(20_000)]
+    got = resolve.fold(spark.createDataFrame(rows, RECORD)).collect()
+    assert len(got) == 19_999 and {r["canonical"] for r in got} == {0}
+
+
+def test_fold_of_no_records(spark):
+    assert resolve.fold(spark.createDataFrame([], RECORD)).count() == 0
+
+
 def test_fold_of_the_table(spark):
     from quillspark.plans import analysis_queries
     from tests.conftest import DATA
