@@ -81,8 +81,8 @@ def candidates(titles: DataFrame, ratio: float = RATIO) -> DataFrame:
     They share a piece in a place where it can be (years and places in the key, texts left behind), and enough letters, wherever
     those stand: no pair of the ratio is missed."""
     key = lambda year: F.xxhash64("length", "i", "piece", year)
-    left = segments(titles).select(key(F.col("year")).alias("key"), F.col("seq").alias("x"))
-    right = probes(titles).withColumn("near", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))).select(key(F.col("near")).alias("key"), F.col("seq").alias("y"))
+    left = segments(titles).withColumn("near", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))).select(key(F.col("near")).alias("key"), F.col("seq").alias("x"))
+    right = probes(titles).select(key(F.col("year")).alias("key"), F.col("seq").alias("y"))
     met = left.join(right, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     # of the two ends only numbers and counters of letters travel until few pairs are left
     facts = written(titles.select("seq", "clean_title", F.length("clean_title").alias("length"), counted(F.col("clean_title")).alias("letters")), "titles")
@@ -162,41 +162,36 @@ def states(known: DataFrame) -> DataFrame:
     return made.select("canonical", "author", at("title").alias("title"), at("year").alias("year"), "low", F.get("points", F.col("at") + 1).alias("high"))
 
 
-def soonest(rows: DataFrame, *key: str) -> DataFrame:
+def soonest(rows: DataFrame) -> DataFrame:
     """rows (key, canonical, low, high) without those that another one beats for every record: a smaller canonical from an earlier record on, without end.
 
     Of a crowd that shares a key the smallest canonical nearly always beats all, so each record meets few."""
-    endless = rows.where("high IS NULL").groupBy(*key, "canonical").agg(F.min("low").alias("low"))
-    best = endless.groupBy(*key).agg(F.min(F.struct("canonical", "low")).alias("best")).select(*(F.col(k).alias(f"k_{k}") for k in key), F.col("best.canonical").alias("c"), F.col("best.low").alias("l"))
-    best = written(best, "best")
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key))
-    kept = rows.join(best, same, "left").where("c IS NULL OR canonical = c OR low < l")
-    return kept.select(*key, "canonical", "low", "high")
-
-
-def offers(records: DataFrame, known: DataFrame, near: DataFrame) -> DataFrame:
-    """(seq, canonical, method): the first canonical record that matches each later one, as it stood then."""
-    found = []
-    for n, c in enumerate(("doi", "arxiv")):
-        rows = known.where(F.col(c).isNotNull()).select(F.col(f"{c}.v").alias("key"), "canonical", F.greatest("canonical", f"{c}.seq").alias("low"), F.lit(None).cast("long").alias("high"))
-        found.append((n, records.select("seq", F.col(c).alias("key")).where("key IS NOT NULL"), soonest(rows, "key"), ["key"]))
-    stood = written(states(known), "states")
-    key = ["title", "author", "year"]
-    found.append((2, records.select("seq", *key), soonest(stood.select(*key, "canonical", "low", "high"), *key), key))
-    whole = stood.where("title IS NOT NULL AND year IS NOT NULL")
-    around = soonest(whole.select("title", "year", "canonical", "low", "high"), "title", "year").withColumnRenamed("title", "other")
-    around = near.join(around, "other").withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
-    found.append((3, records.select("seq", "title", "year").where("title IS NOT NULL AND year IS NOT NULL"), soonest(around.select("title", "year", "canonical", "low", "high"), "title", "year"), ["title", "year"]))
-    met = []
-    for n, left, right, key in found:
-        right = written(right, "offers").select(*(F.col(k).alias(f"k_{k}") for k in key), "canonical", "low", "high")
-        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in key))
-        rows = left.join(right, same).where("low < seq AND canonical < seq AND (high IS NULL OR seq <= high)")
-        met.append(rows.select("seq", "canonical", F.lit(n).alias("rule")))
-    first = reduce(DataFrame.unionByName, met).groupBy("seq").agg(F.min(F.struct("canonical", "rule")).alias("m"))
+    endless = rows.where("high IS NULL").groupBy("key", "canonical").agg(F.min("low").alias("low"))
+    best = written(endless.groupBy("key").agg(F.min(F.struct("canonical", "low")).alias("best")), "best")
+    return rows.join(best, "key", "left").where("best IS NULL OR canonical = best.canonical OR low < best.low").drop("best")
+
+
+def offers(keys: DataFrame, known: DataFrame, near: DataFrame) -> DataFrame:
+    """(seq, canonical, method): the first canonical record that matches each later one, as it stood then; keys(seq, key) as keyed_by makes them."""
+    endless = F.lit(None).cast("long").alias("high")
+    stood = states(known)
+    whole = stood.where("title IS NOT NULL AND year IS NOT NULL").withColumnRenamed("title", "other").join(near, "other")
+    whole = whole.withColumn("year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
+    rows = [
+        *(known.where(F.col(c).isNotNull()).select(keyed_by(n, F.col(f"{c}.v")), "canonical", F.greatest("canonical", f"{c}.seq").alias("low"), endless) for n, c in enumerate(("doi", "arxiv"))),
+        stood.select(keyed_by(2, F.col("title"), F.col("author"), F.col("year")), "canonical", "low", "high"),
+        whole.select(keyed_by(3, F.col("title"), F.col("year")), "canonical", "low", "high")]
+    made = written(soonest(written(reduce(DataFrame.unionByName, rows), "rows")), "offers")
+    met = keys.join(made, "key").where("low < seq AND canonical < seq AND (high IS NULL OR seq <= high)")
+    first = met.groupBy("seq").agg(F.min(F.struct("canonical", F.substring("key", 1, 1).cast("int").alias("rule"))).alias("m"))
     return first.select("seq", "m.canonical", F.element_at(F.array(*map(F.lit, METHODS)), F.col("m.rule") + 1).alias("method"))
 
 
+def keyed_by(rule: int, *values: Column) -> Column:
+    """One name for a rule and the values that it compares, null ones included."""
+    return F.concat(F.lit(str(rule)), F.to_json(F.array(*(v.cast("string") for v in values)))).alias("key")
+
+
 def fold(records: DataFrame, rounds: int = 500) -> DataFrame:
     """(duplicate, canonical, method): the canonical record that takes in each later one, rules in order: doi, arxiv id, title
     with author and year, fuzzy title within a year. Identifiers, title and year that a record lacks come from those it takes in.
@@ -219,9 +214,12 @@ def fold(records: DataFrame, rounds: int = 500) -> DataFrame:
         same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in key))
         guess = guess.join(some.join(first, same).select("seq", "first"), "seq", "left").select("seq", F.least("canonical", "first").alias("canonical"))
     taken = written(guess.withColumn("method", F.lit(None).cast("string")), "taken")
+    asked = [("doi",), ("arxiv",), ("title", "author", "year"), ("title", "year")]
+    named = [F.when(F.lit(len(c) == 3) | reduce(lambda x, y: x & y, (F.col(v).isNotNull() for v in c)), keyed_by(n, *map(F.col, c))) for n, c in enumerate(asked)]
+    keys = written(k.select("seq", F.explode(F.array(*named)).alias("key")).where("key IS NOT NULL"), "keys")
     for _ in range(rounds):
         known = written(standing(k, taken.select("seq", "canonical")), "standing")
-        new = offers(k, known, near).select("seq", F.col("canonical").alias("to"), F.col("method").alias("how"))
+        new = offers(keys, known, near).select("seq", F.col("canonical").alias("to"), F.col("method").alias("how"))
         new = written(taken.join(new, "seq", "left").select("seq", F.coalesce("to", "seq").alias("canonical"), F.col("how").alias("method"), F.col("canonical").alias("was"), F.col("method").alias("by")), "taken")
         changed = new.where("canonical <> was OR NOT method <=> by").limit(1).count()
         taken = new.select("seq", "canonical", "method")
