@@ -280,15 +280,44 @@ def consolidated_datasets(names: DataFrame) -> DataFrame:
     return names.select("*", name.alias("consolidated"), F.when(~noise, F.coalesce(rules.first_match(low, joined, 2), F.lit(V.DATASET_REST))).alias("modality"))
 
 
+GRAM = 3
+
+
+def frequent(names: DataFrame, most: int) -> DataFrame:
+    """(name, times): the names that occur most often, of equal ones those first by seq: names(name, seq)."""
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("times"), F.min("seq").alias("first")).orderBy(F.desc("times"), "first").limit(most).select("name", "times")
+
+
+def containing(keys: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, alias) wherever one contains the other, for different keys(key) and aliases(alias).
+
+    A text contains a name only if it has all of the name's parts of GRAM letters, so it is looked up by the rarest one (all of a shorter
+    name). What meets is compared in full."""
+    size = lambda c: F.least(F.length(c), F.lit(GRAM))
+
+    def within(small: DataFrame, a: str, large: DataFrame, b: str) -> DataFrame:
+        held = large.select(b, F.explode(F.sequence(F.lit(1), F.lit(GRAM))).alias("size")).select(b, "size", F.explode(F.when(F.length(b) >= F.col("size"), F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(b) - F.col("size") + 1), lambda i: F.substr(F.col(b), i, F.col("size")))))).alias("gram"))
+        times = held.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+        own = small.where(F.length(a) > 0).select(a, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(a) - size(a) + 1), lambda i: F.substr(F.col(a), i, size(F.col(a)))))).alias("gram"))
+        rarest = own.join(times, "gram", "left").groupBy(a).agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram"))["gram"].alias("gram"))
+        return rarest.join(held, "gram").where(F.contains(F.col(b), F.col(a))).select("key", "alias")
+
+    return within(aliases, "alias", keys, "key").unionByName(within(keys, "key", aliases, "alias")).distinct()
+
+
 def by_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """names(name) with canonical: exact alias, else the first alias of four letters or more that contains the name or lies in it, else title case.
 
-    aliases: (ord, alias, canonical), a bounded table; distinct names that no alias equals meet it once."""
+    aliases: (ord, alias, canonical), any number; distinct names that no alias equals meet those that share a part with them. An empty
+    name lies in every alias, so it takes the first."""
     key = F.lower(F.trim("name"))
-    one = aliases.groupBy(F.lower("alias").alias("alias")).agg(F.min(F.struct("ord", "canonical")).alias("m")).select("alias", "m.ord", "m.canonical")
+    one = written(aliases.groupBy(F.lower("alias").alias("alias")).agg(F.min(F.struct("ord", "canonical")).alias("m")).select("alias", "m.ord", "m.canonical"), "aliases")
     distinct = names.select("name").distinct().withColumn("key", key)
-    exact = distinct.join(F.broadcast(one.select(F.col("alias").alias("key"), F.col("canonical").alias("exact"))), "key", "left")
-    long = F.broadcast(one.where(F.length("alias") >= 4))
-    part = exact.where("exact IS NULL").join(long, F.contains(F.col("key"), F.col("alias")) | F.contains(F.col("alias"), F.col("key")))
-    best = part.groupBy("name").agg(F.min(F.struct("ord", "canonical"))["canonical"].alias("near"))
-    return names.join(exact.join(best, "name", "left").select("name", F.coalesce("exact", "near", text.py_title(F.trim("name"))).alias("canonical")), "name")
+    exact = written(distinct.join(one.select(F.col("alias").alias("key"), F.col("canonical").alias("exact")), "key", "left"), "exact")
+    long = one.where(F.length("alias") >= 4)
+    rest = exact.where("exact IS NULL")
+    met = containing(rest.where("key <> ''").select("key").distinct(), long.select("alias")).join(long, "alias")
+    first = long.agg(F.min(F.struct("ord", "canonical")).alias("m")).where("m IS NOT NULL").select(F.lit("").alias("key"), "m.ord", "m.canonical")
+    best = met.select("key", "ord", "canonical").unionByName(first).groupBy("key").agg(F.min(F.struct("ord", "canonical"))["canonical"].alias("near"))
+    return names.join(exact.join(best, "key", "left").select("name", F.coalesce("exact", "near", text.py_title(F.trim("name"))).alias("canonical")), "name")

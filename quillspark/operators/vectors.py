@@ -15,18 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01
 from ..session import written
+from .columns import dot, unit
 from .density import clusterings, density_labels
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit(v: Column) -> Column:
-    """v over its length; null where it has none."""
-    d = v.cast("array<double>")
-    size = F.sqrt(dot(d, d))
-    return F.when(size > 0, F.transform(d, lambda x: x / size))
+from .reduction import reduced
 
 
 def norm_check(vectors: DataFrame, column: str = "v") -> DataFrame:
@@ -210,8 +201,10 @@ def settings_of(vectors: DataFrame, n: int) -> list[tuple[str, int, int]]:
 
 
 def graded(vectors: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(one row for each setting with its metrics, (method, min_cluster_size, min_samples, id, cluster_id) of all settings)."""
-    found = written(search(vectors, n), "clusterings")
+    """(one row for each setting with its metrics, (method, min_cluster_size, min_samples, id, cluster_id) of all settings).
+
+    Clusters are those of the reduced vectors, metrics those of the vectors themselves."""
+    found = written(search(reduced(vectors, n), n), "clusterings")
     unit_rows = written(vectors.select("id", F.coalesce(unit(F.col("v")), F.col("v")).alias("v")), "unit")
 
     def facts(part: pd.DataFrame) -> pd.DataFrame:

@@ -59,6 +59,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def published(df: DataFrame, path: str) -> None:
+    """df written as Parquet beside the path, then moved there: whoever lists the path sees all of it or nothing; what stands there stays."""
+    spark = df.sparkSession
+    made = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark/unpublished-{uuid.uuid4().hex}")
+    df.write.parquet(made.toString())
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(to.getParent())
+    if files.exists(to) or not files.rename(made, to):
+        files.delete(made, True)
+        if not files.exists(to):
+            raise OSError(f"{path} could not be published")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders that have been published under a path, by name.
+
+    They are read by name: two reads of one path at different times are one read to the planner, which would use the first for both."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in files.listStatus(at) if s.isDirectory()) if files.exists(at) else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read where only Spark may be able to reach it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

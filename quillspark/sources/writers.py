@@ -59,7 +59,7 @@ def download_status(status, content):
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
-    """Rows of every source with a deterministic order: the source's place, then its own."""
+    """Rows of every source with the source's place (from 0) as source_place."""
     made = [p.withColumn("source_place", F.lit(i)) for i, p in enumerate(parts)]
     whole = made[0]
     for p in made[1:]:
