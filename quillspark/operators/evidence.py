@@ -35,32 +35,11 @@ def named_proposals(sentences: DataFrame, key: str = "paper_id") -> DataFrame:
     return sentences.select(key, "seq", name.alias("name")).where("name <> ''")
 
 
-def first_items(chosen: DataFrame, k: int, longer_than: int = 0) -> DataFrame:
-    """(paper_id, rank, text, quote, category): the first k sentences of a category as items."""
-    rows = chosen.where((F.length("text") > longer_than) & (F.col("rank") <= k))
-    kind = F.when(F.contains(F.lower("text"), F.lit("general")), "generalization").otherwise("computational_cost")
-    return rows.select("paper_id", "rank", F.substring("text", 1, 200).alias("text"), F.substring("text", 1, 120).alias("quote"), kind.alias("category"))
-
-
 def first_number(c: Column) -> Column:
     """The first number in a text; an integer's sign is not part of it."""
     return F.nullif(F.regexp_extract(c, V.NUMBER, 0), F.lit("")).try_cast("double")
 
 
-def provenance(items: DataFrame, sentences: DataFrame) -> DataFrame:
-    """items(paper_id, sentence_id, page, section, quote) with page, section and quote taken from the sentence, defaults where it is unknown."""
-    s = sentences.select("paper_id", "sentence_id", F.col("page").alias("s_page"), F.col("section").alias("s_section"), F.col("text").alias("s_text"))
-    j = items.withColumn("sentence_id", F.coalesce("sentence_id", F.lit("S1"))).join(s, ["paper_id", "sentence_id"], "left")
-    return j.select("paper_id", "sentence_id", F.coalesce("s_page", "page", F.lit(1)).alias("page"), F.coalesce("s_section", "section", F.lit("General")).alias("section"), F.substring(F.coalesce(F.nullif("quote", F.lit("")), "s_text", F.lit("")), 1, 200).alias("quote"))
-
-
-def routed(datasets: DataFrame) -> DataFrame:
-    """datasets(name) with target: literature sources are told from datasets; generic, short and 'et al' names go."""
-    low = F.lower("name")
-    kept = datasets.where((F.length(F.trim("name")) >= 2) & ~rules.is_generic(F.col("name")) & ~F.contains(low, F.lit("et al")))
-    return kept.withColumn("target", F.when(rules.contains_any(low, V.EXTRACTOR_INDEXES), "literature_source").otherwise("dataset"))
-
-
 def relations(methods: DataFrame, datasets: DataFrame) -> DataFrame:
     """(paper_id, method, dataset, shared, confidence): proposed methods evaluated on the datasets of their paper.
 
@@ -72,12 +51,6 @@ def relations(methods: DataFrame, datasets: DataFrame) -> DataFrame:
     return m.join(d, "paper_id").select("paper_id", "method", "dataset", shared.alias("shared"), sure.alias("confidence"))
 
 
-def finding_facts(c: Column) -> Column:
-    """struct(value, direction) of a finding's text."""
-    better = F.contains(c, F.lit("+")) | F.lower(c).rlike("improv|outperform")
-    return F.struct(first_number(c).alias("value"), F.when(better, "improvement").otherwise("observation").alias("direction"))
-
-
 def validated(entities: DataFrame) -> DataFrame:
     """entities(raw_name, entity_type, quote, composite, ...) with status, reason, adjusted confidence and rerouted type; the first rule that applies decides."""
     raw, low = F.trim("raw_name"), F.lower(F.trim("raw_name"))

@@ -1,20 +1,11 @@
 """The evidence graph as two tables: nodes(node_id, node_type, name, paper_id) and edges(source_id, target_id, relation_type, paper_id, confidence)."""
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nodes(parts: list[DataFrame]) -> DataFrame:
-    """Parts of (node_id, node_type, name, paper_id); of repeated ids the last part's node stays. Claims' names are cut to 80."""
-    cut = F.when(F.col("node_type").isin("finding", "limitation", "future_work") & (F.length("name") > 80), F.concat(F.substring("name", 1, 80), F.lit("..."))).otherwise(F.col("name"))
-    every = reduce(DataFrame.unionByName, (p.select("node_id", "node_type", cut.alias("name"), "paper_id", F.lit(i).alias("part")) for i, p in enumerate(parts)))
-    best = every.groupBy("node_id").agg(F.max(F.struct("part", "paper_id", "node_type", "name")).alias("m"))
-    return best.select("node_id", "m.node_type", "m.name", "m.paper_id")
-
-
 def edges(methods: DataFrame, datasets: DataFrame) -> DataFrame:
     """USED_IN / PROPOSED_BY, EVALUATED_ON and COMPARED_WITH edges of methods(paper_id, id, role) and datasets(paper_id, id)."""
     paper = F.concat(F.lit("paper_"), F.col("paper_id").cast("string"))
@@ -28,17 +19,6 @@ def edges(methods: DataFrame, datasets: DataFrame) -> DataFrame:
     return use.unionByName(on).unionByName(against)
 
 
-def claim_edges(findings: DataFrame, limitations: DataFrame, future: DataFrame) -> DataFrame:
-    """REPORTED_IN, OUTPERFORMS, LIMITED_BY and FUTURE_DIRECTION: claims (paper_id, id), findings with direction, methods and baselines, limitations with affected."""
-    paper = F.concat(F.lit("paper_"), F.col("paper_id").cast("string"))
-    cols = lambda s, t, r, c: [s.alias("source_id"), t.alias("target_id"), F.lit(r).alias("relation_type"), F.col("paper_id"), F.lit(c).alias("confidence")]
-    said = findings.select(*cols(F.col("id"), paper, "REPORTED_IN", 0.95))
-    better = findings.where("direction = 'improvement'").select("paper_id", F.explode("methods").alias("m"), "baselines").select("paper_id", "m", F.explode("baselines").alias("b")).select(*cols(F.col("m"), F.col("b"), "OUTPERFORMS", 0.95))
-    limited = limitations.select("paper_id", "id", F.explode("affected").alias("m")).select(*cols(F.col("m"), F.col("id"), "LIMITED_BY", 0.90))
-    ahead = future.select(*cols(paper, F.col("id"), "FUTURE_DIRECTION", 0.90))
-    return reduce(DataFrame.unionByName, [said, better, limited, ahead])
-
-
 def numbered(found: DataFrame) -> DataFrame:
     """edges with edge_id: numbered within their paper, so that no task numbers them all."""
     order = Window.partitionBy("paper_id").orderBy("relation_type", "source_id", "target_id")

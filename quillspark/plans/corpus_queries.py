@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import caching, filling, ranking, reduction, resolve, sketches, vocabulary
-from ..session import shared_dir, table, written
+from ..session import shared_dir, table, temporary, written
 from ..sources import readers
 from ..sources import tables as S
 from ..streaming import totals
@@ -18,7 +18,9 @@ FEATURES, TARGET, LANDED = 200, 40, 100
 
 
 def folder(spark, name):
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    temporary(spark, path)
+    return path
 
 
 def documents(spark, d):

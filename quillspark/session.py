@@ -1,6 +1,8 @@
 """Session helpers shared by every part of the library."""
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -55,10 +57,30 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: its plan is cut, and no task of it runs twice."""
     path = f"{shared_dir(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
+    temporary(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_temporary: list[tuple[SparkSession, str]] = []
+
+
+def temporary(spark: SparkSession, path: str) -> None:
+    """A folder that goes when the program ends, or with given_back()."""
+    if not _temporary:
+        atexit.register(given_back)
+    _temporary.append((spark, path))
+
+
+def given_back() -> None:
+    """Removes what was written between steps; frames that read it can't be used afterwards."""
+    for spark, path in _temporary:
+        with contextlib.suppress(Exception):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _temporary.clear()
+
+
 def published(df: DataFrame, path: str) -> None:
     """df written as Parquet beside the path, then moved there: whoever lists the path sees all of it or nothing; what stands there stays."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, temporary
 
 LATE = "2 days"
 
@@ -33,7 +33,7 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
 
 
 def deduplicated(events: DataFrame) -> DataFrame:
-    """The first of each user's type of event within the watermark, streaming or not."""
+    """The first of each event id within the watermark, streaming or not."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     kept = events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
     return kept.select("event_id", "user_id", "event_type")
@@ -45,6 +45,7 @@ def run(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataF
     In complete mode the last batch has the whole result; in append mode all batches together do. A repeated batch
     replaces itself."""
     path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    temporary(spark, path)
     numbers: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
