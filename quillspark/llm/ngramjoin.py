@@ -50,7 +50,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import attach, table
@@ -326,7 +326,7 @@ def posted(live: DataFrame) -> DataFrame:
     return live.select("doc", "n", "rare", "hashes").mapInArrow(kernel, "sig long, doc long, reach int")
 
 
-STARS = 64
+STARS, EARLIER = 64, 32
 
 
 def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
@@ -382,12 +382,22 @@ def linked(live: DataFrame) -> DataFrame:
     mixed = stage(joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig"), "mixed")
     active = stage(joined.join(mixed, "sig"), "active")
     # a link passes this test at its first common signature, so components that pass it at none have no link
-    heads = active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("held"))
-    left = heads.select("sig", F.col("comp").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"), F.col("held").alias("ha"))
-    right = heads.select("sig", F.col("comp").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"), F.col("held").alias("hb"))
-    fits = (F.col("a") < F.col("b")) & (100 * F.col("ma") >= PERCENT * F.col("lb")) & (100 * F.col("mb") >= PERCENT * F.col("la"))
-    fits &= (100 + PERCENT) * F.least("ha", "hb") >= PERCENT * (F.col("la") + F.col("lb"))
-    across = stage(left.join(right, "sig").where(fits).select("a", "b").distinct(), "across")
+    heads = stage(active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("held")), "heads")
+    order = stage(heads.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"), F.max("held").alias("top")), "order")
+    heads = stage(heads.join(order, "sig"), "ordered")
+    # a pair is made at the first signature at which it fits, in an order of all signatures: each row knows EARLIER crowded ones that
+    # come before it and fit wherever it does; if two components have one of these in common, they meet there
+    most = Window.partitionBy("comp").orderBy(F.desc("crowd"), "sig")
+    known = heads.withColumn("place", F.row_number().over(most)).where(F.col("place") <= EARLIER)
+    known = stage(known.groupBy("comp").agg(F.collect_list(F.struct("sig", "top", "least", "most", "held")).alias("known")), "known")
+    ahead = lambda e: (e["top"] > F.col("top")) | ((e["top"] == F.col("top")) & (e["sig"] < F.col("sig")))
+    over = lambda e: (e["least"] <= F.col("least")) & (e["most"] >= F.col("most")) & (e["held"] >= F.col("held"))
+    before = F.transform(F.filter("known", lambda e: ahead(e) & over(e)), lambda e: e["sig"])
+    heads = stage(heads.join(known, "comp").select("sig", "comp", "least", "most", "held", before.alias("before")), "chained")
+    left, right = (heads.select("sig", F.col("comp").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("least", "most", "held", "before"))) for c in "ab")
+    fits = (F.col("a") < F.col("b")) & (100 * F.col("a_most") >= PERCENT * F.col("b_least")) & (100 * F.col("b_most") >= PERCENT * F.col("a_least"))
+    fits &= (100 + PERCENT) * F.least("a_held", "b_held") >= PERCENT * (F.col("a_least") + F.col("b_least"))
+    across = stage(left.join(right, "sig").where(fits & ~F.arrays_overlap("a_before", "b_before")).select("a", "b").distinct(), "across")
     # the radius of each component that takes part, around its leader
     named = across.select(F.col("a").alias("component")).union(across.select(F.col("b").alias("component"))).distinct()
     spokes = group.join(named, "component").where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
