@@ -1,18 +1,24 @@
 """URL filter by host-suffix and path-prefix expressions, with DataFrame functions only.
 
-A url is expanded into pairs of a host suffix and a path prefix, one for each pair
-of a number of labels and a path length that some rule has; each expression meets
-the rules by an equi-join on the first bytes of its digest, and the full digest
-confirms it. Of the rules that fit, the longest (host and path, in characters) wins.
+A url is expanded into its host suffixes, as many as some rule has labels; they meet
+the hosts of the rules by an equi-join on the first bytes of their digests, the full
+digest confirming it. A suffix that is a rule's host is expanded into the path
+prefixes of the lengths that this host's rules have, and host and prefix meet the
+rules in the same way. Of the rules that fit, the longest (host and path, in
+characters) wins. The plan is the same for five rules and for a million: lengths are
+rows of a table, not expressions.
 
 Distinct urls are expanded, so a url that a third of the rows repeat is expanded
 once; their matches are written and joined back to every row. The rules are broadcast
-while they are under BROADCAST_RULES rows and shuffled beyond it.
+while they are under BROADCAST_RULES rows and BROADCAST_CHARS characters; beyond that
+they are written and shuffled, so that a suffix which most urls share is split.
 
 Defined results: a null url or one without "://" has an empty host and path and
 no rule; its verdict is the default. Repeated rows stay; other columns of the
-input are not read. Equal lengths cannot tie for one url and host, as both rules
-would be the same; for different splits the longer host wins.
+input are not read. A rule with a null part or an empty host fits nothing, an empty
+path fits every path; of repeated rules with different verdicts the last in
+alphabetical order (block before allow) holds. Equal lengths cannot tie for one url
+and host, as both rules would be the same; for different splits the longer host wins.
 """
 from __future__ import annotations
 
@@ -22,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import attach, table
 from .shared import stage
 
-BROADCAST_RULES = 100_000
+BROADCAST_RULES, BROADCAST_CHARS = 100_000, 16_000_000
 PREFIX = 8
 # The rules of the contract (verdict, host, path).
 RULES = [
@@ -42,14 +48,10 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return lowered, path
 
 
-def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """The host suffix and path prefix of each shape (labels, path length) of a rule that the url is large enough for."""
+def suffixes(host: Column, most: int) -> Column:
+    """The last 1, 2, ... labels of a host, up to most or all of them."""
     parts = F.split(host, r"\.", -1)
-    one = lambda labels, length: F.when(
-        (F.size(parts) >= labels) & (F.length(path) >= length),
-        F.struct(F.array_join(F.slice(parts, -labels, labels), ".").alias("h"), F.substring(path, 1, length).alias("p")))
-    none = F.array().cast("array<struct<h:string,p:string>>")
-    return F.when(host == "", none).otherwise(F.array_compact(F.array(*(one(*x) for x in shapes))))
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most))), lambda n: F.array_join(F.slice(parts, -n, n), "."))
 
 
 def digest(host: Column, path: Column) -> Column:
@@ -57,24 +59,32 @@ def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def meets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left(asked) with right(short, full): joined on short prefixes of the digests, confirmed by all of them."""
+    return left.join(right, (F.substring("asked", 1, PREFIX) == F.col("short")) & (F.col("asked") == F.col("full"))).drop("asked", "short", "full")
+
+
 def filter_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """key, host, path, rule, verdict for every row of df; rules: (verdict, host, path)."""
-    facts = rules.agg(F.collect_set(F.struct(F.size(F.split("host", r"\.", -1)), F.length("path"))).alias("shapes"), F.count(F.lit(1)).alias("n")).first()
+    rules = rules.where("verdict IS NOT NULL AND path IS NOT NULL AND host <> ''")
+    labels = F.size(F.split("host", r"\.", -1))
+    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("host") + F.length("path")).alias("chars"), F.max(labels).alias("most")).first()
     pages = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"))
     host, path = split_url(F.col("url"))
     if not facts["n"]:
         return pages.select("page_id", host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    full = digest(F.col("host"), F.col("path"))
-    known = rules.select(
-        F.substring(full, 1, PREFIX).alias("short"), full.alias("full"), F.col("verdict"),
-        F.concat("host", "path").alias("rule"), F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size"),
-    ).dropDuplicates(["full"])
-    if facts["n"] <= BROADCAST_RULES:
-        known = F.broadcast(known)
-    asked = pages.where(F.col("url").isNotNull()).select("url").distinct()
-    each = asked.select("url", F.explode(expressions(host, path, sorted(tuple(x) for x in facts["shapes"]))).alias("e"))
-    each = each.select("url", digest(F.col("e.h"), F.col("e.p")).alias("asked"))
-    hits = each.join(known, (F.substring("asked", 1, PREFIX) == F.col("short")) & (F.col("asked") == F.col("full")))
+    short = F.substring("full", 1, PREFIX).alias("short")
+    one = rules.withColumn("full", digest(F.col("host"), F.col("path"))).groupBy("full").agg(F.max("verdict").alias("verdict"), F.first("host").alias("h"), F.first("path").alias("p"))
+    known = one.select(short, "full", "verdict", F.concat("h", "p").alias("rule"), F.length(F.concat("h", "p")).alias("size"), F.length("h").alias("host_size"))
+    # the distinct lengths of a host's rules: no more than its longest path has characters
+    hosts = rules.groupBy(F.sha2("host", 256).alias("full")).agg(F.collect_set(F.length("path")).alias("lengths")).select(short, "full", "lengths")
+    small = facts["n"] <= BROADCAST_RULES and facts["chars"] <= BROADCAST_CHARS
+    known, hosts = (F.broadcast(x) if small else stage(x, "rules") for x in (known, hosts))
+    asked = pages.where(F.col("url").isNotNull()).select("url").distinct().select("url", host.alias("host"), path.alias("path")).where("host <> ''")
+    each = asked.select("url", "path", F.explode(suffixes(F.col("host"), facts["most"])).alias("suffix"))
+    able = meets(each.withColumn("asked", F.sha2("suffix", 256)), hosts)
+    able = able.select("url", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    hits = meets(able.select("url", digest(F.col("suffix"), F.substr("path", F.lit(1), F.col("n"))).alias("asked")), known)
     # written, so that the join back has plain exchanges and a url that many rows repeat is split
     best = stage(hits.groupBy("url").agg(F.max(F.struct("size", "host_size", "rule", "verdict")).alias("best")), "urls")
     return pages.join(best, "url", "left").select(

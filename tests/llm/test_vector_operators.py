@@ -146,6 +146,26 @@ def test_url_rules(spark):
     assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")}
 
 
+def test_url_rules_of_ten_thousand_shapes(spark, monkeypatch):
+    """Rules of all lengths, broken and repeated ones among them; the same when they are too many for a broadcast."""
+    rules = [("block", f"{'a.' * (i % 4)}site{i % 50}.com", "/" + "x" * (i // 200)) for i in range(10_000)]
+    rules += [("allow", *rules[7][1:]), (None, "site1.com", "/"), ("allow", "", "/"), ("allow", None, "/"), ("allow", "site1.com", None), ("allow", "site3.com", "")]
+    df = spark.createDataFrame([(i, f"http://{'a.' * (i % 6)}site{i % 60}.com/{'x' * (i % 70)}y") for i in range(300)], "page_id long, url string")
+    frame = spark.createDataFrame(rules, "verdict string, host string, path string")
+    usable = [(v, h, p) for v, h, p in rules if v and h and p is not None]
+
+    def best(url):
+        host, path = url[7:].split("/", 1)
+        fit = [(len(h + p), len(h), h + p, v) for v, h, p in usable if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fit)[2:] if fit else (None, "allow")
+
+    expected = {i: best(u) for i, u in df.collect()}
+    assert {(r["rule"] is None) for r in urls.filter_urls(df, frame).collect()} == {True, False}
+    for bound in (urls.BROADCAST_RULES, 10):
+        monkeypatch.setattr(urls, "BROADCAST_RULES", bound)
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(df, frame).collect()} == expected
+
+
 def test_url_query(spark):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     for r in urls.op7_urls(spark, DATA).collect():
