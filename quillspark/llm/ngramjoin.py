@@ -18,7 +18,7 @@ t = n - ceil(PERCENT n / 100) of x's n shingles are missing in y.
    link with equal sets only.)
    Each signature knows its reach: what two sets can share at most if it is the first
    in that order which they have in common.
-3. Equal sets become one class, which the smallest id stands for. Every class is
+3. Equal sets become one class, which has a number. Every class is
    verified against the candidate that shares most signatures with it; links form
    components. Then, where a signature's classes lie in different components, the
    components' leaders are compared, unless their sizes and reaches rule out a
@@ -38,8 +38,9 @@ buckets follows the size of the input.
 
 Defined results: null and empty texts, and those of white space alone, have an
 empty set and link with nothing; fewer than WIDTH words are one shingle; rows that
-repeat an id share its component; a null id stays null and stands for no class;
-other columns are not read.
+repeat an id are documents of their own: each has the component of its text, named by
+the smallest id in it; a null id stays null and names no component; other columns
+are not read.
 """
 from __future__ import annotations
 
@@ -461,13 +462,19 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     texts = two(df, key, text)
     split = splits(texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
     every = stage(indexed(counted(dealt(texts, split), split), split), "sets")
-    classes = stage(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc")), "classes")
-    holders = every.where("hashes IS NOT NULL").select("digest", F.col("doc_id").alias("doc"), "n", "rare", "hashes")
+    # a class has a number of its own, written once: an id with two texts is in two classes
+    classes = every.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    classes = stage(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+    holders = every.where("hashes IS NOT NULL").select("digest", F.col("doc_id").alias("first"), "n", "rare", "hashes")
     with scratch() as keep:
-        live = stage(holders.join(classes, ["digest", "doc"]).dropDuplicates(["doc", "digest"]).select("doc", "n", "rare", "hashes"), "live")
+        live = stage(holders.join(classes, ["digest", "first"]).dropDuplicates(["doc", "digest"]).select("doc", "n", "rare", "hashes"), "live")
         found = components(linked(live)).withColumnRenamed("id", "doc")
+        # components are named by the smallest id of their classes; only classes that have links take part
+        inside = stage(found.join(classes, "doc").select("digest", "first", "component"), "inside")
+        names = stage(inside.groupBy("component").agg(F.min("first").alias("least")), "names")
+        named = inside.join(names, "component").select("digest", "least")
         # classes get their component before they meet the rows: the join with a crowd of copies is the last and has no aggregate beside it
-        placed = keep(classes.join(found, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component")), "placed")
+        placed = keep(classes.join(named, "digest", "left").select("digest", F.coalesce("least", "first").alias("component")), "placed")
     own = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     facts = every.select("doc_id", "n", "digest").join(placed, "digest", "left")
     return facts.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
