@@ -5,7 +5,7 @@ numbers with a right check digit; calendar dates (year first, day first or, wher
 the day is above 12, month first); telephone numbers (groups of three, three and
 four digits; international ones of 8 to 15 digits behind a plus sign; ten digits
 behind a word for telephone), which are valid unless all digits are equal; IPv4 and
-IPv6 addresses; bank account numbers with right check digits; e-mail addresses, the
+IPv6 addresses (shortened ones, too, where a decimal digit or eight hexadecimal ones are written; of one that ends in IPv4 form, that end); bank account numbers with right check digits; e-mail addresses, the
 last label of whose domain stays. The value is a number below the size of its
 format, two halves of which are mixed in ROUNDS keyed rounds, repeated while the
 result lies outside. The map is a permutation under the key, so equal values stay
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..session import attach, table
 from .shared import slices
 
-ROUNDS = 10
+ROUNDS, KNOWN = 10, 100_000
 KEY = "spark.quillspark.pii.key"
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "iban", "date", "phone", "ip", "ip6", "card")
@@ -53,14 +53,31 @@ FOUND = regex.compile(
     r"|(?<!\d)\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\+\d{8,15}(?!\d)"
     r"|(?<=\b(?i:tel|phone|telephone|mobile|fax|call)[.:]? {0,2})\d{10}(?!\d))"
     r"|(?<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?<ip6>(?<![\w:.])[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}(?![\w:]))"
+    r"|(?<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,7}(?:::)?|[0-9A-Fa-f]{1,4}::|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?!\w|:[\w:]|\.\d))"
     r"|(?<card>(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<!\d)\d{13,19}(?!\d))"
 )
-# the length of an account number by country: where one in groups of four ends
-LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
-    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
-    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
-    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+# The countries of each length of an account number, which tells where one in groups of four ends.
+COUNTRIES = {
+    15: ("NO",),
+    16: ("BE",),
+    18: ("DK", "FI", "FO", "GL", "NL", "SD"),
+    19: ("MK", "SI"),
+    20: ("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"),
+    21: ("CH", "CR", "HR", "LI", "LV"),
+    22: ("BG", "BH", "DE", "GB", "GE", "IE", "ME", "RS", "VA"),
+    23: ("AE", "GI", "IL", "IQ", "OM", "SO", "TL"),
+    24: ("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"),
+    25: ("LY", "PT", "ST"),
+    26: ("IS", "TR"),
+    27: ("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"),
+    28: ("AL", "AZ", "BY", "CY", "DO", "GT", "HU", "LB", "NI", "PL", "SV"),
+    29: ("BR", "EG", "PS", "QA", "UA"),
+    30: ("JO", "KW", "MU"),
+    31: ("MT", "SC"),
+    32: ("LC",),
+    33: ("RU",),
+}
+LENGTHS = {c: n for n, countries in COUNTRIES.items() for c in countries}
 
 MAY = regex.compile(r"[0-9@:]|\p{Nd}").search  # every kind has a digit, an at sign or a colon
 
@@ -169,10 +186,10 @@ def moved_ip6(value: str, secret: bytes, back: bool) -> str | None:
         ipaddress.IPv6Address(value)
     except ValueError:
         return None
-    return letters(value, secret, "ip6", back, 6) if sum(c.isalnum() for c in value) >= 8 else None
+    written = [c for c in value if c != ":"]
+    return letters(value, secret, "ip6", back, 6) if len(written) >= 8 or any(c.isdigit() for c in written) else None
 
 
-@lru_cache(100_000)
 def pseudonym(kind: str, value: str, secret: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value, or None where it fails validation."""
     digits = "".join(c for c in value if c.isdigit())
@@ -216,13 +233,19 @@ def grouped(value: str) -> str:
     return ""
 
 
-def replaced(text: str, secret: bytes, counts: dict[str, int], back: bool = False) -> str:
+def replaced(text: str, secret: bytes, counts: dict[str, int], back: bool = False, known: dict[tuple[str, str], str | None] | None = None) -> str:
+    """The text with pseudonyms; known holds those of values that were met before."""
+    known = {} if known is None else known
     made, done, at = [], 0, 0
     while m := FOUND.search(text, at):
         kind, value = m.lastgroup, m[0]
         if kind == "iban" and " " in value:
             value = grouped(value)
-        new = pseudonym(kind, value, secret, back) if value else None
+        if (kind, value) not in known:
+            if len(known) >= KNOWN:
+                known.clear()
+            known[kind, value] = pseudonym(kind, value, secret, back) if value else None
+        new = known[kind, value]
         if new is None:
             at = m.start() + 1  # what starts inside a failed match is tried too
             continue
@@ -238,11 +261,12 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     keyed = secret.encode()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], str | None] = {}  # clear values: they go with the task
         for b in slices(batches):
             texts, counts = [], []
             for t in b.column(1).to_pylist():
                 by = dict.fromkeys(KINDS, 0)
-                texts.append(replaced(t, keyed, by, back) if t and MAY(t) else t)
+                texts.append(replaced(t, keyed, by, back, known) if t and MAY(t) else t)
                 counts.append(by)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS)], ["doc_id", "text", *names])
 

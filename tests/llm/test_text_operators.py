@@ -104,6 +104,10 @@ def test_join_of_the_table_with_itself(spark):
     assert sorted(tuple(r) for r in ngramjoin.jaccard_components(docs.union(docs)).collect()) == sorted(want * 2)
     odd = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (2, "other words that nobody else has here")], "doc_id long, text string")
     assert sorted(tuple(r) for r in ngramjoin.jaccard_components(odd).collect()) == [(1, 2, 1), (2, 2, 1), (2, 3, 2)]
+    near = {c: (" ".join(f"{c}{i}" for i in range(60)), " ".join(f"{c}{i}" for i in range(1, 61))) for c in "ab"}
+    for shared, want in ((5, [(2, 56, 2), (3, 56, 3), (5, 56, 2), (5, 56, 3)]), (1, [(1, 56, 1), (1, 56, 1), (2, 56, 1), (3, 56, 1)])):
+        two = spark.createDataFrame([(shared, near["a"][0]), (shared, near["b"][0]), (2, near["a"][1]), (3, near["b"][1])], "doc_id long, text string")
+        assert sorted(tuple(r) for r in ngramjoin.jaccard_components(two).collect()) == want
 
 
 # ---- pseudonyms
@@ -165,7 +169,7 @@ def test_pii_leaves_the_rest_alone(spark):
 @pytest.mark.parametrize("value, kind", [
     ("2024/01/31", "date"), ("2024.01.02", "date"), ("01/31/2024", "date"), ("31-12-1999", "date"), ("+44 20 7946 0958", "phone"),
     ("+442079460958", "phone"), ("+49 (0)30 123456", "phone"), ("fe80::1ff:fe23:4567:890a", "ip6"), ("2001:0DB8:85a3:0000:0000:8a2e:0370:7334", "ip6"),
-    ("john.smith9@smith-family.co.uk", "email"),
+    ("john.smith9@smith-family.co.uk", "email"), ("fe80::1", "ip6"), ("2001:db8::", "ip6"), ("::ffff:a12b", "ip6"), ("2a00:1450::8a", "ip6"), ("::12", "ip6"),
 ])
 def test_pii_formats_keep_their_shape_and_go_back(value, kind):
     counts = dict.fromkeys(pii.KINDS, 0)
@@ -175,11 +179,19 @@ def test_pii_formats_keep_their_shape_and_go_back(value, kind):
     assert pii.replaced(f"it is {new}, so", b"k", counts, True) == f"it is {value}, so"
 
 
-@pytest.mark.parametrize("text", ["at 12:30:45 or 10:20:30:40:50:60", "id 5551234567", "+1 111 111 1111", "2024-13-45 30/30/2024", "1:2 x::y", "999.1.1.1"])
+@pytest.mark.parametrize("text", ["at 12:30:45 or 10:20:30:40:50:60", "id 5551234567", "+1 111 111 1111", "2024-13-45 30/30/2024", "1:2 x::y", "999.1.1.1", "fe::be std::a", "::", "1:::2", "a1::b::c2", "12::30:zz"])
 def test_pii_leaves_what_is_not_valid(text):
     assert pii.replaced(text, b"k", dict.fromkeys(pii.KINDS, 0)) == text
 
 
+def test_pii_keeps_no_clear_values_behind():
+    known = {}
+    text = f"{VALUES['email']} and {VALUES['email']}: fe80::1: ok"
+    new = pii.replaced(text, b"k", dict.fromkeys(pii.KINDS, 0), known=known)
+    assert len(known) == 2 and new == pii.replaced(text, b"k", dict.fromkeys(pii.KINDS, 0)) and new.endswith(": ok")
+    assert not hasattr(pii.pseudonym, "cache_info")
+
+
 def test_pii_ties_and_overlaps():
     """The first to begin wins; at one place the first in KINDS."""
     counts = dict.fromkeys(pii.KINDS, 0)
