@@ -1,6 +1,7 @@
 """Ordered rules as column expressions: the first rule that matches decides, inside code generation."""
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -66,17 +67,31 @@ def is_noise(c: Column) -> Column:
     return matches_any(low, V.NOISE) | F.contains(low, F.lit("arxiv")) | (F.length(low) < 3)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def keywords_in(low: Column, words: list[str]) -> Column:
+    """How many of the patterns occur; plain words are looked for as such, so that many of them make no long code."""
+    plain = [w for w in words if re.fullmatch(r"[\w\s-]+", w)]
+    found = F.size(F.filter(F.array(*map(F.lit, plain)), lambda w: F.contains(low, w))) if plain else F.lit(0)
+    return reduce(lambda n, w: n + F.coalesce(low.rlike(w).cast("int"), F.lit(0)), [w for w in words if w not in plain], found)
+
+
 def theme(c: Column, themes: list[tuple] | None = None) -> Column:
     """struct(theme_id, category): the theme with most keywords in the text, else by fallback words."""
-    low = F.lower(c)
     themes = V.THEMES if themes is None else themes
-    score = [(reduce(lambda a, b: a + b, (low.rlike(k).cast("int") for k in words)), name, category) for name, category, words in themes]
-    ranked = F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("theme_id"), F.lit(cat).alias("category")) for i, (s, name, cat) in enumerate(score)))
-    best = F.array_max(ranked)
     pair = lambda a, b: F.struct(F.lit(a).alias("theme_id"), F.lit(b).alias("category"))
-    return (
-        F.when(best["score"] >= 1, F.struct(best["theme_id"].alias("theme_id"), best["category"].alias("category")))
-        .when(contains_any(low, V.COST_WORDS), pair("theme_compute_scaling", "computational_cost"))
-        .when(contains_any(low, V.DATA_WORDS), pair("theme_data_annotation", "data_scarcity"))
-        .otherwise(pair("theme_general_empirical", "general"))
-    )
+
+    def best(low: Column) -> Column:
+        return F.array_max(F.array(*(F.struct(keywords_in(low, words).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("theme_id"), F.lit(cat).alias("category")) for i, (name, cat, words) in enumerate(themes))))
+
+    def rest(low: Column) -> Column:
+        cost, data = pair("theme_compute_scaling", "computational_cost"), pair("theme_data_annotation", "data_scarcity")
+        return F.when(contains_any(low, V.COST_WORDS), cost).when(contains_any(low, V.DATA_WORDS), data).otherwise(pair("theme_general_empirical", "general"))
+
+    def decided(low: Column) -> Column:
+        return once(best(low), lambda b: F.when(b["score"] >= 1, F.struct(b["theme_id"].alias("theme_id"), b["category"].alias("category"))).otherwise(rest(low)))
+
+    return once(F.lower(c), decided)

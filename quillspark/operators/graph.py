@@ -42,3 +42,10 @@ def ego_network(found: DataFrame, node: str) -> DataFrame:
     """(node_id, edges): a node's neighbours, itself among them."""
     near = lookup(found, node).select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
     return near.groupBy("node_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def ego_edges(found: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """The edges of a node's network; a node that nodes(node_id) lacks is an error, one without edges has none."""
+    if nodes.where(F.col("node_id") == node).isEmpty():
+        raise LookupError(f"no node {node}")
+    return lookup(found, node)

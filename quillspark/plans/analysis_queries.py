@@ -130,6 +130,30 @@ def evidence_relations(spark, d):
     return E.relations(m, m.where("role = 'component'").select("paper_id", "name", "sentence_id")).groupBy("shared").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("confidence"), 6).alias("confidence"))
 
 
+def broken(props, n):
+    """JSON as a model may answer it: fenced, with a comma too many, between words, or with a second object that ends early."""
+    ways = [F.concat(F.lit("```json\n"), props, F.lit("\n```")), F.regexp_replace(props, r"\}$", ", }"), F.concat(F.lit("Here it is: "), props, F.lit(" as asked.")), F.concat(F.lit("```\n"), props, F.lit(', {"rest": [1, 2'))]
+    return F.element_at(F.array(*ways), (n % len(ways) + 1).cast("int"))
+
+
+def real_limits(spark, d):
+    """The sentences behind planted phrases under the real themes; papers of small numbers are older."""
+    s = S.scholarly(spark, d)
+    return G.themed(s.select("paper_id", "seq", "text", (F.lit(2016) + F.length(F.col("paper_id").cast("string"))).cast("int").alias("year")))
+
+
+def used_parts(spark, d):
+    return S.mentions(spark, d).select("paper_id", "seq", "name", F.when(F.col("role") != "component", F.concat(F.lit("uses "), "alias")).alias("quote"), "family")
+
+
+def detail(spark, d):
+    """Real themes with the brands and types of the orders that have their papers' numbers."""
+    used = used_parts(spark, d)
+    made = G.detailed(real_limits(spark, d), used, used.select("paper_id", F.col("family").alias("name")))
+    listed = [F.array_join(c, "|").alias(c) for c in ("methods", "benchmarks")]
+    return made.select("theme_id", "category", "papers", "first_year", "last_year", "status", *listed, F.md5(F.array_join("quotes", "|")).alias("quotes"))
+
+
 def stream(build, mode="complete", late=False):
     def query(spark, d):
         return X.run(spark, build(X.source(spark, d).withWatermark("ts", X.LATE) if late else X.source(spark, d)), mode)
@@ -178,7 +202,7 @@ QUERIES = {
     "size_entropy": lambda s, d: C.size_entropy(members(s, d)).select("clusters", *r6("entropy")),
     "cluster_score": lambda s, d: C.metrics(members(s, d)).select("clusters", "noise", "largest", "smallest", *r6("silhouette", "score")),
     "representatives": lambda s, d: C.representatives(members(s, d)),
-    "param_grid": lambda s, d: C.param_grid(s, 100),
+    "param_grid": lambda s, d: C.param_grid(s, table(s, d, "embeddings").count()),
     "density_search": density,
     "cluster_selection": selection,
     "analysis_assembly": assembly,
@@ -194,10 +218,13 @@ QUERIES = {
     "donut_offsets": lambda s, d: G.donut(table(s, d, "embeddings").groupBy(F.col("label").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n"))).select("cluster_id", "n", "percent", *r6("offset")),
     "evidence_edges": lambda s, d: edges(s, d).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("sources")),
     "ego_network": lambda s, d: R.ego_network(edges(s, d), "m_Brand#7"),
+    "ego_edges": lambda s, d: R.ego_edges(e := edges(s, d), e.select(F.explode(F.array("source_id", "target_id")).alias("node_id")), "m_Brand#7"),
+    "theme_detail": detail,
+    "evidence_quotes": lambda s, d: G.quoted_links(real_limits(s, d), used_parts(s, d)),
     "edge_pattern": lambda s, d: R.pattern(edges(s, d), source="m_Brand#3", relation="compared_with").select("target_id", "paper_id"),
     "latest_version": lambda s, d: W.latest(events(s, d), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type"),
     "upsert_merge": lambda s, d: W.upserted(events(s, d).where("event_id % 2 = 0").select("user_id", "event_type", "value").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), events(s, d).where("event_id % 3 = 0 AND user_id < 50").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), ["user_id"]),
-    "json_props": lambda s, d: events(s, d).select("event_id", W.repaired_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k INT")["k"].alias("k")),
+    "json_props": lambda s, d: events(s, d).select("event_id", W.repaired_json(broken("props", F.col("event_id")), "k INT")["k"].alias("k")),
     "resolution_tier": lambda s, d: table(s, d, "documents").select("doc_id", W.resolution_tier(*(F.when(F.col("doc_id") % p == 0, F.lit("x")) for p in (11, 7, 5, 3))).alias("method")).groupBy("method").agg(F.count(F.lit(1)).alias("n")),
     "stream_tumbling": stream(X.tumbling),
     "stream_sliding": stream(X.sliding),
@@ -205,6 +232,7 @@ QUERIES = {
     "stream_dedup": stream(lambda e: X.deduplicated(e.unionByName(e)), "append"),
 }
 _top = lambda name, rows: f"""{name} AS (SELECT string_agg(name || ':' || papers || ':' || printf('%.2f', round(100.0 * papers / (SELECT count(*) FROM orders), 2)), '|' ORDER BY papers DESC, name) AS x, (SELECT count(*) FROM {rows}) AS n FROM (SELECT * FROM {rows} ORDER BY papers DESC, name LIMIT 20))"""
+_tier = lambda i: "CASE " + " ".join(f"WHEN {f'n <= {t[0]}' if t[0] else 'true'} THEN {list(t[i])}" for t in C.TIERS) + " END"
 ORACLE_SQL = {
     "analysis_assembly": L_SQL + """, p AS (SELECT theme_id, paper_id, min(year) AS year FROM t GROUP BY 1, 2), r AS (SELECT theme_id, row_number() OVER (PARTITION BY theme_id ORDER BY year, paper_id) AS k FROM p),
 x AS (SELECT l_orderkey AS paper_id, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
@@ -248,7 +276,8 @@ h AS (SELECT doc_id, sum(x / size * q) AS score FROM r JOIN z USING (doc_id) JOI
     "silhouette": V_SQL + SIL + "SELECT id, cluster_id, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / greatest(a, b), 6) AS silhouette FROM t",
     "size_entropy": "WITH n AS (SELECT count(*) AS n FROM embeddings WHERE label <> 9 GROUP BY label) SELECT count(*) AS clusters, round(sum(-(n / (SELECT sum(n) FROM n)) * ln(n / (SELECT sum(n) FROM n))) / ln(count(*)), 6) AS entropy FROM n",
     "representatives": V_SQL + ", r AS (SELECT v.cluster_id, id, n, row_number() OVER (PARTITION BY v.cluster_id ORDER BY list_inner_product(v, c) DESC, id) AS rank FROM v JOIN c USING (cluster_id)) SELECT cluster_id, id, CASE WHEN n <= 8 OR rank <= 6 THEN 'central' ELSE 'diverse' END AS kind FROM r WHERE n <= 8 OR rank <= 6 OR rank > n - 2",
-    "param_grid": "SELECT m AS method, a AS min_cluster_size, b AS min_samples FROM (VALUES ('eom'), ('leaf')) x(m), (VALUES (4), (5), (6), (8), (10), (12), (15)) y(a), (VALUES (2), (3), (4), (5), (6)) z(b) WHERE b <= a",
+    "param_grid": f"""WITH n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT {_tier(1)} AS a, {_tier(2)} AS b FROM n), a AS (SELECT unnest(a) AS a, b FROM g), s AS (SELECT a, unnest(b) AS b FROM a)
+SELECT m AS method, a AS min_cluster_size, b AS min_samples FROM (VALUES ('eom'), ('leaf')) x(m), s WHERE b <= a""",
     "ari": "WITH t AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY a)) AS ai, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY b)) AS bj, (SELECT sum(n) * (sum(n) - 1) / 2 FROM t) AS e) SELECT round((ij - ai * bj / e) / ((ai + bj) / 2 - ai * bj / e), 6) AS ari FROM s",
     "recency_rank": "SELECT doc_id AS id, round(0.7 * (length(text) % 100 / 100.0) + 0.3 * (doc_id % 8) / 7, 6) AS boosted FROM documents",
     "theme_match": L_SQL + "SELECT paper_id, seq, theme_id FROM t",
@@ -259,6 +288,7 @@ h AS (SELECT doc_id, sum(x / size * q) AS score FROM r JOIN z USING (doc_id) JOI
     "donut_offsets": "WITH n AS (SELECT label AS cluster_id, count(*) AS n FROM embeddings GROUP BY 1) SELECT cluster_id, n, CAST(round_even(100.0 * n / (SELECT sum(n) FROM n), 0) AS BIGINT) AS percent, round(coalesce(sum(n) OVER (ORDER BY cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(n) FROM n) * 100.0, 6) AS offset FROM n",
     "evidence_edges": EDGE + "SELECT relation_type, count(*) AS n, count(DISTINCT source_id) AS sources FROM e GROUP BY 1",
     "ego_network": EDGE + "SELECT node_id, count(*) AS edges FROM (SELECT unnest([source_id, target_id]) AS node_id FROM e WHERE source_id = 'm_Brand#7' OR target_id = 'm_Brand#7') GROUP BY 1",
+    "ego_edges": EDGE + "SELECT source_id, target_id, relation_type, paper_id, CAST(confidence AS DOUBLE) AS confidence FROM e WHERE source_id = 'm_Brand#7' OR target_id = 'm_Brand#7'",
     "edge_pattern": EDGE + "SELECT target_id, paper_id FROM e WHERE source_id = 'm_Brand#3' AND relation_type = 'COMPARED_WITH'",
     "latest_version": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "upsert_merge": "WITH o AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), w AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 AND user_id < 50 GROUP BY 1) SELECT * FROM o WHERE user_id NOT IN (SELECT user_id FROM w) UNION ALL SELECT * FROM w",

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..operators import evidence as E
 from ..operators import gaps, resolve, sentences, serving, trends
 from ..session import table
@@ -32,7 +33,7 @@ def cross_gaps(spark, d):
     future = c.where("seq % 3 = 0").select("paper_id", "seq", F.lit("external_validation").alias("category"), "text")
     papers = c.select("paper_id").distinct()
     found = trends.cross_paper_gaps(c.select("paper_id", "seq", kind.alias("category"), "text"), future, papers, 25.0)
-    return found.select(F.col("gap_id").cast("long").alias("gap_id"), "kind", "papers", "confidence")
+    return found.select(F.col("gap_id").cast("long").alias("gap_id"), "kind", "papers", "confidence", F.md5(F.array_join("quotes", "|")).alias("quotes"))
 
 
 def whole_run(spark, d):
@@ -71,7 +72,7 @@ QUERIES = {
     "cross_paper_gaps": cross_gaps,
     "mention_frequency": lambda s, d: serving.mention_frequency(S.mentions(s, d), S.papers(s, d)),
     "fallback_gaps": lambda s, d: serving.fallback_gaps(S.limitations(s, d)).select("paper_id", "seq"),
-    "filter_links": lambda s, d: serving.filter_links(gaps.evidence_links(A.limits(s, d)), relation="PARTIALLY_ADDRESSES", words="compute"),
+    "filter_links": lambda s, d: serving.filter_links(gaps.evidence_links(A.limits(s, d)), relation="CONFIRMS", words="compute"),
     "status_counts": lambda s, d: serving.status_counts(A.themes(s, d)),
     "gap_roadmap": lambda s, d: gaps.roadmap(A.themes(s, d)).select("theme_id", "papers"),
     "round_limits": limits,
@@ -88,11 +89,36 @@ ORACLE_SQL = {
 b AS (SELECT paper_id, list_position({sentences.V.CATEGORIES!r}, category) AS place, '=== ' || upper(category) || ' ===' || chr(10) || string_agg('[S' || seq || '] (p.1, Abstract): ' || text, chr(10) ORDER BY rank) AS body
   FROM k JOIN sentences USING (paper_id, seq) WHERE rank <= 3 AND category <> 'literature_sources' GROUP BY paper_id, category),
 p AS (SELECT paper_id, string_agg(body, chr(10) || chr(10) ORDER BY place) AS prompt FROM b GROUP BY paper_id) SELECT paper_id, length(prompt) AS chars, md5(prompt) AS prompt FROM p""",
-    "cross_paper_gaps": "WITH c AS (SELECT conv_id, turn % 4 AS k, turn % 3 = 0 AS f FROM conversations), g AS (SELECT 1 AS p, 'validation' AS kind, count(DISTINCT conv_id) AS papers, 0.94::DOUBLE AS confidence FROM c WHERE k = 0 OR f UNION ALL SELECT 2, 'cost', count(DISTINCT conv_id), 0.91 FROM c WHERE k = 1 UNION ALL SELECT 3, 'synthetic', count(DISTINCT conv_id), 0.88 FROM c UNION ALL SELECT 4, 'safety', count(DISTINCT conv_id), 0.92 FROM c WHERE k = 2) SELECT row_number() OVER (ORDER BY p) AS gap_id, kind, papers, confidence FROM g WHERE papers >= 2",
+    "cross_paper_gaps": """WITH c AS (SELECT conv_id AS p, turn AS seq, text, turn % 4 AS k, turn % 3 = 0 AS f FROM conversations),
+r AS (SELECT 1 AS place, 0 AS side, p, seq, text FROM c WHERE k = 0 UNION ALL SELECT 1, 1, p, seq, text FROM c WHERE f UNION ALL SELECT 2, 0, p, seq, text FROM c WHERE k = 1 UNION ALL SELECT 4, 0, p, seq, text FROM c WHERE k = 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY place, side ORDER BY p NULLS FIRST, seq NULLS FIRST) AS n FROM r),
+q AS (SELECT place, md5(array_to_string(list_slice(list(text ORDER BY side, n) FILTER (n <= 3), 1, 4), '|')) AS quotes, count(DISTINCT p) AS papers FROM n GROUP BY 1),
+g AS (SELECT place, CASE place WHEN 1 THEN 'validation' WHEN 2 THEN 'cost' ELSE 'safety' END AS kind, papers, CASE place WHEN 1 THEN 0.94 WHEN 2 THEN 0.91 ELSE 0.92 END::DOUBLE AS confidence, quotes FROM q
+  UNION ALL SELECT 3, 'synthetic', count(DISTINCT p), 0.88, md5('') FROM c)
+SELECT row_number() OVER (ORDER BY place) AS gap_id, kind, papers, confidence, quotes FROM g WHERE papers >= 2""",
     "mention_frequency": "SELECT p_brand AS name, count(*) AS mentions, round(100.0 * count(*) / (SELECT count(*) FROM orders), 1) AS share FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "fallback_gaps": "SELECT conv_id AS paper_id, turn AS seq FROM conversations WHERE length(text) > 10 ORDER BY 1, 2 LIMIT 5",
-    "filter_links": A.ORACLE_SQL["evidence_links"].replace("SELECT a.theme_id, a.paper_id AS source", "SELECT * FROM (SELECT a.theme_id, a.paper_id AS source") + ") WHERE relation = 'PARTIALLY_ADDRESSES' AND contains(theme_id, 'compute')",
+    "filter_links": A.ORACLE_SQL["evidence_links"].replace("SELECT a.theme_id, a.paper_id AS source", "SELECT * FROM (SELECT a.theme_id, a.paper_id AS source") + ") WHERE relation = 'CONFIRMS' AND contains(theme_id, 'compute')",
     "status_counts": A.L_SQL + "SELECT status, count(*) AS n FROM z GROUP BY 1",
     "gap_roadmap": A.L_SQL + "SELECT theme_id, papers FROM z WHERE status IN ('UNADDRESSED', 'PARTIALLY_ADDRESSED') ORDER BY papers DESC, theme_id LIMIT 4",
     "round_limits": "SELECT o_orderkey, CAST(greatest(10, least(200, floor(1.5 * (o_orderkey % 300)))) AS INTEGER) AS enough, CAST(greatest(10, least(100, floor(1.2 * (o_orderkey % 300)))) AS INTEGER) AS per_source FROM orders",
 }
+
+_points = lambda words: " + ".join(f"CAST(regexp_matches(low, '{w}') AS INTEGER)" for w in words)
+_any = lambda words: f"regexp_matches(low, '{'|'.join(words)}')"
+_pick = lambda i, rest: "CASE " + " ".join(f"WHEN top >= 1 AND s[{n + 1}] = top THEN '{t[i]}'" for n, t in enumerate(V.THEMES)) + f" WHEN {_any(V.COST_WORDS)} THEN '{rest[0]}' WHEN {_any(V.DATA_WORDS)} THEN '{rest[1]}' ELSE '{rest[2]}' END"
+REAL = X.SENTS[: X.SENTS.index("\nt AS (")] + f"""
+w AS (SELECT paper_id, seq, text, 2016 + length(CAST(paper_id AS VARCHAR)) AS year, lower(text) AS low FROM s), k AS (SELECT *, [{", ".join(_points(t[2]) for t in V.THEMES)}] AS s FROM w), b AS (SELECT *, list_max(s) AS top FROM k),
+t AS (SELECT paper_id, seq, text, year, {_pick(0, ("theme_compute_scaling", "theme_data_annotation", "theme_general_empirical"))} AS theme_id, {_pick(1, ("computational_cost", "data_scarcity", "general"))} AS category FROM b),
+u AS (SELECT l_orderkey AS paper_id, struct_pack({", ".join(f"{c} := {c}" for c in S.SEQ)}) AS seq, p_brand AS name, CASE WHEN l_returnflag <> 'N' THEN 'uses ' || p_name END AS quote, p_type AS family FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+"""
+_used = lambda name, column, k: f"{name} AS (SELECT theme_id, string_agg(x, '|' ORDER BY x) AS x FROM (SELECT theme_id, x, row_number() OVER (PARTITION BY theme_id ORDER BY x) AS n FROM (SELECT DISTINCT theme_id, {column} AS x FROM t JOIN u USING (paper_id))) WHERE n <= {k} GROUP BY 1)"
+ORACLE_SQL["theme_detail"] = REAL + A.L_SQL[A.L_SQL.index("g AS (SELECT theme_id"):].rstrip("\n") + f""",
+{_used("me", "name", 6)}, {_used("be", "family", 4)}, c AS (SELECT theme_id, max(category) AS category FROM t GROUP BY 1),
+q AS (SELECT theme_id, md5(string_agg(text, '|' ORDER BY paper_id, seq)) AS quotes FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY paper_id, seq) AS n FROM t) WHERE n <= 5 GROUP BY 1)
+SELECT theme_id, category, papers, first_year, last_year, status, coalesce(me.x, '') AS methods, coalesce(be.x, '') AS benchmarks, quotes FROM z JOIN c USING (theme_id) JOIN q USING (theme_id) LEFT JOIN me USING (theme_id) LEFT JOIN be USING (theme_id)"""
+ORACLE_SQL["evidence_quotes"] = REAL + f"""f AS (SELECT paper_id, arg_min(name, seq) AS method, arg_min(quote, seq) FILTER (quote IS NOT NULL) AS quote FROM u GROUP BY 1), l AS (SELECT paper_id, arg_min(text, seq) AS text FROM t GROUP BY 1),
+p AS (SELECT theme_id, paper_id, min(year) AS year FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY year, paper_id) AS k FROM p)
+SELECT a.theme_id, a.paper_id AS source, b.paper_id AS target, CASE WHEN b.year > a.year THEN 'PARTIALLY_ADDRESSES' WHEN f.method IS NOT NULL THEN 'EXTENDS' ELSE 'CONFIRMS' END AS relation, f.method,
+  substr(l.text, 1, 250) AS source_quote, substr(coalesce(f.quote, {X.text(V.TARGET_QUOTE).replace("%s", "' || coalesce(f.method, '" + V.TARGET_METHOD + "') || '")}), 1, 250) AS target_quote
+FROM r a JOIN r b ON a.theme_id = b.theme_id AND a.k = 1 AND b.k BETWEEN 2 AND 4 JOIN l ON l.paper_id = a.paper_id LEFT JOIN f ON f.paper_id = b.paper_id"""

@@ -391,3 +391,35 @@ def test_sinks(spark, tmp_path):
     assert "| 1 | a |" in writers.markdown_report("T", {"S": df})
     fixed = one(spark, writers.repaired_json(F.lit('```json\n{"k": 1,}\n```'), "k INT"))
     assert fixed["k"] == 1
+
+
+def test_ego_edges_of_nodes_known_and_unknown(spark):
+    m = spark.createDataFrame([(1, "m1", "proposed"), (1, "m2", "baseline")], "paper_id long, id string, role string")
+    d = spark.createDataFrame([(1, "d1")], "paper_id long, id string")
+    nodes = spark.createDataFrame([("m1",), ("m2",), ("alone",)], "node_id string")
+    made = graph.edges(m, d)
+    assert sorted((r["source_id"], r["target_id"]) for r in graph.ego_edges(made, nodes, "m2").collect()) == [("m1", "m2"), ("m2", "paper_1")]
+    assert graph.ego_edges(made, nodes, "alone").count() == 0
+    with pytest.raises(LookupError):
+        graph.ego_edges(made, nodes, "nobody")
+
+
+def test_links_with_quotes(spark):
+    rows = gaps.themed(spark.createDataFrame([(1, 2, "later words on gpu", 2020), (1, 1, "gpu memory " + "x" * 300, 2020), (2, 1, "gpu", 2020), (3, 1, "gpu", 2020), (4, 1, "gpu", 2022)], "paper_id long, seq int, text string, year int"))
+    methods = spark.createDataFrame([(2, 2, "B", "says b"), (2, 1, "A", None), (4, 1, " ", " ")], "paper_id long, seq int, name string, quote string")
+    got = {r["target"]: (r["source"], r["relation"], r["method"], r["target_quote"], len(r["source_quote"])) for r in gaps.quoted_links(rows, methods).collect()}
+    plain = "Proposes specialized framework to evaluate and mitigate domain bottlenecks."
+    assert got == {2: (1, "EXTENDS", "A", "says b", 250), 3: (1, "CONFIRMS", None, plain, 250), 4: (1, "PARTIALLY_ADDRESSES", None, plain, 250)}
+    named = methods.where("paper_id = 2 AND seq = 1")
+    assert gaps.quoted_links(rows, named).where("target = 2").first()["target_quote"] == "Proposes A to evaluate and mitigate domain bottlenecks."
+    assert gaps.quoted_links(rows.limit(0), methods).count() == 0
+
+
+def test_themes_with_methods_and_benchmarks(spark):
+    rows = gaps.themed(spark.createDataFrame([(1, 1, "gpu", 2020), (2, 1, "gpu", None), (3, 1, "fairness", 2021)], "paper_id long, seq int, text string, year int"))
+    used = spark.createDataFrame([(p, f"M{i}") for p in (1, 2) for i in range(9)] + [(2, None)], "paper_id long, name string")
+    got = {r["theme_id"]: r for r in gaps.detailed(rows, used, used).collect()}
+    first = got["theme_compute_scaling"]
+    assert first["methods"] == [f"M{i}" for i in range(6)] and first["benchmarks"] == [f"M{i}" for i in range(4)] and first["papers"] == 2
+    assert got["theme_sample_efficiency"]["methods"] == []
+    assert [r["theme_id"] for r in gaps.search(gaps.detailed(rows, used, used), text="m3").collect()] == ["theme_compute_scaling"]
