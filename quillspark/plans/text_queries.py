@@ -109,8 +109,7 @@ def generic_names(spark, d):
 
 def index_text(spark, d):
     words = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "")
-    pairs = table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("pos", "word"))
-    index = pairs.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("m"))
+    index = table(spark, d, "documents").select("doc_id", F.map_from_entries(text.grouped(words)).alias("m")).where("m IS NOT NULL")
     return index.select("doc_id", text.inverted_index_text(F.col("m")).alias("text"))
 
 
