@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import counted, idf
+from .ranking import idf, tallied
 
 FEATURES = 1000
 
@@ -16,7 +16,7 @@ def vocabulary(docs: DataFrame, size: int = FEATURES, stop: Sequence[str] = (),
     term numbers them by name from 0.
 
     Counts are summed before the best are taken, which every task does for itself first: one row a word meets, never a document."""
-    tf, df = counted(docs, list(stop), key, text)
+    tf, df = tallied(docs, list(stop), key, text)
     most = tf.groupBy("word").agg(F.sum("tf").alias("times")).orderBy(F.desc("times"), "word").limit(size).select("word")
     names = most.agg(F.array_sort(F.collect_list("word")).alias("names")).select(F.posexplode("names").alias("term", "word"))  # at most size words
     terms = F.broadcast(names.join(df, "word").select("word", "term", "df", "n"))
