@@ -378,13 +378,7 @@ def linked(live: DataFrame) -> DataFrame:
     links = links.union(more)
     group = stage(components(links), "group")
 
-    facts = live.select("doc", "n").join(group.withColumnRenamed("id", "doc"), "doc", "left")
-    joined = useful.join(facts, "doc").select("sig", "n", "reach", F.coalesce("component", "doc").alias("comp"))
-    mixed = stage(joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig"), "mixed")
-    active = stage(joined.join(mixed, "sig"), "active")
-    # a link passes this test at its first common signature, so components that pass it at none have no link
-    heads = stage(active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("held")), "heads")
-    order = stage(heads.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"), F.max("held").alias("top")), "order")
+    links, group, heads, order = gathered(useful, live, links, group)
     heads = stage(heads.join(order, "sig"), "ordered")
     # a pair is made at the first signature at which it fits, in an order of all signatures: each row knows EARLIER crowded ones that
     # come before it and fit wherever it does; if two components have one of these in common, they meet there
@@ -412,6 +406,44 @@ def linked(live: DataFrame) -> DataFrame:
     return links.union(met.where("link").select("a", "b")).union(last)
 
 
+ROUNDS, TRIES, CROWD = 6, 8, 16
+
+
+def gathered(useful: DataFrame, live: DataFrame, links: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """More links; the components of all, (sig, comp, least, most, held) where signatures lie in several and (sig, crowd, top).
+
+    While the signatures' components would make more than CROWD pairs for each of these rows, every document is verified against few
+    others of different components: each round a hash draws a lead for each signature, and those that share most with a document
+    count. Where many near copies differ as much from each other as from their first, some of these link, and the crowd becomes
+    one component at a cost in proportion to its size. What does not link in this way is left to the exact comparison."""
+    turn, last = 0, False
+    while True:
+        facts = live.select("doc", "n").join(group.withColumnRenamed("id", "doc"), "doc", "left")
+        joined = useful.join(facts, "doc").select("sig", "doc", "n", "reach", F.coalesce("component", "doc").alias("comp"))
+        mixed = stage(joined.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("sig"), "mixed")
+        active = stage(joined.join(mixed, "sig"), "active")
+        # a link passes this test at its first common signature, so components that pass it at none have no link
+        heads = stage(active.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("held")), "heads")
+        order = stage(heads.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"), F.max("held").alias("top")), "order")
+        rows, pairs = order.agg(F.coalesce(F.sum("crowd"), F.lit(0)), F.coalesce(F.sum(F.expr("crowd * (crowd - 1) / 2")), F.lit(0.0))).first()
+        if last or pairs <= CROWD * rows:
+            return links, group, heads, order
+        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("r"), F.col("doc").alias("lead"), F.col("comp").alias("there")))
+        leads = stage(active.groupBy("sig").agg(drawn.alias("m")).select("sig", "m.lead", "m.there"), "leads")
+        votes = active.join(leads, "sig").where("comp <> there").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("n"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("n", "lead")), asc=False), 1, TRIES)  # a lead for each signature at most
+        tried = votes.groupBy("doc").agg(best.alias("best")).select(F.col("doc").alias("a"), F.explode("best.lead").alias("b"))
+        met = stage(verified(tried, live), "tried")
+        found = met.where("link").select("a", "b")
+        many, linking = met.agg(F.count(F.lit(1)), F.count(F.when(F.col("link"), 1))).first()
+        if not linking:
+            return links, group, heads, order
+        links = links.union(found)
+        group = stage(components(links), "group")
+        turn += 1
+        last = turn == ROUNDS or 50 * linking < many
+
+
 CHUNK = 256
 
 

@@ -72,6 +72,33 @@ def test_join_of_chains_of_near_copies(spark, monkeypatch):
     assert joined(frame(spark, texts)) == brute(rows)
 
 
+def test_join_of_a_crowd_that_differs_as_much_from_each_other(spark, monkeypatch):
+    """op4_ngramjoin, pipeline: variants of one text, of which few pairs link, aren't compared pair by pair."""
+    import random
+
+    random.seed(5)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for n in range(300):
+        text = list(base)
+        for at in random.sample(range(8, 142), random.choice([2, 2, 2, 3])):
+            text[at] = f"x{n}a{at}"
+        texts.append(" ".join(text))
+    made, staged = {}, ngramjoin.stage
+
+    def counting(df, name):
+        kept = staged(df, name)
+        if name == "across":
+            made.setdefault(name, []).append(kept.count())
+        return kept
+
+    monkeypatch.setattr(ngramjoin, "stage", counting)
+    want = brute(list(enumerate(texts)))
+    assert joined(frame(spark, texts)) == want
+    monkeypatch.setattr(ngramjoin, "CROWD", 10**9)  # without rounds
+    assert joined(frame(spark, texts)) == want
+    assert 5 * made["across"][0] < made["across"][1] > 5_000, made
+
+
 def test_join_of_repeated_rows_and_nothing(spark):
     df = frame(spark, ["a b c d e f g", "A b c d e f g"])
     assert sorted(tuple(r) for r in ngramjoin.jaccard_components(df.union(df)).collect()) == [(0, 3, 0), (0, 3, 0), (1, 3, 0), (1, 3, 0)]
