@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import once
 from .ranking import idf, tallied
 
 FEATURES = 1000
@@ -43,4 +44,4 @@ def cosine(terms: Column, weights: Column, other_terms: Column, other_weights: C
 def dense(terms: Column, weights: Column, size: int = FEATURES) -> Column:
     """A sparse vector as an array of all its components."""
     known = F.map_from_arrays(terms, weights)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(0.0)))
+    return once(known, lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
