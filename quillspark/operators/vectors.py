@@ -7,9 +7,11 @@ mean cosine distance of x to another cluster 1 - x.S / n, so no metric looks at
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -193,6 +195,174 @@ GRADED = "clusters int, noise int, largest int, smallest int, silhouette double,
 SETTING = "method string, min_cluster_size int, min_samples int"
 
 
+PART, SLICE, SHARE = 16_384, 50_000, 32_768  # most rows in a block, rows for a slice of clusters, clusters that a block meets at once
+SUMS = "setting int, slice int, cluster binary, n binary, squares binary, s binary"
+
+
+def labelled(found: DataFrame, unit_rows: DataFrame, settings: list[tuple[str, int, int]], n: int) -> DataFrame:
+    """(block, labels, v): up to PART vectors as bytes with their clusters in all settings."""
+    size, width = min(PART, max(2_048, n // 32)), len(settings)
+    grid = found.sparkSession.createDataFrame([(*s, i) for i, s in enumerate(settings)], f"{SETTING}, setting int")
+    each = found.join(F.broadcast(grid), ["method", "min_cluster_size", "min_samples"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("setting", "cluster_id")))["cluster_id"].alias("labels"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            made = [pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, ["labels", "v"])
+
+        for b in batches:
+            labels, v = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            held.append((labels.reshape(-1, width).astype(np.int32), v.reshape(b.num_rows, -1)))
+            if sum(len(h[0]) for h in held) >= size:
+                yield packed()
+        if held:
+            yield packed()
+
+    rows = each.join(unit_rows, "id").select("id", "labels", "v").repartition(-(-n // size), "id").select("labels", "v")
+    return written(rows.mapInArrow(kernel, "labels binary, v binary").withColumn("block", F.monotonically_increasing_id()), "labelled")
+
+
+def opened(labels: bytes, v: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(labels, np.int32).reshape(-1, width)
+    return own, np.frombuffer(v, np.float64).reshape(len(own), -1)
+
+
+def added(names: np.ndarray, n: np.ndarray, squares: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
+    """Sums of rows of one cluster."""
+    order = np.argsort(names, kind="stable")
+    names, first = np.unique(names[order], return_index=True)
+    return [names.astype(np.int32), *(np.add.reduceat(x[order], first, axis=0) for x in (n, squares, s))]
+
+
+def cluster_sums(blocked: DataFrame, width: int, n: int) -> DataFrame:
+    """SUMS: each setting's clusters in slices, with their sizes, sums of squares and summed vectors."""
+    slices = -(-n // SLICE)
+    kinds = (np.int32, np.int64, np.float64, np.float64)
+
+    def out(setting: int, part: int, sums: list[np.ndarray]) -> list:
+        return [setting, part, *(x.tobytes() for x in sums)]
+
+    def table_of(rows: list[list]) -> list[pa.Array]:
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 4))]
+
+    names = ["setting", "slice", "cluster", "n", "squares", "s"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                own, x = opened(r["labels"], r["v"], width)
+                squares = (x * x).sum(axis=1)
+                for k in range(width):
+                    for part in range(slices):
+                        some = np.flatnonzero((own[:, k] >= 0) & (own[:, k] % slices == part))
+                        if len(some):
+                            sums = added(own[some, k], np.ones(len(some), np.int64), squares[some], x[some])
+                            yield pa.RecordBatch.from_arrays(table_of([out(k, part, sums)]), names)
+
+    def whole(part: pa.Table) -> pa.Table:
+        parts = [[np.frombuffer(r[c], t) for c, t in zip(names[2:], kinds)] for r in part.to_pylist()]
+        sums = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+        sums[3] = sums[3].reshape(len(sums[0]), -1)
+        return pa.table(table_of([out(part["setting"][0].as_py(), part["slice"][0].as_py(), added(*sums))]), names)
+
+    made = blocked.select("labels", "v").mapInArrow(partial, SUMS).repartition(2 * slices * width, "setting", "slice")
+    return written(made.groupBy("setting", "slice").applyInArrow(whole, SUMS), "sums")
+
+
+def silhouettes(blocked: DataFrame, sums: DataFrame, width: int) -> DataFrame:
+    """(setting, silhouette): means over the rows of clusters, as of silhouette(); every block meets SHARE clusters or a slice at once."""
+    share, held, dealt = 0, 0, []
+    sizes = sums.select("setting", "slice", (F.length("cluster") / 4).cast("int").alias("k")).orderBy("setting", "slice").collect()  # a row for each slice
+    for r in sizes:
+        if held and held + r["k"] > SHARE:
+            share, held = share + 1, 0
+        held += r["k"]
+        dealt.append((r["setting"], r["slice"], share))
+    spark = blocked.sparkSession
+    shares = F.explode(F.sequence(F.lit(0), F.lit(share))).alias("share")
+    left = blocked.select("block", "labels", "v", shares)
+    right = sums.join(F.broadcast(spark.createDataFrame(dealt, "setting int, slice int, share int")), ["setting", "slice"]).join(F.broadcast(blocked.select(F.col("block").alias("to"))))
+    kind = "block long, setting int, a binary, b binary"
+
+    def meet(rows: pa.Table, clusters: pa.Table) -> pa.Table:
+        out = []
+        for r in rows.to_pylist():
+            own, x = opened(r["labels"], r["v"], width)
+            squares = (x * x).sum(axis=1)
+            for c in clusters.to_pylist():
+                some = np.flatnonzero(own[:, c["setting"]] >= 0)
+                names, n = np.frombuffer(c["cluster"], np.int32), np.frombuffer(c["n"], np.int64)
+                s, mine = np.frombuffer(c["s"], np.float64).reshape(len(n), -1), own[some, c["setting"]]
+                a, b = np.full(len(some), np.nan), np.full(len(some), np.inf)
+                for at in range(0, len(some), 1_024):
+                    one = slice(at, at + 1_024)
+                    near = x[some[one]] @ s.T
+                    place = np.minimum(np.searchsorted(names, mine[one]), len(names) - 1)
+                    here = np.flatnonzero((names[place] == mine[one]))
+                    to = place[here]
+                    more = here[n[to] > 1]
+                    a[at + more] = 1 - (near[more, place[more]] - squares[some[one]][more]) / (n[place[more]] - 1)
+                    far = 1 - near / n
+                    far[here, to] = np.inf
+                    b[one] = far.min(axis=1)
+                out.append((r["block"], c["setting"], a.tobytes(), b.tobytes()))
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "setting", "a", "b"])
+
+    def total(part: pa.Table) -> pa.Table:
+        a, b = (np.stack([np.frombuffer(x, np.float64) for x in part[c].to_pylist()]) for c in ("a", "b"))
+        a, b = np.fmax.reduce(a, axis=0), b.min(axis=0)
+        top = np.maximum(a, b)
+        fit = ~np.isnan(a) & np.isfinite(b) & (top != 0)
+        value = np.where(fit, (b - a) / np.where(fit, top, 1), 0.0)
+        return pa.table([part["setting"][:1], pa.array([value.sum()]), pa.array([len(value)])], ["setting", "total", "rows"])
+
+    dealt_to = blocked.count() * (share + 1)
+    met = left.repartition(dealt_to, "block", "share").groupBy("block", "share").cogroup(right.repartition(dealt_to, "to", "share").groupBy("to", "share")).applyInArrow(meet, kind)
+    each = met.groupBy("block", "setting").applyInArrow(total, "setting int, total double, rows long")
+    return each.groupBy("setting").agg((F.sum("total") / F.nullif(F.sum("rows"), F.lit(0))).alias("silhouette"))
+
+
+def cluster_facts(sums: DataFrame) -> DataFrame:
+    """(setting, clusters, rows, largest, smallest, intra, inter, entropy) from the sums of clusters; no two centroids meet, as their sum tells all."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                n, squares = np.frombuffer(r["n"], np.int64).astype(float), np.frombuffer(r["squares"], np.float64)
+                s = np.frombuffer(r["s"], np.float64).reshape(len(n), -1)
+                length = np.sqrt((s * s).sum(axis=1))
+                intra = np.where(n > 1, (length**2 - squares) / np.maximum(n * (n - 1), 1), 1.0).sum()
+                c = s[length > 0] / length[length > 0, None]
+                facts = [len(n), int(n.sum()), int(n.max()), int(n.min()), intra, (n * np.log(n)).sum(), len(c), float((c * c).sum()), c.sum(axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["setting"]], pa.int32()), *(pa.array([x]) for x in facts[:8]), pa.array([facts[8]], pa.list_(pa.float64()))], ["setting", "k", "rows", "largest", "smallest", "intra", "logs", "directed", "own", "c"])
+
+    def whole(part: pa.Table) -> pa.Table:
+        add = {c: float(np.sum(part[c].to_numpy())) for c in ("k", "rows", "intra", "logs", "directed", "own")}
+        c = np.array(part["c"].to_pylist()).sum(axis=0)
+        inter = (c @ c - add["own"]) / (add["directed"] * (add["directed"] - 1)) if add["directed"] > 1 else 0.0
+        entropy = (np.log(add["rows"]) - add["logs"] / add["rows"]) / np.log(add["k"]) if add["k"] > 1 else 0.0
+        made = [part["setting"][0].as_py(), int(add["k"]), int(add["rows"]), int(part["largest"].to_numpy().max()), int(part["smallest"].to_numpy().min()), add["intra"] / add["k"], float(inter), float(entropy)]
+        return pa.table([pa.array([x], t) for x, t in zip(made, (pa.int32(), *[pa.int64()] * 4, *[pa.float64()] * 3))], ["setting", "clusters", "rows", "largest", "smallest", "intra", "inter", "entropy"])
+
+    kind = "setting int, k long, rows long, largest long, smallest long, intra double, logs double, directed long, own double, c array<double>"
+    return sums.mapInArrow(partial, kind).groupBy("setting").applyInArrow(whole, "setting int, clusters long, rows long, largest long, smallest long, intra double, inter double, entropy double")
+
+
+def grades(found: DataFrame, unit_rows: DataFrame, settings: list[tuple[str, int, int]], n: int) -> DataFrame:
+    """One row for each setting with what metrics() says of its clustering, from two passes over the vectors for all settings."""
+    width = len(settings)
+    blocked = labelled(found, unit_rows, settings, n)
+    sums = cluster_sums(blocked, width, n)
+    grid = F.broadcast(found.sparkSession.createDataFrame([(*s, i) for i, s in enumerate(settings)], f"{SETTING}, setting int"))
+    one = cluster_facts(sums).join(silhouettes(blocked, sums, width), "setting", "left")
+    one = grid.join(one, "setting", "left").fillna(0).withColumn("noise", F.lit(n) - F.col("rows"))
+    one = one.withColumns({"noise_share": F.col("noise") / F.lit(n), "largest_share": F.col("largest") / F.lit(n)}).withColumn("score", score())
+    return one.select("method", "min_cluster_size", "min_samples", *(F.col(name).cast(kind).alias(name) for name, kind in (c.split(" ") for c in GRADED.split(", "))))
+
+
 LARGEST = 5_000  # up to here a setting is one task over all vectors, beyond it many; the clusters are the same
 
 
@@ -216,15 +386,7 @@ def graded(vectors: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     keys = ["method", "min_cluster_size", "min_samples"]
     if n <= LARGEST:
         return written(found.join(F.broadcast(unit_rows), "id").groupBy(*keys).applyInPandas(facts, f"{SETTING}, {GRADED}"), "graded"), found
-    rows = []
-    for m, c, k in settings_of(vectors, n):
-        members = found.where((F.col("method") == m) & (F.col("min_cluster_size") == c) & (F.col("min_samples") == k)).join(unit_rows, "id")
-        one = metrics(members.select("cluster_id", "id", "v")).fillna(0).first().asDict()  # a row for each setting
-        rows.append((m, c, k, *(one[name] for name in GRADED_NAMES)))
-    return vectors.sparkSession.createDataFrame(rows, f"{SETTING}, {GRADED}"), found
-
-
-GRADED_NAMES = [part.split(" ")[0] for part in GRADED.split(", ")]
+    return written(grades(found, unit_rows, settings_of(vectors, n), n), "graded"), found
 
 
 def with_setting(found: DataFrame, best: Row) -> DataFrame:
@@ -237,6 +399,7 @@ def selected(vectors: DataFrame) -> DataFrame:
     """(id, cluster_id, pass): the clustering of the best setting (pass 1), and of its noise where that clusters well (pass 2).
 
     vectors(id, v), any number; labels stay in tables, the driver sees a row for each setting."""
+    vectors = written(vectors.select("id", F.col("v").cast("array<double>").alias("v")), "vectors")
     n = vectors.count()
     if not n:
         return vectors.select("id", F.lit(-1).alias("cluster_id"), F.lit(1).alias("pass")).limit(0)
