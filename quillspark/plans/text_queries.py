@@ -61,7 +61,7 @@ def top_sentences(spark, d):
 
 def titles(spark, d):
     p = raw_papers(spark, d)
-    return p.select("paper_id", text.clean_title(F.col("title")).alias("clean"), text.author_token(F.col("author")).alias("author"), text.py_title(F.col("title")).alias("titled"), text.extractive_label(F.col("title")).alias("label"), F.length(text.embedding_input(F.col("title"), F.col("abstract"))).cast("long").alias("chars"))
+    return p.select("paper_id", text.clean_title(F.col("title")).alias("clean"), text.author_token(F.col("author")).alias("author"), text.py_title(F.col("title")).alias("titled"), text.extractive_label(F.col("title")).alias("label"), F.length(text.embedding_input(F.col("title"), F.col("abstract"), blank=True)).cast("long").alias("chars"))
 
 
 #: Forms that identifiers come in; the number of the document stands for {}.
