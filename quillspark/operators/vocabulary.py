@@ -12,21 +12,21 @@ from .ranking import idf, tallied
 FEATURES = 1000
 
 
-def vocabulary(docs: DataFrame, size: int = FEATURES, stop: Sequence[str] = (), key: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def vocabulary(docs: DataFrame, size: int = FEATURES, stop: Sequence[str] = (), key: str = "id", text: str = "text", counts: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, word, tf) of words of the vocabulary, (word, term, df, n)): the words that occur most, of equal counts the first by name;
     term numbers them by name from 0.
 
     Counts are summed before the best are taken, which every task does for itself first: one row a word meets, never a document."""
-    tf, df = tallied(docs, list(stop), key, text)
+    tf, df = counts or tallied(docs, list(stop), key, text)
     most = tf.groupBy("word").agg(F.sum("tf").alias("times")).orderBy(F.desc("times"), "word").limit(size).select("word")
     names = most.agg(F.array_sort(F.collect_list("word")).alias("names")).select(F.posexplode("names").alias("term", "word"))  # at most size words
     terms = F.broadcast(names.join(df, "word").select("word", "term", "df", "n"))
     return tf.join(F.broadcast(names.select("word")), "word"), terms
 
 
-def sparse(docs: DataFrame, size: int = FEATURES, stop: Sequence[str] = (), key: str = "id", text: str = "text") -> DataFrame:
+def sparse(docs: DataFrame, size: int = FEATURES, stop: Sequence[str] = (), key: str = "id", text: str = "text", counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(id, terms, weights): unit vectors of tf-idf over the vocabulary, terms in order; empty for documents with none of its words."""
-    tf, terms = vocabulary(docs, size, stop, key, text)
+    tf, terms = vocabulary(docs, size, stop, key, text, counts)
     rows = tf.join(terms, "word").select(key, F.struct("term", (F.col("tf") * idf()).alias("w")).alias("e"))
     made = rows.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))  # at most size entries
     length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
