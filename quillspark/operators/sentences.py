@@ -1,9 +1,10 @@
 """Texts to sentences with provenance, scores and candidate contexts."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,26 +73,32 @@ def top_per_category(found: DataFrame, k: int = PER_CATEGORY, cues: dict[str, li
 def context(found: DataFrame, k: int = PER_CATEGORY, cues: dict[str, list[str]] | None = None) -> DataFrame:
     """The same, but a sentence that an earlier choice took counts only among a category's first FIRST.
 
-    Which sentences are taken depends on all categories before, so a paper is folded by itself."""
+    Which sentences are taken depends on all categories before, so a paper is folded by itself: its rows follow each other in
+    a task, in order, and what is remembered between two of them is the paper's choice so far."""
     names = V.CATEGORIES
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        seen: set[int] = set()
-        made = []
-        for name, rows in part.assign(place=part["category"].map(names.index)).sort_values(["place", "score", "seq"], ascending=[True, False, True]).groupby("place"):
-            chosen = 0
-            for seq, score in zip(rows["seq"], rows["score"]):
-                if chosen >= k:
-                    break
-                if seq not in seen or chosen < FIRST:
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place, chosen, seen = object(), None, 0, set()
+        for part in parts:
+            made = []
+            for paper, at, seq, score in zip(*(c.to_pylist() for c in part.columns)):
+                if paper != last:
+                    last, place, seen = paper, None, set()
+                if at != place:
+                    place, chosen = at, 0
+                if chosen < k and (seq not in seen or chosen < FIRST):
                     chosen += 1
                     seen.add(seq)
-                    made.append((part["paper_id"].iloc[0], names[name], chosen, seq, score))
-        return pd.DataFrame(made, columns=["paper_id", "category", "rank", "seq", "score"])
+                    made.append((paper, names[at], chosen, seq, score))
+            kinds = (part.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.float64())
+            columns = zip(*made) if made else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["paper_id", "category", "rank", "seq", "score"])
 
     kind = dict(found.dtypes)["paper_id"]
-    rows = scored(found, cues).where(F.col("score") > LEAST)
-    return rows.groupBy("paper_id").applyInPandas(fold, f"paper_id {kind}, category string, rank int, seq int, score double")
+    place = (F.array_position(F.array(*map(F.lit, names)), F.col("category")) - 1).cast("int")
+    rows = scored(found, cues).where(F.col("score") > LEAST).select("paper_id", place.alias("place"), "seq", "score")
+    ordered = rows.repartition("paper_id").sortWithinPartitions("paper_id", "place", F.desc("score"), "seq")
+    return ordered.mapInArrow(fold, f"paper_id {kind}, category string, rank int, seq int, score double")
 
 
 def prompt_blocks(chosen: DataFrame, found: DataFrame) -> DataFrame:
